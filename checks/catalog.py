@@ -4,7 +4,7 @@ import importlib
 
 from checks.registry import ORACLE, QUERIES
 
-for _module in ["detection"]:
+for _module in ["detection", "lifecycle"]:
     importlib.import_module(f"checks.{_module}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -223,7 +223,10 @@ def findings(rules, source: str = "code", extra: str = "") -> str:
     hits = " UNION ALL ".join(rule_sql(p, r) for p, r in rules)
     return (
         f"{base(source, extra)}, hits AS MATERIALIZED ({hits}), findings AS MATERIALIZED (SELECT h.project, h.file, "
-        "h.i + 1 AS line, r.*, f.scan_id, f.ls[h.i + 1] AS code, "
+        "h.i + 1 AS line, r.*, f.scan_id, f.ls[h.i + 1] AS code, CASE WHEN h.i > 0 THEN f.ls[h.i] END AS prev, "
+        + ("f.scan_ts, " if source == "code" else "") +
+        "(contains(f.ls[h.i + 1], '/*') OR (contains(array_to_string(f.ls[1:h.i], chr(10)), '/*') AND NOT contains("
+        "regexp_replace(array_to_string(f.ls[1:h.i], chr(10)), '(?s)^.*/\\*', '') , '*/'))) AS in_block, "
         "replace(replace(replace(r.id_form, '{id}', r.rule_id), '{i}', CAST(h.i AS VARCHAR)), '{file}', h.file) "
         "AS finding_id, "
         "CASE WHEN context_lines < 0 THEN [] ELSE f.ls[greatest(h.i - context_lines, 0) + 1 : h.i + context_lines + 1] "

@@ -44,6 +44,18 @@ def is_client_file() -> str:
     )
 
 
+def line_hits(corpus: DataFrame, path: str, labelled, gate: str = "true", keep=()) -> DataFrame:
+    """One row per (label, line) where the label's condition on line ``i`` holds, for files on ``path``."""
+    parts = ", ".join(
+        f"transform(filter(f.idx, i -> {cond}), i -> named_struct('label', {lit(label)}, 'i', i, 'text', {LINE_TEXT}))"
+        for label, cond in labelled)
+    hits = per_file(
+        f"CASE WHEN {like('file', path)} AND {gate} THEN flatten(array({parts})) ELSE "
+        "CAST(array() AS array<struct<label:string,i:int,text:string>>) END")
+    return corpus.select("project", "file", *keep, F.explode(F.expr(hits)).alias("h")).select(
+        "project", "file", *keep, "h.label", (F.col("h.i") + 1).alias("line"), "h.text")
+
+
 def is_import_line(text: str) -> str:
     return like(js_trim(text), any_of(IMPORT_LINE))
 
@@ -146,9 +158,20 @@ def rule_hits(rule: Rule, prefilter: bool = True) -> str:
     return f"CASE WHEN {file_condition(rule, prefilter)} THEN {hits} ELSE CAST(array() AS {HIT_TYPE}) END"
 
 
+# Line ranges covered by block comments: text after each opener, up to its closer, with running line numbers.
+# A quoted "/*" counts as an opener, since files are not parsed.
+_NEWLINES = "length({0}) - length(replace({0}, '\\n', ''))"
+BLOCK_COMMENTS = (
+    "CASE WHEN contains(content, '/*') THEN aggregate(slice(split(content, '/\\\\*', -1), 2, length(content)), "
+    "named_struct('at', " + _NEWLINES.format("substring_index(content, '/*', 1)") + ", 'ranges', "
+    "CAST(array() AS array<struct<a:int,b:int>>)), (acc, p) -> named_struct('at', acc.at + "
+    + _NEWLINES.format("p") + ", 'ranges', concat(acc.ranges, array(named_struct('a', acc.at, 'b', acc.at + "
+    + _NEWLINES.format("substring_index(p, '*/', 1)") + ")))), acc -> acc.ranges) "
+    "ELSE CAST(array() AS array<struct<a:int,b:int>>) END"
+)
 FILE_PARTS = (
     "named_struct('ls', split(content, '\\n', -1), 'low', lower(content), 'lls', split(lower(content), '\\n', -1), "
-    "'idx', sequence(0, size(split(content, '\\n', -1)) - 1))"
+    "'idx', sequence(0, size(split(content, '\\n', -1)) - 1), 'blocks', " + BLOCK_COMMENTS + ")"
 )
 
 
@@ -184,7 +207,7 @@ RULE_SCHEMA = (
 
 FINDING_COLUMNS = [
     "project", "file", "line", "rule_no", "pack", "pack_no", "rule_id", "finding_id", "category", "severity", "rank",
-    "title", "reference", "recommendation", "fix_type", "confidence", "adjust_confidence", "code", "col", "ctx_from",
+    "title", "reference", "recommendation", "fix_type", "confidence", "adjust_confidence", "code", "prev", "in_block", "col", "ctx_from",
     "ctx",
 ]
 
@@ -206,7 +229,8 @@ def detect_rules(corpus: DataFrame, rules, prefilter: bool = True, keep=()) -> D
     first = f"greatest(h.i - {around}, 0)"
     detail = (
         f"transform(flatten(array({', '.join(arrays)})), h -> named_struct('rule_no', h.rule_no, 'i', h.i, "
-        f"'code', get(f.ls, h.i), 'ctx_from', {first}, "
+        f"'code', get(f.ls, h.i), 'prev', get(f.ls, h.i - 1), "
+        f"'in_block', exists(f.blocks, b -> h.i BETWEEN b.a AND b.b), 'ctx_from', {first}, "
         f"'ctx', slice(f.ls, {first} + 1, least(h.i + {around}, size(f.ls) - 1) - {first} + 1)))"
     )
     hits = (
