@@ -229,7 +229,7 @@ SKILL_KIND = 11
 
 # Folder and file end by order key; the last ones exercise excludes.
 PLACES = [
-    ("src/api/order_", ".ts"), ("src/components/order_", ".tsx"), ("src/lib/order_", ".js"),
+    ("src/app/api/order_", ".ts"), ("src/components/order_", ".tsx"), ("src/lib/order_", ".js"),
     ("app/pages/order_", ".jsx"), ("services/order_", ".py"), ("services/order_", ".java"), ("db/order_", ".sql"),
     ("config/order_", ".env"), ("src/auth/order_", ".test.ts"), ("deploy/order_", ".yaml"),
     ("skills/order_", "/SKILL.md"), (".github/workflows/order_", ".yml"), ("node_modules/pkg/order_", ".js"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import oracle as o
-from checks.corpus import _q, code_corpus, corpus, read, text_corpus
+from checks.corpus import _q, code_corpus, corpus, read
 from checks.registry import query
 from scanweave.operators import aggregate as a
 from scanweave.operators import history as h
@@ -421,8 +421,7 @@ def project_status(spark, sf):
        "WHEN 0 THEN 'reject' WHEN 1 THEN 'reject' WHEN 2 THEN 'review' ELSE 'safe' END AS skill_verdict FROM p LEFT JOIN s "
        "ON s.scan_id = p.scan_id GROUP BY p.scan_id")
 def gates(spark, sf):
-    f = processed(spark, sf)
-    return a.gates(f, a.compliance_score(f, ("scan_id",)), ("scan_id",))
+    return a.gates(processed(spark, sf), ("scan_id",))
 
 
 _REVIEWS = (
@@ -490,9 +489,7 @@ _WD = "PARTITION BY project ORDER BY scan_ts DESC, scan_id DESC"
 
 
 def history(spark, sf):
-    f = processed(spark, sf)
-    s = a.compliance_score(f, ("project", "scan_id"))
-    return h.history_entries(f, s)
+    return h.history_entries(processed(spark, sf))
 
 
 @query("w01_latest_scan", f"{_HIST}, x AS (SELECT *, row_number() OVER ({_WD}) AS n FROM hist) SELECT project, scan_id, "
@@ -580,4 +577,3 @@ def budget(spark, sf):
     return h.budget_cutoff(e, "user_id", "ts", 25).select("event_id", "cents_before", "runs")
 
 
-__all__ = ["text_corpus"]

@@ -126,8 +126,11 @@ def step(value: Column, steps, last: str) -> Column:
     return out
 
 
-def compliance_score(findings: DataFrame, by=("project",)) -> DataFrame:
-    """Score, grade and status; baseline and suppressed findings are left out, acknowledged ones weigh a quarter."""
+def compliance_score(findings: DataFrame, by=("project",), extra=()) -> DataFrame:
+    """Score, grade and status; baseline and suppressed findings are left out, acknowledged ones weigh a quarter.
+
+    ``extra`` aggregates run in the same pass.
+    """
     counted = ~flag("is_baseline") & ~flag("suppressed")
     weight = F.when(flag("acknowledged"), ACKNOWLEDGED_FACTOR).otherwise(1.0)
     penalties = [
@@ -136,7 +139,7 @@ def compliance_score(findings: DataFrame, by=("project",)) -> DataFrame:
     ]
     g = findings.groupBy(*by).agg(
         count_where(counted).alias("total"), *severity_counts(counted, list(PENALTY)),
-        count_where(counted & flag("acknowledged")).alias("acknowledged"), *penalties)
+        count_where(counted & flag("acknowledged")).alias("acknowledged"), *penalties, *extra)
     total = sum((F.col(f"penalty_{s}") for s in PENALTY), F.lit(0.0))
     g = g.withColumn("penalty_total", total).withColumn(
         "score", js_round(F.greatest(F.lit(0.0), 100 - F.col("penalty_total"))))
@@ -209,13 +212,13 @@ def project_status(score: Column) -> Column:
     return F.when(score >= 90, "compliant").when(score >= 70, "at_risk").otherwise("critical")
 
 
-def gates(findings: DataFrame, scores: DataFrame, by=("project",)) -> DataFrame:
+def gates(findings: DataFrame, by=("project",)) -> DataFrame:
     """Exit decisions: scan fails on any critical, score fails below 60, enforced review fails on new criticals."""
-    g = findings.groupBy(*by).agg(
-        F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("any_critical"),
-        F.coalesce(F.bool_or((F.col("severity") == "critical") & active()), F.lit(False)).alias("new_critical"),
-        F.min("rank").alias("best"))
-    return g.join(scores.select(*by, "score"), list(by), "left").select(
+    urgent = F.col("severity") == "critical"
+    g = compliance_score(findings, by, [
+        F.bool_or(urgent).alias("any_critical"), F.bool_or(urgent & active()).alias("new_critical"),
+        F.min("rank").alias("best")])
+    return g.select(
         *by, F.col("any_critical").alias("scan_fails"), (F.col("score") < 60).alias("score_fails"),
         F.col("new_critical").alias("review_fails"),
         F.when(F.col("best") <= 1, "reject").when(F.col("best") == 2, "review").otherwise("safe").alias("skill_verdict"))

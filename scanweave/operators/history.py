@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanweave.operators.aggregate import active, js_round, severity_counts
+from scanweave.operators.aggregate import active, compliance_score, js_round, severity_counts
 
 SEVERITY_NAMES = ["critical", "high", "medium", "low"]
 # Days to review per severity, call limits, prices per million tokens.
@@ -19,13 +19,13 @@ CALLS_PER_SCAN = 50
 INPUT_PRICE, OUTPUT_PRICE = 3, 15
 
 
-def history_entries(findings: DataFrame, scores: DataFrame, scan=("project", "scan_id", "scan_ts")) -> DataFrame:
+def history_entries(findings: DataFrame, scan=("project", "scan_id", "scan_ts")) -> DataFrame:
     """One row per scan: score, active counts, distinct failed rules; distinct rules are bounded by the rule table."""
-    g = findings.groupBy(*scan).agg(
-        *severity_counts(active(), SEVERITY_NAMES),
-        F.array_sort(F.collect_set(F.when(active(), F.col("rule_id")))).alias("failed_rules"),
-        F.count_distinct("file").alias("files"))
-    return g.join(scores.select(*scan[:2], "score"), list(scan[:2]), "left")
+    names = [c.alias(f"active_{n}") for c, n in zip(severity_counts(active(), SEVERITY_NAMES), SEVERITY_NAMES)]
+    g = compliance_score(findings, scan, [
+        *names, F.array_sort(F.collect_set(F.when(active(), F.col("rule_id")))).alias("failed_rules"),
+        F.count_distinct("file").alias("files")])
+    return g.select(*scan, "score", *[F.col(f"active_{n}").alias(n) for n in SEVERITY_NAMES], "failed_rules", "files")
 
 
 def _by_time(newest_first: bool = False):
