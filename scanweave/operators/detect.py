@@ -15,8 +15,9 @@ from scanweave.functions.sql import has_any, js_trim, like, lit
 from scanweave.rules.catalog import COMMENT, IMPORT_LINE, line_rules
 from scanweave.rules.model import SEVERITY_RANK, Rule, Scope
 
-LINE_TEXT = "get(f.ls, i)"
-LOW_LINE = "get(f.lls, i)"
+# A file's parts are bound as f, one of its lines as l: l.i its 0-based number, l.x its text, l.low the text lowercased.
+LINE_TEXT = "l.x"
+LOW_LINE = "l.low"
 
 # Client and server hints in paths and contents.
 SERVER_HINTS = [r"(?i)/api/", r"(?i)\.server\.", r"(?i)getServerSideProps", r"(?i)getStaticProps", r"(?i)use server"]
@@ -32,6 +33,7 @@ GENERIC_VALUE = r"(?i)^(?:12345|qwerty|password|admin|test)"
 ASSIGNED_VALUE = r"""[:=]\s*['"`]([^'"`]+)['"`]"""
 
 HIT_TYPE = "array<struct<rule_no:int,i:int>>"
+NO_HITS = f"CAST(array() AS {HIT_TYPE})"
 
 
 def is_client_file() -> str:
@@ -45,9 +47,9 @@ def is_client_file() -> str:
 
 
 def line_hits(corpus: DataFrame, path: str, labelled, gate: str = "true", keep=()) -> DataFrame:
-    """One row per (label, line) where the label's condition on line ``i`` holds, for files on ``path``."""
+    """One row per (label, line) where the label's condition on line ``l`` holds, for files on ``path``."""
     parts = ", ".join(
-        f"transform(filter(f.idx, i -> {cond}), i -> named_struct('label', {lit(label)}, 'i', i, 'text', {LINE_TEXT}))"
+        f"transform(filter(f.lines, l -> {cond}), l -> named_struct('label', {lit(label)}, 'i', l.i, 'text', l.x))"
         for label, cond in labelled)
     hits = per_file(
         f"CASE WHEN {like('file', path)} AND {gate} THEN flatten(array({parts})) ELSE "
@@ -62,8 +64,8 @@ def is_import_line(text: str) -> str:
 
 def window_lines(before: int, after: int) -> str:
     """Lines i-before .. i+after of the file, cut at its ends."""
-    start = f"greatest(i - {before}, 0)" if before else "i"
-    return f"slice(f.ls, {start} + 1, least(i + {after}, size(f.ls) - 1) - {start} + 1)"
+    start = f"greatest(l.i - {before}, 0)" if before else "l.i"
+    return f"slice(f.ls, {start} + 1, least(l.i + {after}, size(f.ls) - 1) - {start} + 1)"
 
 
 def scope_text(scope: Scope) -> str:
@@ -75,7 +77,7 @@ def scope_text(scope: Scope) -> str:
         return "content"
     lines = window_lines(scope.before, scope.after)
     if scope.code_only:
-        lines = f"filter({lines}, l -> NOT ({like('l', COMMENT)}))"
+        lines = f"filter({lines}, t -> NOT ({like('t', COMMENT)}))"
     if scope.kind == "flat":
         return f"regexp_replace(array_join({lines}, ' '), '\\\\s+', ' ')"
     return f"array_join({lines}, '\\n')"
@@ -111,7 +113,7 @@ def _matches(scope: Scope, patterns, prefilter: bool) -> str:
 
 
 def line_condition(rule: Rule, prefilter: bool = True) -> str:
-    """Spark SQL condition on line ``i`` of the file row."""
+    """Spark SQL condition on line ``l`` of file ``f``."""
     terms = []
     for c in rule.require:
         if c.scope.kind == "line":
@@ -153,9 +155,9 @@ def file_condition(rule: Rule, prefilter: bool = True) -> str:
 
 
 def rule_hits(rule: Rule, prefilter: bool = True) -> str:
-    found = f"filter(f.idx, i -> {line_condition(rule, prefilter)})"
-    hits = f"transform({found}, i -> named_struct('rule_no', {rule.no}, 'i', i))"
-    return f"CASE WHEN {file_condition(rule, prefilter)} THEN {hits} ELSE CAST(array() AS {HIT_TYPE}) END"
+    found = f"filter(f.lines, l -> {line_condition(rule, prefilter)})"
+    hits = f"transform({found}, l -> named_struct('rule_no', {rule.no}, 'i', l.i))"
+    return f"CASE WHEN {file_condition(rule, prefilter)} THEN {hits} ELSE {NO_HITS} END"
 
 
 # Line ranges covered by block comments: text after each opener, up to its closer, with running line numbers.
@@ -169,18 +171,18 @@ BLOCK_COMMENTS = (
     + _NEWLINES.format("substring_index(p, '*/', 1)") + ")))), acc -> acc.ranges) "
     "ELSE CAST(array() AS array<struct<a:int,b:int>>) END"
 )
-FILE_PARTS = (
-    "named_struct('ls', split(content, '\\n', -1), 'low', lower(content), 'lls', split(lower(content), '\\n', -1), "
-    "'idx', sequence(0, size(split(content, '\\n', -1)) - 1), 'blocks', " + BLOCK_COMMENTS + ")"
-)
+SPLIT = "split(content, '\\n', -1)"
 
 
 def per_file(expression: str) -> str:
-    """Evaluates ``expression`` over the file's parts ``f``, which are split once per row.
+    """Evaluates ``expression`` over the file's parts ``f``, which are made once per row.
 
     Binding them as a lambda variable keeps the optimizer from copying the split into every use.
     """
-    return f"flatten(transform(array({FILE_PARTS}), f -> {expression}))"
+    parts = (
+        f"named_struct('ls', {SPLIT}, 'low', lower(content), 'lines', transform({SPLIT}, (x, i) -> named_struct('i', i, "
+        f"'x', x, 'low', lower(x))), 'blocks', {BLOCK_COMMENTS})")
+    return f"flatten(transform(array({parts}), f -> {expression}))"
 
 
 def explode_lines(corpus: DataFrame) -> DataFrame:
@@ -224,7 +226,7 @@ def detect_rules(corpus: DataFrame, rules, prefilter: bool = True, keep=()) -> D
     arrays = []
     for p, members in by_pack.items():
         hits = "flatten(array(" + ", ".join(rule_hits(r, prefilter) for r in members) + "))"
-        arrays.append(f"CASE WHEN {like('file', p.path)} THEN {hits} ELSE CAST(array() AS {HIT_TYPE}) END")
+        arrays.append(f"CASE WHEN {like('file', p.path)} THEN {hits} ELSE {NO_HITS} END")
     around = max([p.context or 0 for p in by_pack], default=0)
     first = f"greatest(h.i - {around}, 0)"
     detail = (

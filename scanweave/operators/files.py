@@ -69,7 +69,7 @@ def missing_mfa(corpus: DataFrame) -> DataFrame:
     gate = f"{like('content', any_of(r.patterns))} AND NOT ({like('content', any_of(r.negatives))})"
     cond = f"{like(LINE_TEXT, any_of(r.patterns))} AND NOT ({is_import_line(LINE_TEXT)})"
     found = per_file(
-        f"CASE WHEN {like('file', WEB_CONFIG)} AND {gate} THEN slice(filter(f.idx, i -> {cond}), 1, 1) "
+        f"CASE WHEN {like('file', WEB_CONFIG)} AND {gate} THEN transform(slice(filter(f.lines, l -> {cond}), 1, 1), l -> l.i) "
         "ELSE CAST(array() AS array<int>) END")
     return corpus.select("project", "file", F.explode(F.expr(found)).alias("i")).select(
         "project", "file", (F.col("i") + 1).alias("line"), F.lit(r.id).alias("rule_id"))
@@ -84,8 +84,8 @@ def missing_backup(corpus: DataFrame) -> DataFrame:
     r = rule("BACKUP-001")
     use = like(LINE_TEXT, any_of(r.patterns))
     parts = (
-        f"array(named_struct('use', get(filter(f.idx, i -> {use} AND NOT ({is_import_line(LINE_TEXT)})), 0), "
-        f"'imp', get(filter(f.idx, i -> {use} AND {is_import_line(LINE_TEXT)}), 0)))")
+        f"array(named_struct('use', get(filter(f.lines, l -> {use} AND NOT ({is_import_line(LINE_TEXT)})), 0).i, "
+        f"'imp', get(filter(f.lines, l -> {use} AND {is_import_line(LINE_TEXT)}), 0).i))")
     files = corpus.filter(F.expr(like("file", WEB_MODULES_DATA))).select(
         "project", "file", F.expr(like("content", any_of(r.negatives))).alias("has_backup"),
         F.expr(f"{per_file(parts)}[0]").alias("a"))
@@ -124,11 +124,11 @@ def missing_vulnerability_scan(corpus: DataFrame, root: str = "root") -> DataFra
 def skill_metadata(corpus: DataFrame) -> DataFrame:
     """Author, source, permissions and version (last mention wins) and name (first heading) of each skill file."""
     def matches(p, group=1):
-        return (f"transform(filter(f.idx, i -> {like(LINE_TEXT, p)}), i -> named_struct('i', i, 'v', "
+        return (f"transform(filter(f.lines, l -> {like(LINE_TEXT, p)}), l -> named_struct('i', l.i, 'v', "
                 f"trim(regexp_extract({LINE_TEXT}, {lit(to_java(p))}, {group}))))")
 
     fields = ", ".join(f"'{k}', get(reverse({matches(p)}), 0)" for k, p in SKILL_FIELDS.items())
-    system = f"get(filter(f.idx, i -> {like(LINE_TEXT, SYSTEM_CHANGE)}), 0)"
+    system = f"get(filter(f.lines, l -> {like(LINE_TEXT, SYSTEM_CHANGE)}), 0).i"
     parts = f"array(named_struct({fields}, 'name', get({matches(SKILL_NAME)}, 0), 'system', {system}))"
     skills = corpus.filter(F.expr(like("file", SKILL_FILES)))
     m = skills.select("project", "file", F.expr(f"{per_file(parts)}[0]").alias("m"))

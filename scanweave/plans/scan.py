@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.operators import lifecycle as lc
 from scanweave.operators.detect import detect
 from scanweave.rules.catalog import CATEGORY_PACKS, PACK_NAMES
 
@@ -20,3 +21,14 @@ def detect_categories(corpus: DataFrame, categories, keep=()) -> DataFrame:
     bridge = pack_bridge(corpus.sparkSession, categories)
     names = [p for p in PACK_NAMES if any(p in CATEGORY_PACKS[c] for c in categories)]
     return detect(corpus, names, keep=keep).join(F.broadcast(bridge), "pack")
+
+
+def scan(corpus: DataFrame, categories=None, acks=(), as_of: str = "1970-01-01", baseline: DataFrame | None = None,
+         min_confidence: str | None = None, keep=()) -> DataFrame:
+    """A whole scan: detection, acknowledgement, suppression, confidence, baseline, demotion, duplicates."""
+    found = detect_categories(corpus, list(categories or CATEGORY_PACKS), keep)
+    found = lc.classify_confidence(lc.suppress(lc.acknowledge(found, acks, as_of)))
+    found = lc.apply_baseline(found, baseline) if baseline is not None else found.withColumn("is_baseline", F.lit(False))
+    if min_confidence:
+        found = lc.demote_below(found, min_confidence)
+    return lc.dedupe(found)

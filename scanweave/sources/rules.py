@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanweave.rules.catalog import CATEGORY_PACKS, packs
 from scanweave.rules.model import CATEGORIES, LINE, SEVERITY_RANK, Condition, Pack, Rule
@@ -32,7 +33,7 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return load_rules(spark.read.schema(RULE_ROWS).json(path))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _compiles(patterns: pd.Series) -> pd.Series:
     def ok(p):
         try:
