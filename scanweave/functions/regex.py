@@ -64,7 +64,7 @@ def _items(tree):
 
 def _best(options):
     options = [o for o in options if o and all(len(w) > 1 for w in o)]
-    return max(options, key=lambda o: (min(len(w) for w in o), -len(o)), default=None)
+    return max(options, key=lambda o: (min(len(w) for w in o) > 3, -len(o), min(len(w) for w in o)), default=None)
 
 
 def _required(tree):
@@ -81,6 +81,10 @@ def _required(tree):
         if op == "LITERAL" and 31 < arg < 127:
             run += chr(arg).lower()
             continue
+        if run and op in ("SUBPATTERN", "BRANCH"):
+            starts = _leading([(op, arg)])
+            if starts:
+                options.append(frozenset(run + w for w in starts))
         flush()
         if op == "SUBPATTERN":
             options.append(_required(arg[3]))

@@ -234,9 +234,10 @@ def normalize_model_findings(responses: DataFrame) -> DataFrame:
     )
 
 
-def reuse_cached(corpus: DataFrame, rules: DataFrame, cache: DataFrame, as_of, ttl_hours: int = 24):
+def reuse_cached(corpus: DataFrame, rule_ids, cache: DataFrame, as_of, ttl_hours: int = 24):
     """(pairs to run, cached results): results keyed by content hash and rule, younger than the limit."""
-    pairs = corpus.withColumn("content_hash", F.sha2("content", 256)).join(F.broadcast(rules.select("rule_id")))
+    ids = F.array(*[F.lit(r) for r in rule_ids])
+    pairs = corpus.withColumns({"content_hash": F.sha2("content", 256), "rule_id": F.explode(ids)})
     fresh = cache.filter(F.col("cached_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {ttl_hours} HOURS"))
     keys = ["content_hash", "rule_id"]
     return pairs.join(fresh.select(*keys), keys, "left_anti"), pairs.join(fresh, keys)

@@ -40,7 +40,8 @@ def by_severity(findings: DataFrame, limits=None, by: str = "scan_id") -> DataFr
     if limits:
         w = Window.partitionBy(by, "severity").orderBy("file", "line", "rule_no")
         cap = F.coalesce(*[F.when(F.col("severity") == s, n) for s, n in limits.items()])
-        f = f.filter(F.col("severity").isin(*limits)).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap)
+        f = f.filter(F.col("severity").isin(*limits)).withColumn("n", F.row_number().over(w)).filter(
+            F.col("n") <= max(limits.values())).filter(F.col("n") <= cap)
     return f
 
 

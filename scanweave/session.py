@@ -1,10 +1,8 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings for one machine."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -19,21 +17,3 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the cluster's shared checkpoint folder.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a local session without one gets a
-    temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="scanweave-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -49,7 +49,7 @@ CASES = [
     ("RBAC-002", "src/components/a.server.tsx", "const isAdmin = true", None),
     ("CRED-001", "a.ts", "const h = createHash('md5')\nsave(password)", 1),
     ("CRED-001", "a.ts", "const h = createHash('md5')\nsave(report)", None),
-    ("CRED-002", ".env.local", "token = 'abcdefgh12345678'", 1),
+    ("CRED-002", ".env.local", "token = 'q9cdefgh12345678'", 1),
     ("CRED-002", "a.ts", "token = 'your-token-goes-here'", None),
     ("CRED-002", "a.ts", "password = 'admin-password'", None),
     ("ERROR-001", "a.ts", "res.json({ e: err.message })", 1),
@@ -63,7 +63,8 @@ CASES = [
     ("CONFIG-001", "a.ts", "x = {\n debug: true }", 2),
     ("CONFIG-001", "a.ts", "if (NODE_ENV)\n debug: true", None),
     ("CORS-001", "a.ts", "cors({\n  origin: '*'\n})", 1),
-    ("CORS-001", "a.ts", "cors({\n  origin: '*'\n})\nwhitelist", None),
+    ("CORS-001", "a.ts", "cors({\n  origin: '*'\n}) // x\nb", 1),
+    ("CORS-001", "a.ts", "cors({\n  origin: '*'\n}); whitelist", None),
     ("API-001", "a.ts", "get('/x?ssn=1')", 1),
     ("API-002", "a.ts", "app.use(express.json())", 1),
     ("API-002", "a.ts", "const limit = { limit: 1 }\napp.use(express.json())", None),
