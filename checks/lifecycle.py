@@ -13,6 +13,7 @@ from scanweave.operators import lifecycle as lc
 from scanweave.operators import detect as d
 from scanweave.plans.scan import detect_categories
 from scanweave.rules.catalog import LINE_PACKS
+from scanweave.sources.tables import stored
 
 AS_OF = "1999-01-01"
 BASELINE_UNTIL = "1996-06-01"
@@ -42,7 +43,7 @@ def found(spark, sf):
 
 def processed(spark, sf):
     """Findings after every lifecycle step; the baseline holds findings of scans before a date."""
-    f = lc.classify_confidence(lc.suppress(lc.acknowledge(found(spark, sf), ACKS, AS_OF)))
+    f = stored(lc.classify_confidence(lc.suppress(lc.acknowledge(found(spark, sf), ACKS, AS_OF))), "findings")
     old = lc.baseline_of(f.filter(F.col("scan_ts") < F.lit(BASELINE_UNTIL).cast("timestamp")))
     return lc.apply_baseline(f, old)
 
@@ -489,7 +490,8 @@ _WD = "PARTITION BY project ORDER BY scan_ts DESC, scan_id DESC"
 
 
 def history(spark, sf):
-    return h.history_entries(processed(spark, sf))
+    """The history table; the queries on it read it more than once, so it is written first, as in use."""
+    return stored(h.history_entries(processed(spark, sf)), "history")
 
 
 @query("w01_latest_scan", f"{_HIST}, x AS (SELECT *, row_number() OVER ({_WD}) AS n FROM hist) SELECT project, scan_id, "

@@ -52,18 +52,20 @@ def group_key(findings: DataFrame) -> DataFrame:
 def group_findings(findings: DataFrame, by=()) -> DataFrame:
     """One row per severity and normalized title; attributes of the first member, counts over all.
 
-    Members stay in the findings table under the same key: a rule's whole list of places is never gathered.
+    Files are counted by grouping per file first, which reads the findings once. Members stay in the findings table
+    under the same key: a rule's whole list of places is never gathered.
     """
     keys = [*by, "severity", "title_key"]
     first = F.struct(*SEQ)
     attrs = F.struct("finding_id", "category", "title", "reference", "recommendation")
-    g = group_key(findings).groupBy(*keys).agg(
-        F.count("*").alias("occurrence_count"), F.min_by(attrs, first).alias("m"), F.min(first).alias("first"))
-    files = group_key(findings).groupBy(*keys, "file").agg(F.lit(1).alias("one")).groupBy(*keys).agg(
-        F.count("one").alias("file_count"))
-    clean = F.expr("CASE WHEN m.finding_id RLIKE '^[a-z]' THEN regexp_replace(m.finding_id, '-[0-9]+\\\\z', '') "
+    per_file = group_key(findings).groupBy(*keys, "file").agg(
+        F.count("*").alias("n"), F.min_by(attrs, first).alias("m"), F.min(first).alias("first"))
+    g = per_file.groupBy(*keys).agg(
+        F.sum("n").alias("occurrence_count"), F.count("*").alias("file_count"), F.min_by("m", "first").alias("m"),
+        F.min("first").alias("first"))
+    clean = F.expr("CASE WHEN m.finding_id RLIKE '^[a-z]' THEN regexp_replace(m.finding_id, '-[0-9]+$', '') "
                    "ELSE m.finding_id END")
-    return g.join(files, keys).select(
+    return g.select(
         *by, clean.alias("group_id"), "severity", "title_key", "m.category", "m.title", "m.reference",
         "occurrence_count", "file_count", F.col("first.rank").alias("rank"))
 
