@@ -14,6 +14,19 @@ SPACE = r"\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+_WORD_NEXT = re.compile(r"(?:\\[dw]|[A-Za-z0-9])(?![?*{])|\\[dw]\{[1-9]")
+_WORD_BEFORE = re.compile(r"(?:(?<!\\)[A-Za-z0-9]|\\[dw](?:\{[1-9]\d*(?:,\d*)?\})?)$")
+
+
+def _boundary(pattern: str, i: int) -> str:
+    """``\\b`` at position i; one look is enough where a word character surely stands on one side."""
+    if _WORD_NEXT.match(pattern, i + 2):
+        return r"(?<!\w)"
+    if _WORD_BEFORE.search(pattern[:i]):
+        return r"(?!\w)"
+    return BOUNDARY
+
+
 @lru_cache(maxsize=None)
 def to_java(pattern: str) -> str:
     out, in_class, i = [], False, 0
@@ -22,7 +35,7 @@ def to_java(pattern: str) -> str:
         if c == "\\":
             e = pattern[i + 1]
             if e == "b" and not in_class:
-                out.append(BOUNDARY)
+                out.append(_boundary(pattern, i))
             elif e == "s":
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif e == "S" and not in_class:

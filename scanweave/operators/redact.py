@@ -37,7 +37,8 @@ def scrub(texts: DataFrame, column: str = "text") -> DataFrame:
                   f"ELSE concat({name}, x) END), '')")
         pairs = (f"transform(regexp_extract_all(s.clean, {p}, 0), (x, j) -> named_struct('placeholder', "
                  f"concat('[PHI_{kind}_', j + 1, ']'), 'original', x))")
-        steps = (f"transform({steps}, s -> CASE WHEN {column} RLIKE {p} THEN named_struct('clean', {joined}, 'replaced', "
+        needed = f"contains({column}, '@') AND " if kind == "EMAIL" else ""
+        steps = (f"transform({steps}, s -> CASE WHEN {needed}{column} RLIKE {p} THEN named_struct('clean', {joined}, 'replaced', "
                  f"concat(s.replaced, {pairs})) ELSE s END)")
     counts = ", ".join(
         f"'{kind}', size(filter(replaced, r -> startswith(r.placeholder, '[PHI_{kind}_')))" for kind, _ in KINDS)
