@@ -13,7 +13,7 @@ from scanweave.sources.tables import stored
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "ordered", "running", "stored", "arrow_function"]
+__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "ordered", "running", "stored", "hashed_sample", "arrow_function"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -60,6 +60,13 @@ def running(table: DataFrame, group: list[str], order: list[str], weight: Column
         "w__", "in__", "head__", "p__", *[f"g__{c}" for c in group])
 
 
+def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows, those whose hash of ``keys`` is small; twice as many at most, which only binds where one key
+    repeats so often that it alone exceeds the sample."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))).limit(2 * rows)
+
+
 def arrow_function(make, *given):
     """A function for mapInArrow that builds its state with ``make(*given)`` once per task and maps each record batch to
     any number of batches."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import bpe, exact_dedup, line_dedup, mixing, sharding
+from scanweave.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, ngram_lm, quality, secrets, sharding
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -36,6 +36,16 @@ def op1(spark, sf_dir):
     return bpe.digests(_documents(spark, sf_dir), tokenizer_path())
 
 
+@_query("op2_ngram_join")
+def op2(spark, sf_dir):
+    return ngram_join.near_duplicates(_documents(spark, sf_dir))
+
+
+@_query("op3_ngram_lm")
+def op3(spark, sf_dir):
+    return ngram_lm.score(_documents(spark, sf_dir))
+
+
 @_query("op4_line_dedup", line_dedup.SQL)
 def op4(spark, sf_dir):
     return line_dedup.line_report(_documents(spark, sf_dir))
@@ -51,6 +61,22 @@ def op6(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_query("op7_quality")
+def op7(spark, sf_dir):
+    return quality.classify(_documents(spark, sf_dir))
+
+
+@_query("op8_ann")
+def op8(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 @_query("op9_kd_shards")
 def op9(spark, sf_dir):
     return sharding.shard(_documents(spark, sf_dir))
+
+
+@_query("op10_secrets")
+def op10(spark, sf_dir):
+    return secrets.secret_report(_documents(spark, sf_dir))
