@@ -71,8 +71,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: float = FINE) -> DataFram
     total, low, high = rows.agg(F.sum("size"), F.min("size"), F.max("size")).first()
     most = max(1.0, (total or 0) / shards * fine)
     group = ["size", "text_crc32", "lang"]
-    parts = rows.groupBy(*group).agg(F.ceil(F.sum("size") / F.lit(most)).alias("parts"))
-    dealt = rows.join(parts, group).withColumn("tie", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
+    # a group with several parts is above ``most``, so there are fewer of them than shards / fine
+    large = rows.groupBy(*group).agg(F.ceil(F.sum("size") / F.lit(most)).alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(F.broadcast(large), group, "left").withColumn("tie", F.pmod(F.xxhash64("doc_id"), parts)).drop("parts")
     dealt = stored(dealt, "dealt")
     spread = max(1e-9, (math.log2(high or 1) - math.log2(low or 1)))
     units = dealt.groupBy(*group, "tie").agg(F.sum("size").alias("bytes")).select(
