@@ -27,7 +27,7 @@ from scanweave.llm.elias_fano import EliasFano, Folder, from_bytes, to_bytes
 from scanweave.sources.tables import work_folder
 
 #: Words and pairs in a file, words that a task remembers, tokens that it handles at a time, steps of a factor of ten.
-FILE_WORDS, FILE_PAIRS, KEPT_WORDS, TOKENS_AT_ONCE, STEPS = 1 << 21, 1 << 22, 1_000_000, 3_000_000, 4096
+FILE_WORDS, FILE_PAIRS, KEPT_WORDS, TOKENS_AT_ONCE, STEPS = 1 << 20, 1 << 21, 300_000, 1_000_000, 4096
 #: The end of a text, which is also the context of its first word.
 END = 0
 
@@ -87,7 +87,7 @@ def _count_words(batches):
         for _, run in _groups(batch, 0):
             kept.append(np.unique(tokens.read(run)[0], return_counts=True))
             n += len(kept[-1][0])
-            if n > 2_000_000:
+            if n > TOKENS_AT_ONCE:
                 yield from flush()
                 kept, n = [], 0
     if kept:
