@@ -22,7 +22,7 @@ from scanweave.llm.components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
 #: Nodes and bytes of n-gram sets of a block; two blocks meet in one task. Words that a task remembers.
-BLOCK_NODES, BLOCK_BYTES, KEPT_WORDS = 1024, 24 << 20, 500_000
+BLOCK_NODES, BLOCK_BYTES, KEPT_WORDS = 1024, 24 << 20, 200_000
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:

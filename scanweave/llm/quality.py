@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from scanweave.llm.common import arrow_function, hashed_sample, whole_text
 
 #: Documents that train the scorer, its width, words that a task remembers, and the score below which a document goes.
-TRAIN_DOCS, WIDTH, KEPT_WORDS, LEAST = 4_000, 1 << 10, 400_000, 0.5
+TRAIN_DOCS, WIDTH, KEPT_WORDS, LEAST = 4_000, 1 << 10, 200_000, 0.5
 LABELLERS = ("symbols", "bare marks", "capitals", "repeats", "stutter", "sentences")
 _MARKS = frozenset("#$%&*|@^~<>{}[]\\=_+!")
 _SYMBOL, _BARE, _CAPITAL, _STOP = 1, 2, 4, 8
