@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from scanweave.functions.sql import lit
 
-SMALL_SPLIT = 8 << 20
 
 SNIPPETS = r'''
 const ssn = "123-45-{n}";
@@ -239,11 +238,8 @@ DOC_ENDS = [".ts", ".js", ".py", ".java", ".md", ".json"]
 
 
 def read(spark, sf_dir: str, table: str):
-    """A given table. A table too small to fill the cores in file splits is spread over them once."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
+    """A given table, spread over all cores: its rows become whole files, many times their size."""
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def _array(values, quote) -> str:

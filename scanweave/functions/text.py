@@ -63,11 +63,10 @@ def format_reference(column: str) -> Column:
     section = f"regexp_replace(regexp_extract(p, {lit(to_java(r'(\d{3}\.\d+(?:\s*\([^)]*\))*)'))}, 1), {lit(space + '+')}, '')"
     inline = f"regexp_extract(p, {lit(dash + to_java(r'\s*(.+)$'))}, 1)"
     names = "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in SECTION_NAMES.items()) + ")"
-    shorter, steps = section, []
-    for _ in range(5):
-        steps.append(f"element_at({names}, {shorter})")
-        shorter = f"regexp_replace({shorter}, '\\\\([^)]*\\\\)\\\\z', '')"
-    name = f"coalesce(nullif(trim({inline}), ''), {', '.join(steps)})"
+    # the longest known section that the citation is, or lies below: what follows it starts with a bracket
+    fits = f"filter(map_keys({names}), k -> {section} = k OR startswith({section}, concat(k, '(')))"
+    longest = f"get(array_sort(transform({fits}, k -> named_struct('n', -length(k), 'k', k))), 0).k"
+    name = f"coalesce(nullif(trim({inline}), ''), element_at({names}, {longest}))"
     canonical = (
         f"concat('45 CFR §', {section}, coalesce(concat(' — ', {name}), ''), "
         f"CASE WHEN p RLIKE {lit(to_java(r'(?i)\bNPRM\b'))} THEN ' (NPRM — proposed rule)' ELSE '' END)")

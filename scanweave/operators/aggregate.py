@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.sql import js_trim, like, lit
 from scanweave.functions.regex import to_java
-from scanweave.operators.lifecycle import SEQ
+from scanweave.operators.lifecycle import SEQ, scope
 from scanweave.rules.model import CATEGORIES, SEVERITY_RANK
 
 # Penalties, thresholds and labels.
@@ -84,14 +84,16 @@ def is_proposed() -> Column:
 
 
 def group_by_location(findings: DataFrame) -> DataFrame:
-    """Findings on the same file, line and category; proposed ones do not raise the headline severity."""
+    """Findings of one project and scan on the same file, line and category; proposed ones do not raise the headline
+    severity."""
+    keys = [*scope(findings), "file", "line", "category"]
     member = F.struct("rank", "title", "severity", "finding_id")
-    g = findings.groupBy("file", "line", "category").agg(
+    g = findings.groupBy(*keys).agg(
         F.min(F.when(~is_proposed(), F.col("rank"))).alias("current_rank"), F.min("rank").alias("any_rank"),
         F.sort_array(F.collect_list(member)).alias("members"))
     rank = F.coalesce("current_rank", "any_rank")
     names = F.array(*[F.lit(s) for s in SEVERITIES])
-    return g.select("file", "line", "category", F.get(names, rank).alias("severity"), rank.alias("rank"), "members")
+    return g.select(*keys, F.get(names, rank).alias("severity"), rank.alias("rank"), "members")
 
 
 def partition_proposed(findings: DataFrame):
@@ -99,16 +101,28 @@ def partition_proposed(findings: DataFrame):
     return findings.filter(~is_proposed()), findings.filter(is_proposed()).orderBy("file", "line", "title")
 
 
-def report_summary(findings: DataFrame, raw_count: str = "raw_count", by=("project",)) -> DataFrame:
-    """Counters of a report in one pass; ``raw_count`` is taken before duplicates are dropped."""
+def with_clean(counted: DataFrame, units: DataFrame | None, by) -> DataFrame:
+    """Adds the rows of ``units`` (all projects or scans) that have no findings: counts 0, flags false, lists empty."""
+    if units is None:
+        return counted
+    out = units.select(*by).distinct().join(counted, list(by), "left")
+    zero = {"boolean": F.lit(False), "bigint": F.lit(0), "int": F.lit(0), "double": F.lit(0.0)}
+    return out.withColumns({
+        c: F.coalesce(c, zero.get(t, F.array()).cast(t)) for c, t in counted.dtypes
+        if c not in by and (t in zero or t.startswith("array"))})
+
+
+def report_summary(findings: DataFrame, raw_count: str = "raw_count", by=("project",), units: DataFrame | None = None) -> DataFrame:
+    """Counters of a report in one pass; ``raw_count`` is taken before duplicates are dropped. ``units``: see
+    ``with_clean``."""
     new = active()
     expired = F.coalesce(F.col("acknowledgment.expired"), F.lit(False))
-    return findings.groupBy(*by).agg(
+    return with_clean(findings.groupBy(*by).agg(
         F.count("*").alias("total"),
         F.count_distinct(F.concat_ws("::", "severity", "title")).alias("unique_findings"),
         count_where(flag("acknowledged") & ~expired).alias("acknowledged"),
         count_where(flag("suppressed")).alias("suppressed"), count_where(flag("is_baseline")).alias("baseline"),
-        count_where(new).alias("unacknowledged"), *severity_counts(new))
+        count_where(new).alias("unacknowledged"), *severity_counts(new)), units, by)
 
 
 def vulnerability_counts(vulnerabilities: DataFrame, by=("project",)) -> DataFrame:
@@ -128,10 +142,10 @@ def step(value: Column, steps, last: str) -> Column:
     return out
 
 
-def compliance_score(findings: DataFrame, by=("project",), extra=()) -> DataFrame:
+def compliance_score(findings: DataFrame, by=("project",), extra=(), units: DataFrame | None = None) -> DataFrame:
     """Score, grade and status; baseline and suppressed findings are left out, acknowledged ones weigh a quarter.
 
-    ``extra`` aggregates run in the same pass.
+    ``extra`` aggregates run in the same pass. ``units`` holds all projects or scans, so that clean ones score 100.
     """
     counted = ~flag("is_baseline") & ~flag("suppressed")
     weight = F.when(flag("acknowledged"), ACKNOWLEDGED_FACTOR).otherwise(1.0)
@@ -142,6 +156,7 @@ def compliance_score(findings: DataFrame, by=("project",), extra=()) -> DataFram
     g = findings.groupBy(*by).agg(
         count_where(counted).alias("total"), *severity_counts(counted, list(PENALTY)),
         count_where(counted & flag("acknowledged")).alias("acknowledged"), *penalties, *extra)
+    g = with_clean(g, units, by)
     total = sum((F.col(f"penalty_{s}") for s in PENALTY), F.lit(0.0))
     g = g.withColumn("penalty_total", total).withColumn(
         "score", js_round(F.greatest(F.lit(0.0), 100 - F.col("penalty_total"))))
@@ -186,9 +201,9 @@ def category_scores(findings: DataFrame, by=("project",)) -> DataFrame:
         "score", F.when(F.col("overall") == 1, step(F.col("score"), steps, "F")).alias("grade"))
 
 
-def executive_status(findings: DataFrame, by=("project",)) -> DataFrame:
+def executive_status(findings: DataFrame, by=("project",), units: DataFrame | None = None) -> DataFrame:
     """Overall status and risk level from the counts of new critical and high findings."""
-    g = findings.groupBy(*by).agg(*severity_counts(active(), ["critical", "high"]))
+    g = with_clean(findings.groupBy(*by).agg(*severity_counts(active(), ["critical", "high"])), units, by)
     c, h = F.col("critical"), F.col("high")
     return g.withColumns({
         "status": F.when((c == 0) & (h == 0), "compliant").when((c == 0) & (h <= 3), "needs-attention")
@@ -214,16 +229,16 @@ def project_status(score: Column) -> Column:
     return F.when(score >= 90, "compliant").when(score >= 70, "at_risk").otherwise("critical")
 
 
-def gates(findings: DataFrame, by=("project",)) -> DataFrame:
+def gates(findings: DataFrame, by=("project",), units: DataFrame | None = None) -> DataFrame:
     """Exit decisions: scan fails on any critical, score fails below 60, enforced review fails on new criticals."""
     urgent = F.col("severity") == "critical"
     g = compliance_score(findings, by, [
         F.bool_or(urgent).alias("any_critical"), F.bool_or(urgent & active()).alias("new_critical"),
-        F.min("rank").alias("best")])
+        F.max(F.lit(4) - F.col("rank")).alias("worst")], units)
     return g.select(
         *by, F.col("any_critical").alias("scan_fails"), (F.col("score") < 60).alias("score_fails"),
         F.col("new_critical").alias("review_fails"),
-        F.when(F.col("best") <= 1, "reject").when(F.col("best") == 2, "review").otherwise("safe").alias("skill_verdict"))
+        F.when(F.col("worst") >= 3, "reject").when(F.col("worst") == 2, "review").otherwise("safe").alias("skill_verdict"))
 
 
 def headline(findings: DataFrame, by=("project",)) -> DataFrame:
@@ -243,7 +258,7 @@ def issue_types(findings: DataFrame) -> DataFrame:
 def per_file_issues(findings: DataFrame) -> DataFrame:
     """Editor view: counts per file and its findings by line; a file's list is bounded by the file's own size."""
     entry = F.struct("line", "rank", "finding_id")
-    return findings.groupBy("file").agg(
+    return findings.groupBy(*scope(findings), "file").agg(
         F.count("*").alias("findings"), count_where(F.col("rank") <= 1).alias("urgent"),
         F.sort_array(F.collect_list(entry)).alias("entries"))
 

@@ -162,22 +162,26 @@ def fix_steps(findings: DataFrame) -> DataFrame:
         "project", "file", "line", "k", "s.*")
 
 
-def _steps_by_file(steps: DataFrame) -> DataFrame:
-    """Applied steps of each file, last line first; bounded by the file's size."""
-    applied = steps.filter("fixed")
-    order = F.struct((-F.col("line")).alias("up"), "k", "line", "finding_id", "fix_type", "title", "reference", "after")
-    return applied.groupBy("file").agg(F.sort_array(F.collect_list(order)).alias("steps"))
+def _finals(applied: DataFrame) -> DataFrame:
+    """For each changed file its changed lines in order, with their last text; bounded by the file's size."""
+    lines = applied.groupBy("project", "file", "line").agg(F.max_by("after", "k").alias("after"))
+    return lines.groupBy("project", "file").agg(F.sort_array(F.collect_list(F.struct("line", "after"))).alias("_finals"))
 
 
-_FINAL = "map_from_entries(transform(array_distinct(transform(steps, s -> s.line)), n -> " \
-         "named_struct('k', n, 'v', element_at(filter(steps, s -> s.line = n), -1).after)))"
+def _fixed_lines(lines: str, finals: str) -> str:
+    """The lines with the changed ones in place: unchanged stretches are cut out once, so the cost is the file's length."""
+    before = f"coalesce(get({finals}, i - 1).line, 0)"
+    last = f"element_at({finals}, -1).line"
+    return (f"flatten(concat(transform({finals}, (s, i) -> concat(slice({lines}, {before} + 1, s.line - 1 - {before}), array(s.after))), "
+            f"array(slice({lines}, {last} + 1, size({lines}) - {last}))))")
 
 
 def apply_fixes(corpus: DataFrame, steps: DataFrame) -> DataFrame:
-    """Corpus rows of changed files with their new content."""
-    f = corpus.join(_steps_by_file(steps), "file").withColumn("_final", F.expr(_FINAL))
-    new = "array_join(transform(split(content, '\\n', -1), (l, i) -> coalesce(element_at(_final, i + 1), l)), '\\n')"
-    return f.withColumn("fixed_content", F.expr(new)).drop("_final", "steps")
+    """Corpus rows of changed files with their new content; files are told apart by project and path."""
+    f = corpus.join(_finals(steps.filter("fixed")), ["project", "file"])
+    bound = "array(named_struct('ls', split(content, '\\n', -1), 'fs', _finals))"
+    new = f"array_join(transform({bound}, b -> {_fixed_lines('b.ls', 'b.fs')})[0], '\\n')"
+    return f.withColumn("fixed_content", F.expr(new)).drop("_finals")
 
 
 def evidence(corpus: DataFrame, steps: DataFrame, around: int = 3) -> DataFrame:
@@ -185,9 +189,11 @@ def evidence(corpus: DataFrame, steps: DataFrame, around: int = 3) -> DataFrame:
 
     After a step, lines below it carry all their fixes and lines above it are still original.
     """
-    f = corpus.join(_steps_by_file(steps), "file").withColumn("_final", F.expr(_FINAL))
-    text = ("array_join(transform(split(content, '\\n', -1), (l, i) -> CASE WHEN i + 1 > s.line THEN "
-            "coalesce(element_at(_final, i + 1), l) WHEN i + 1 = s.line THEN s.after ELSE l END), '\\n')")
+    applied = steps.filter("fixed")
+    order = F.struct((-F.col("line")).alias("up"), "k", "line", "finding_id", "fix_type", "title", "reference", "after")
+    by_file = applied.groupBy("project", "file").agg(F.sort_array(F.collect_list(order)).alias("steps"))
+    f = corpus.join(by_file, ["project", "file"]).join(_finals(applied), ["project", "file"])
+    text = ("array_join(concat(slice(b.ls, 1, s.line - 1), array(s.after), slice(b.fl, s.line + 1, size(b.ls) - s.line)), '\\n')")
 
     def snapshot(lines):
         first = f"greatest(s.line - 1 - {around}, 0)"
@@ -197,9 +203,10 @@ def evidence(corpus: DataFrame, steps: DataFrame, around: int = 3) -> DataFrame:
 
     row = (f"transform(steps, (s, n) -> transform(array({text}), t -> named_struct('step', n, 'line', s.line, 'finding_id', "
            "s.finding_id, 'fix_type', s.fix_type, 'title', s.title, 'reference', s.reference, 'hash_before', "
-           f"sha2(content, 256), 'hash_after', sha2(t, 256), 'before', {snapshot('ls')}, "
+           f"sha2(content, 256), 'hash_after', sha2(t, 256), 'before', {snapshot('b.ls')}, "
            f"'after', {snapshot(chr(115) + 'plit(t, ' + chr(39) + chr(92) + 'n' + chr(39) + ', -1)')}))[0])")
-    row = f"flatten(transform(array(split(content, '\\n', -1)), ls -> {row}))"
+    first = "transform(array(split(content, '\\n', -1)), ls -> named_struct('ls', ls, 'fl', " + _fixed_lines("ls", "_finals") + "))"
+    row = f"flatten(transform({first}, b -> {row}))"
     return f.select("project", "file", F.explode(F.expr(row)).alias("e")).select("project", "file", "e.*")
 
 
@@ -213,7 +220,7 @@ def trail_hash(evidence_rows: DataFrame, by, ts: str) -> DataFrame:
 def fix_report(steps: DataFrame) -> DataFrame:
     """Per file: its applied fixes by line and the number skipped."""
     entry = F.when(F.col("fixed"), F.struct("line", "k", "fix_type"))
-    return steps.groupBy("file").agg(
+    return steps.groupBy("project", "file").agg(
         F.count_if("fixed").alias("fixed"), F.count_if(~F.col("fixed")).alias("skipped"),
         F.sort_array(F.collect_list(entry)).alias("fixes"))
 
@@ -225,8 +232,9 @@ def manual_reviews(findings: DataFrame, created: str = "scan_ts") -> DataFrame:
         review_deadline(created).alias("deadline"), F.col(created).alias("updated_at"))
 
 
-def update_reviews(reviews: DataFrame, updates: DataFrame, keys=("file", "line", "finding_id")) -> DataFrame:
-    """The latest status of each review; an update of an unknown review is ignored."""
+def update_reviews(reviews: DataFrame, updates: DataFrame, keys=("project", "file", "line", "finding_id")) -> DataFrame:
+    """The latest status of each review; an update of an unknown review is ignored. Keys that a table lacks don't count."""
+    keys = [k for k in keys if k in reviews.columns and k in updates.columns]
     last = updates.groupBy(*keys).agg(
         F.max_by("status", "updated_at").alias("_status"), F.max("updated_at").alias("_at"))
     return reviews.join(last, list(keys), "left").withColumns({

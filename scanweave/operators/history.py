@@ -19,12 +19,18 @@ CALLS_PER_SCAN = 50
 INPUT_PRICE, OUTPUT_PRICE = 3, 15
 
 
-def history_entries(findings: DataFrame, scan=("project", "scan_id", "scan_ts")) -> DataFrame:
-    """One row per scan: score, active counts, distinct failed rules; distinct rules are bounded by the rule table."""
+def history_entries(findings: DataFrame, scan=("project", "scan_id", "scan_ts"), scans: DataFrame | None = None) -> DataFrame:
+    """One row per scan: score, active counts, distinct failed rules; distinct rules are bounded by the rule table.
+
+    ``scans`` holds every scan, and may hold ``files``, the number of files that it read: then clean scans have an entry
+    too. Without it, only scans with findings have one, and ``files`` counts files with findings.
+    """
     names = [c.alias(f"active_{n}") for c, n in zip(severity_counts(active(), SEVERITY_NAMES), SEVERITY_NAMES)]
     g = compliance_score(findings, scan, [
         *names, F.array_sort(F.collect_set(F.when(active(), F.col("rule_id")))).alias("failed_rules"),
-        F.count_distinct("file").alias("files")])
+        F.count_distinct("file").alias("files")], scans)
+    if scans is not None and "files" in scans.columns:
+        g = g.drop("files").join(scans.select(*scan, "files"), list(scan))
     return g.select(*scan, "score", *[F.col(f"active_{n}").alias(n) for n in SEVERITY_NAMES], "failed_rules", "files")
 
 

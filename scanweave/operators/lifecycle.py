@@ -40,15 +40,26 @@ class Ack:
     ticket: str | None = None
 
 
-def acknowledge(findings: DataFrame, acks, as_of: str) -> DataFrame:
+#: What keeps findings of one scan apart from those of others; an operator uses the columns that its input has.
+SCOPE = ("project", "scan_id")
+ACKNOWLEDGMENT = "struct<reason:string,by:string,at:string,ticket:string,expired:boolean>"
+
+
+def scope(*tables: DataFrame, of=SCOPE) -> list[str]:
+    """The columns of ``of`` that all tables have."""
+    return [c for c in of if all(c in t.columns for t in tables)]
+
+
+def acknowledge(findings: DataFrame, acks, as_of: str | None = None) -> DataFrame:
     """The first acknowledgement, in list order, whose path glob and optional id, category and severity fit.
 
-    The list is configuration, so it becomes one CASE expression instead of a join.
+    The list is configuration, so it becomes one CASE expression instead of a join. ``as_of`` decides what has expired;
+    without it, the time of the run does.
     """
     def text(value):
         return "CAST(NULL AS STRING)" if value is None else lit(value)
 
-    cases = []
+    cases, now = [], f"CAST({lit(as_of)} AS TIMESTAMP)" if as_of else "current_timestamp()"
     for a in acks:
         terms = [like("file", glob_to_regex(a.pattern))]
         if a.id:
@@ -57,12 +68,12 @@ def acknowledge(findings: DataFrame, acks, as_of: str) -> DataFrame:
             terms.append(f"category = {lit(a.category)}")
         if a.severity:
             terms.append(f"severity = {lit(a.severity)}")
-        expired = f"CAST({lit(a.expires_at)} AS TIMESTAMP) < CAST({lit(as_of)} AS TIMESTAMP)" if a.expires_at else "false"
+        expired = f"CAST({lit(a.expires_at)} AS TIMESTAMP) < {now}" if a.expires_at else "false"
         cases.append(
             f"WHEN {' AND '.join(terms)} THEN named_struct('reason', {lit(a.reason)}, 'by', {lit(a.by)}, "
             f"'at', {lit(a.at)}, 'ticket', {text(a.ticket)}, 'expired', {expired})")
     if not cases:
-        return findings.withColumns({"acknowledged": F.lit(False), "acknowledgment": F.lit(None)})
+        return findings.withColumns({"acknowledged": F.lit(False), "acknowledgment": F.lit(None).cast(ACKNOWLEDGMENT)})
     return findings.withColumn("acknowledgment", F.expr(f"CASE {' '.join(cases)} END")).withColumn(
         "acknowledged", F.col("acknowledgment").isNotNull())
 
@@ -151,18 +162,23 @@ def finding_hash(findings: DataFrame) -> DataFrame:
 
 
 def baseline_of(findings: DataFrame) -> DataFrame:
-    return finding_hash(findings).select("hash", "finding_id", "file", "line", "title", "severity", "category").distinct()
+    """Known findings by project; a baseline outlives its scan, so it holds no scan."""
+    project = scope(findings, of=("project",))
+    return finding_hash(findings).select(
+        *project, "hash", "finding_id", "file", "line", "title", "severity", "category").distinct()
 
 
 def apply_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Flags findings whose hash is in the baseline; joined on the hash, which spreads evenly."""
-    known = baseline.select("hash").distinct().withColumn("_known", F.lit(True))
-    return finding_hash(findings).join(known, "hash", "left").withColumn(
+    """Flags findings whose project and hash are in the baseline; the hash spreads evenly."""
+    keys = ["hash", *scope(findings, baseline, of=("project",))]
+    known = baseline.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return finding_hash(findings).join(known, keys, "left").withColumn(
         "is_baseline", F.col("_known").isNotNull()).drop("_known")
 
 
 def new_findings(findings: DataFrame, baseline: DataFrame) -> DataFrame:
-    return finding_hash(findings).join(baseline.select("hash"), "hash", "left_anti")
+    keys = ["hash", *scope(findings, baseline, of=("project",))]
+    return finding_hash(findings).join(baseline.select(*keys), keys, "left_anti")
 
 
 def snippet() -> Column:
@@ -172,17 +188,17 @@ def snippet() -> Column:
 
 
 def dedupe(findings: DataFrame, order=SEQ) -> DataFrame:
-    """One finding per id, file, line and snippet: the first."""
+    """One finding per project, scan, id, file, line and snippet: the first."""
     keyed = findings.withColumn("_snippet", F.sha2(snippet(), 256))
-    w = Window.partitionBy("finding_id", "file", "line", "_snippet").orderBy(*order)
+    w = Window.partitionBy(*scope(findings), "finding_id", "file", "line", "_snippet").orderBy(*order)
     return keyed.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_snippet")
 
 
 def dedupe_virtual(findings: DataFrame) -> DataFrame:
-    """Scan-wide findings keep one row per project and id; findings on real files pass."""
+    """Scan-wide findings keep one row per project, scan and id; findings on real files pass."""
     virtual = F.col("file").isin(VIRTUAL_FILES)
     return findings.filter(~virtual).unionByName(
-        findings.filter(virtual).dropDuplicates(["project", "finding_id"]))
+        findings.filter(virtual).dropDuplicates([*scope(findings), "finding_id"]))
 
 
 def split_artifacts(findings: DataFrame):
@@ -214,7 +230,7 @@ def triage_candidates(findings: DataFrame, cap: int = 50) -> DataFrame:
 
 def merge_verdicts(findings: DataFrame, verdicts: DataFrame, drop_false: bool = True) -> DataFrame:
     """Adds triage verdicts; findings without one count as likely at 0.5; false positives go unless kept."""
-    f = findings.join(verdicts, ["file", "line", "finding_id"], "left").withColumns({
+    f = findings.join(verdicts, [*scope(findings, verdicts), "file", "line", "finding_id"], "left").withColumns({
         "classification": F.coalesce("classification", F.lit("likely")),
         "ai_confidence": F.coalesce("ai_confidence", F.lit(0.5)),
     })

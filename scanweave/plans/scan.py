@@ -23,10 +23,10 @@ def detect_categories(corpus: DataFrame, categories, keep=()) -> DataFrame:
     return detect(corpus, names, keep=keep).join(F.broadcast(bridge), "pack")
 
 
-def scan(corpus: DataFrame, categories=None, acks=(), as_of: str = "1970-01-01", baseline: DataFrame | None = None,
+def scan(corpus: DataFrame, categories=None, acks=(), as_of: str | None = None, baseline: DataFrame | None = None,
          min_confidence: str | None = None, keep=()) -> DataFrame:
     """A whole scan: detection, acknowledgement, suppression, confidence, baseline, demotion, duplicates."""
-    found = detect_categories(corpus, list(categories or CATEGORY_PACKS), keep)
+    found = detect_categories(corpus.filter("content IS NOT NULL"), list(categories or CATEGORY_PACKS), keep)
     found = lc.classify_confidence(lc.suppress(lc.acknowledge(found, acks, as_of)))
     found = lc.apply_baseline(found, baseline) if baseline is not None else found.withColumn("is_baseline", F.lit(False))
     if min_confidence:

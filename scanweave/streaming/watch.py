@@ -63,19 +63,20 @@ def alert_batches(log: str, alerts: str, pack_names=None):
 
     The log keeps one row per finding of each file version, and one without a key for a file with none.
     """
-    schema = "file string, key string, rank int"
+    schema = "project string, file string, key string, rank int"
+    own = ["project", "file"]
 
     def handle(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
-        now = finding_key(detect(files, pack_names)).select("file", "key", "rank")
-        versions = files.select("file").distinct().join(now, "file", "left")
+        now = finding_key(detect(files, pack_names)).select(*own, "key", "rank")
+        versions = files.select(*own).distinct().join(now, own, "left")
         _append_batch(versions, log, batch_id)
         current = spark.read.schema(schema).parquet(f"{log}/batch={batch_id}")
-        seen = current.select("file").distinct()
-        old = _before(spark, log, schema, batch_id).join(seen, "file", "left_semi")
-        last = old.groupBy("file").agg(F.max("batch").alias("batch"))
-        previous = old.join(last, ["file", "batch"]).select("key")
-        new = current.filter("rank <= 1").join(previous, "key", "left_anti")
+        seen = current.select(*own).distinct()
+        old = _before(spark, log, schema, batch_id).join(seen, own, "left_semi")
+        last = old.groupBy(*own).agg(F.max("batch").alias("batch"))
+        previous = old.join(last, [*own, "batch"]).select("project", "key")
+        new = current.filter("rank <= 1").join(previous, ["project", "key"], "left_anti")
         _append_batch(new, alerts, batch_id)
 
     return handle
