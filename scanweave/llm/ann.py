@@ -201,13 +201,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = PART
     kind = distinct.schema["embedding"].dataType.simpleString()
     index = distinct.mapInPandas(_route(router, 1), f"key string, embedding {kind}, ids array<long>, part array<int>")
     index = stored(index.withColumn("part", F.col("part")[0]), "index")
+    held = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a part
+    least = np.cumsum(sorted(held.get(p, 0) for p in range(len(router.w[3]))))
+    probes = min(len(least), max(probes, int(np.searchsorted(least, k + 1)) + 1))  # any so many parts hold k other rows
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), "key", "embedding")
     asked = stored(asked.groupBy("query_id", "key").agg(F.first("embedding").alias("embedding")), "queries")
     unique = asked.groupBy("key").agg(F.first("embedding").alias("embedding"))
     routed = unique.mapInPandas(_route(router, probes), f"key string, embedding {kind}, part array<int>")
     routed = stored(routed.withColumn("part", F.explode("part")), "routed")
-    blocks = lambda t, most: {r["part"]: -(-r["count"] // most) for r in t.groupBy("part").count().collect()}  # noqa: E731  a row a part
-    n_rows, n_asked = blocks(index, BLOCK_ROWS), blocks(routed, BLOCK_QUERIES)
+    n_rows = {p: -(-n // BLOCK_ROWS) for p, n in held.items()}
+    n_asked = {r["part"]: -(-r["count"] // BLOCK_QUERIES) for r in routed.groupBy("part").count().collect()}
 
     def dealt(t, own, other, own_name, other_name):
         of = lambda n: F.element_at(F.create_map(*[F.lit(x) for p in n.items() for x in p]), F.col("part"))
