@@ -26,7 +26,7 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def nearest(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None = None, at_once: int = 512) -> np.ndarray:
+def nearest(queries: np.ndarray, rows: np.ndarray, k: int, own: np.ndarray | None = None, at_once: int = 128) -> np.ndarray:
     """Places of the k nearest rows of each query, in no order; ``own``: the place of each query's own row."""
     out = []
     for a in range(0, len(queries), at_once):
