@@ -558,14 +558,16 @@ def deadlines(spark, sf):
     return f.select("finding_id", "file", h.review_deadline("scan_ts").cast("string").alias("deadline"))
 
 
-@query("w09_call_limit", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN "
-       "59999999 PRECEDING AND 1 PRECEDING) AS in_minute, count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, "
-       "event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 50 AS within_scan, in_minute < 20 AND within_scan AS "
-       "allowed "
-       "FROM events")
+@query("w09_call_limit", "WITH e AS (SELECT event_id, event_type || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS scan, {'us': "
+       "epoch_us(ts), 'id': event_id} AS c FROM events), l AS (SELECT scan, list(c ORDER BY c.us, c.id) AS l FROM e GROUP BY scan), "
+       "k AS (SELECT scan, list_reduce(list_transform(l, lambda v: [v]), lambda acc, x: CASE WHEN len(acc) < 50 AND "
+       "len(list_filter(acc, lambda a: a.us > x[1].us - 60000000)) < 20 THEN list_concat(acc, x) ELSE acc END) AS kept FROM l) "
+       "SELECT event_id, len(list_filter(kept, lambda a: a.us > c.us - 60000000 AND (a.us < c.us OR (a.us = c.us AND a.id < c.id)))) "
+       "AS in_minute, len(list_filter(kept, lambda a: a.us < c.us OR (a.us = c.us AND a.id < c.id))) AS in_scan, "
+       "len(list_filter(kept, lambda a: a.id = c.id)) > 0 AS allowed FROM e JOIN k USING (scan)")
 def call_limit(spark, sf):
-    e = read(spark, sf, "events").withColumn("scan", F.concat_ws("/", "user_id", F.to_date("ts")))
-    return h.rate_limited(e, "event_type", "scan", "ts").select("event_id", "in_minute", "within_scan", "allowed")
+    e = read(spark, sf, "events").withColumn("scan", F.concat_ws("/", "event_type", F.to_date("ts")))
+    return h.rate_limited(e, "scan", "ts").select("event_id", "in_minute", "in_scan", "allowed")
 
 
 @query("w10_budget_cutoff", "WITH c AS (SELECT event_id, coalesce(sum(CAST(floor(value * 100) AS BIGINT) * 3 + CAST(floor("

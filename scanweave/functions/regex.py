@@ -33,7 +33,7 @@ def to_java(pattern: str) -> str:
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
-            e = pattern[i + 1]
+            e = pattern[i + 1:i + 2]
             if e == "b" and not in_class:
                 out.append(_boundary(pattern, i))
             elif e == "s":

@@ -235,8 +235,9 @@ def detect_rules(corpus: DataFrame, rules, prefilter: bool = True, keep=()) -> D
         f"'in_block', exists(f.blocks, b -> h.i BETWEEN b.a AND b.b), 'ctx_from', {first}, "
         f"'ctx', slice(f.ls, {first} + 1, least(h.i + {around}, size(f.ls) - 1) - {first} + 1)))"
     )
+    read = " OR ".join(sorted({f"({like('file', p.path)})" for p in by_pack})) or "false"
     hits = (
-        corpus.select("project", "file", *keep, F.explode(F.expr(per_file(detail))).alias("h"))
+        corpus.filter(F.expr(read)).select("project", "file", *keep, F.explode(F.expr(per_file(detail))).alias("h"))
         .select("project", "file", *keep, "h.*")
     )
     return _describe(hits, rule_table(corpus.sparkSession, rules), keep)

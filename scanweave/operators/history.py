@@ -5,6 +5,9 @@ Windows run per project over scan entries, which are one row per scan and carry
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,23 +121,39 @@ def review_deadline(created: str, severity: str = "severity") -> Column:
     return F.date_add(F.to_date(created), days)
 
 
-def rate_limited(calls: DataFrame, key: str, scan: str, ts: str) -> DataFrame:
-    """Whether a call comes within the limits: calls of the minute before it, and calls of its scan so far.
-
-    A call also stands in the next minute bucket as a neighbour, so the trailing minute is counted per key and bucket
-    and a busy key is spread. Of each scan only its first calls are numbered; later ones lie beyond the last of them.
+def _admit(batches):
+    """Calls sorted by (scan, time, id) to the same calls with what the limiter had recorded before each of them."""
+    scan, recent, total = None, deque(), 0
+    for batch in batches:
+        out = []
+        for s, _, us in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if s != scan:
+                scan, recent, total = s, deque(), 0
+            while recent and recent[0] <= us - 60_000_000:
+                recent.popleft()
+            ok = len(recent) < CALLS_PER_MINUTE and total < CALLS_PER_SCAN
+            out.append((len(recent), total, ok))
+            if ok:
+                recent.append(us)
+                total += 1
+        minute, before, ok = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(minute, pa.int32()), pa.array(before, pa.int32()), pa.array(ok, pa.bool_())],
+            names=["scan", "event_id", "in_minute", "in_scan", "allowed"])
+
+
+def rate_limited(calls: DataFrame, scan: str, ts: str, event_id: str = "event_id") -> DataFrame:
+    """scan, event_id, in_minute, in_scan and allowed: a call is allowed while fewer than the limits are recorded, in the
+    minute before it and in its scan; only allowed calls are recorded.
+
+    Whether a call is recorded depends on the ones before it, so a scan's calls pass through one task in order. It keeps
+    no more than a minute's allowed calls, whatever the number of calls, and only narrow rows are sorted.
     """
-    c = calls.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_minute", F.floor(F.col("_us") / 60_000_000))
-    copies = c.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
-        "_bucket", F.when(F.col("_own"), F.col("_minute")).otherwise(F.col("_minute") + 1))
-    minute = Window.partitionBy(key, "_bucket").orderBy("_us").rangeBetween(-60_000_000 + 1, -1)
-    c = copies.withColumn("in_minute", F.count("*").over(minute)).filter("_own").drop("_own", "_bucket", "_minute", "_us")
-    order = F.struct(ts, "event_id")
-    numbered = calls.withColumn("_n", F.row_number().over(Window.partitionBy(scan).orderBy(ts, "event_id")))
-    last = numbered.filter(F.col("_n") <= CALLS_PER_SCAN).groupBy(scan).agg(F.max(order).alias("_last"))
-    c = c.join(last, scan).withColumn("within_scan", order <= F.col("_last")).drop("_last")
-    return c.withColumn("allowed", (F.col("in_minute") < CALLS_PER_MINUTE) & F.col("within_scan"))
+    slim = calls.select(
+        F.col(scan).cast("string").alias("scan"), F.col(event_id).cast("bigint").alias("event_id"),
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return slim.repartition("scan").sortWithinPartitions("scan", "us", "event_id").mapInArrow(
+        _admit, "scan string, event_id bigint, in_minute int, in_scan int, allowed boolean")
 
 
 def budget_cutoff(calls: DataFrame, scan: str, ts: str, budget_cents: float, bucket: str = "hour") -> DataFrame:

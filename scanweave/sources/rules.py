@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scanweave.functions.regex import to_java
 from scanweave.rules.catalog import CATEGORY_PACKS, packs
 from scanweave.rules.model import CATEGORIES, LINE, SEVERITY_RANK, Condition, Pack, Rule
 
@@ -33,22 +34,20 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return load_rules(spark.read.schema(RULE_ROWS).json(path))
 
 
-@F.pandas_udf(T.BooleanType())
-def _compiles(patterns: pd.Series) -> pd.Series:
-    def ok(p):
-        try:
-            re.compile(p)
-            return True
-        except re.error:
-            return False
+@F.pandas_udf(T.StringType())
+def _java(patterns: pd.Series) -> pd.Series:
+    return patterns.map(to_java)
 
-    return patterns.map(lambda p: True if p is None else ok(p))
+
+def compiles(pattern: Column) -> Column:
+    """Whether the engine that runs rules accepts the pattern, as it would be given to it."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), _java(pattern)).isNotNull()
 
 
 def rule_errors(rows: DataFrame) -> DataFrame:
     """One row per violated condition of a rule row; each distinct pattern is compiled once."""
     patterns = rows.select(F.col("pattern").alias("p")).union(rows.select("must_not_contain")).distinct().filter(
-        "p IS NOT NULL").withColumn("ok", _compiles("p"))
+        "p IS NOT NULL").withColumn("ok", compiles(F.col("p")))
     broken = patterns.filter("NOT ok").select("p", F.lit(True).alias("bad"))
     r = rows.join(broken.withColumnRenamed("bad", "_bad_p"), F.col("pattern") == F.col("p"), "left").drop("p")
     r = r.join(broken.withColumnRenamed("bad", "_bad_n"), F.col("must_not_contain") == F.col("p"), "left").drop("p")
@@ -66,20 +65,38 @@ def rule_errors(rows: DataFrame) -> DataFrame:
     return r.select("load_order", "id", F.explode(errors).alias("error"))
 
 
+_DOLLAR = re.compile(r"\\.|\[(?:\\.|[^\]\\])*\]|\$", re.S)
+
+
+def _flagged(pattern: str, flags: str) -> str:
+    """The pattern under its flags: ``i`` ignores case, ``m`` lets ``^`` and ``$`` match at line ends, ``s`` lets ``.`` match
+    them, ``y`` ties the match to the start; ``g`` and ``u`` change nothing about whether a line matches."""
+    if "m" in flags:
+        ends = _DOLLAR.sub(lambda t: r"(?=[\r\n\u2028\u2029]|$)" if t[0] == "$" else t[0], pattern)
+        pattern = f"(?m:{ends})"
+    if "s" in flags:
+        pattern = f"(?s:{pattern})"
+    if "y" in flags:
+        pattern = f"\\A(?:{pattern})"
+    if "i" in flags:
+        pattern = "(?i)" + (pattern if pattern.isascii() else f"(?u:{pattern})")
+    return pattern
+
+
 def compile_rules(rows, first_no: int = 10_000):
-    """Rule rows (plain mappings) to ``(pack, rule)`` pairs for detection; case is ignored with flag ``i``.
+    """Rule rows (plain mappings) to ``(pack, rule)`` pairs for detection, under their flags.
 
     Detection compiles every rule into the plan, so the caller passes a checked rule file, not a data table.
     """
     pack = Pack("custom", 90, ".", "custom-{id}-{file}-{i}", 2, "")
     out = []
     for k, row in enumerate(rows):
-        ci = "(?i)" if "i" in (row.get("flags") or DEFAULT_FLAGS) else ""
+        flags = row.get("flags") or DEFAULT_FLAGS
         never = row.get("must_not_contain")
         out.append((pack, Rule(
             no=first_no + k, pack="custom", id=row["id"], category=row["category"], severity=row["severity"],
-            title=row["name"], reference=row.get("reference") or "", patterns=(ci + row["pattern"],),
-            forbid=(Condition(LINE, (ci + never,)),) if never else (), include=tuple(row.get("include") or ()),
+            title=row["name"], reference=row.get("reference") or "", patterns=(_flagged(row["pattern"], flags),),
+            forbid=(Condition(LINE, (_flagged(never, flags),)),) if never else (), include=tuple(row.get("include") or ()),
             exclude=tuple(row.get("exclude") or ()), confidence=row.get("confidence"),
             adjust_confidence=row.get("adjust_confidence") is not False)))
     return out

@@ -113,19 +113,32 @@ def test_rate_limit_and_budget_against_brute_force(spark):
     import random
 
     random.seed(2)
-    rows = [(i, "k", f"s{i % 3}", dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=random.randint(0, 400_000)), 1000 + i, i)
+    rows = [(i, "k", f"s{i % 3 // 2}", dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=random.randint(0, 400_000)), 1000 + i, i)
             for i in range(300)]
     df = spark.createDataFrame(rows, "event_id bigint, key string, scan string, ts timestamp, input_tokens bigint, output_tokens bigint")
-    got = {r.event_id: (r.in_minute, r.allowed) for r in h.rate_limited(df, "key", "scan", "ts").collect()}
+    got = {r.event_id: (r.in_minute, r.in_scan, r.allowed) for r in h.rate_limited(df, "scan", "ts").collect()}
     cost = {r.event_id: r.cents_before for r in h.budget_cutoff(df, "scan", "ts", 5, "minute").collect()}
     order = sorted(rows, key=lambda r: (r[3], r[0]))
+    recorded = {}
     for n, (i, _, scan, ts, _, _) in enumerate(order):
-        minute = sum(1 for r in rows if dt.timedelta(0) < ts - r[3] < dt.timedelta(minutes=1))
+        kept = recorded.setdefault(scan, [])
+        minute = sum(1 for t in kept if ts - t < dt.timedelta(minutes=1))
+        assert got[i] == (minute, len(kept), minute < 20 and len(kept) < 50)
+        if got[i][2]:
+            kept.append(ts)
         before = [r for r in order[:n] if r[2] == scan]
-        assert got[i] == (minute, minute < 20 and len(before) < 50)
         assert abs(cost[i] - sum(r[4] * 3 + r[5] * 15 for r in before) / 10_000) < 1e-9
 
 
+def test_refused_calls_are_not_recorded(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "s", t0 + dt.timedelta(seconds=2 * i)) for i in range(120)]
+    got = h.rate_limited(spark.createDataFrame(rows, "event_id bigint, scan string, ts timestamp"), "scan", "ts").collect()
+    assert sorted(r.event_id for r in got if r.allowed) == [*range(20), *range(30, 50), *range(60, 70)]
+
+
 def test_registry_page(spark):
     rows = [(f"r{i}", f"name {i}", "text", ["a", "b"] if i % 2 else ["a"], i, 4.0, 10) for i in range(9)]
     reg = spark.createDataFrame(rows, "id string, name string, description string, tags array<string>, downloads bigint, "
