@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from checks import oracle as o
 from checks.corpus import _array, _q, code_corpus, code_corpus_sql, corpus, corpus_sql, read, text_corpus
 from checks.lifecycle import FOUND, LIFE, _HIST, _KEY, found, history, processed, score_sql
-from checks.registry import query
+from checks.registry import ORACLE, query
 from scanweave.functions.sql import lit
 from scanweave.operators import aggregate as a
 from scanweave.operators import files as fl
 from scanweave.operators import inventory as inv
 from scanweave.operators import stored as st
-from scanweave.rules.catalog import IMPORT_LINE, packs, rule
+from scanweave.rules.catalog import IMPORT_LINE, line_rules, packs, rule
 from scanweave.sources import corpus as src
 from scanweave.sources import rules as rl
 from scanweave.sources import tables as tb
@@ -164,6 +164,39 @@ def skill_extra(spark, sf):
     return fl.skill_findings(fl.skill_metadata(corpus(spark, sf))).select("file", "rule_id", "line")
 
 
+def _whole_scan_sql():
+    """Line hits of all packs beside the file, project and skill checks, each written out over the project corpus."""
+    line = " UNION ALL ".join(o.rule_sql(p, r) for p, r in line_rules(None))
+    skill = (f"m AS (SELECT project, file, {_skill_fields()} FROM lines WHERE {o.rx('file', fl.SKILL_FILES)} GROUP BY ALL)")
+    parts = [
+        "SELECT h.project, r.rule_id FROM hits h JOIN " + o.rules_values(line_rules(None)) + " ON r.rule_no = h.rule_no",
+        f"SELECT l.project, 'audit-unlogged-action' FROM lines l JOIN files f ON f.file = l.file WHERE {o.rx('l.file', fl.AUDITED_CODE)} "
+        f"AND NOT {o.rx('l.file', 'test|spec')} AND {o.rx('f.content', fl.HEALTH_WORDS)} AND NOT "
+        f"{o.rx('f.content', fl.LOGGING_CALL)} AND ({' OR '.join(o.rx('l.text', p) for _, p in fl.AUDITED_ACTIONS)})",
+        f"SELECT DISTINCT ON (l.file) l.project, 'MFA-001' FROM lines l JOIN files f ON f.file = l.file WHERE "
+        f"{o.rx('l.file', fl.WEB_CONFIG)} AND {o.any_match('f.content', _MFA.patterns)} AND NOT "
+        f"{o.any_match('f.content', _MFA.negatives)} AND {o.any_match('l.text', _MFA.patterns)} AND NOT "
+        f"{_IMPORT.replace('(text,', '(l.text,')}",
+        f"SELECT project, 'BACKUP-001' FROM ({ORACLE['d19_project_backup_absence']})",
+        f"SELECT project, 'audit-no-framework' FROM ({ORACLE['d20_project_log_framework_absence']})",
+        f"SELECT project, 'HIPAA-PENTEST-001' FROM ({ORACLE['d21_project_vulnerability_scan_absence']})",
+        "SELECT project, 'skill-excessive-permissions' FROM m WHERE len(list_filter(string_split(permissions, ','), lambda p: "
+        "trim(p) IN ('*', 'all'))) > 0",
+        "SELECT project, 'skill-unknown-author' FROM m WHERE coalesce(author, '') = '' AND coalesce(source, '') = ''",
+        "SELECT project, 'skill-system-modification' FROM m WHERE system_line IS NOT NULL"]
+    return (f"{PROJECTS}, hits AS MATERIALIZED ({line}), {skill} SELECT project, rule_id, count(*) AS findings FROM ("
+            + " UNION ALL ".join(f"({p})" for p in parts) + ") AS x(project, rule_id) GROUP BY project, rule_id")
+
+
+@query("t12_whole_scan", _whole_scan_sql())
+def whole_scan(spark, sf):
+    """Line, audit, file, project and skill findings of a scan of all packs."""
+    from scanweave.plans.scan import scan
+
+    return scan(project_corpus(spark, sf)).groupBy("project", "rule_id").agg(F.count("*").alias("findings"))
+
+
+
 @query("d24_asset_inventory", f"{o.base('all')}, a AS (" + " UNION ALL ".join(
     f"SELECT l.file, l.i, l.text, '{k}' AS type, {o.rx('f.content', w)} AS processes_phi FROM lines l JOIN files f ON f.file = "
     f"l.file WHERE {o.rx('l.file', fl.CODE_CS)} AND {o.rx('l.text', p)}" for k, p, w in fl.ASSETS)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from scanweave.functions.regex import any_of, to_java
 from scanweave.functions.sql import has_any, like, lit
-from scanweave.operators.detect import LINE_TEXT, is_client_file, is_import_line, line_hits, per_file
-from scanweave.rules.catalog import AUDITED_CODE, CODE_CS, SKILL_FILES, WEB_CONFIG, WEB_MODULES_DATA, rule
+from scanweave.operators.detect import (
+    FINDING_COLUMNS, LINE_TEXT, is_client_file, is_import_line, js_trim_left, line_hits, per_file, rule_table,
+)
+from scanweave.rules.catalog import AUDITED_CODE, CODE_CS, SKILL_FILES, WEB_CONFIG, WEB_MODULES_DATA, packs, rule
+from scanweave.rules.model import CONTENT, LINE, Condition, Pack, Rule
 
 # Words, actions and file names of the file and project checks.
 HEALTH_WORDS = r"(?i)patient|health|medical|diagnosis|treatment"
@@ -47,6 +50,15 @@ SKILL_FIELDS = {
     "version": r"(?i)(?:version):\s*(.+)",
 }
 SKILL_NAME = r"^#\s+(.+)"
+# Pack, id, category, severity, title, section and confidence of checks outside the rule tables.
+OTHER_CHECKS = [
+    ("audit", "audit-no-framework", "audit-logging", "high", "No audit logging framework detected", "§164.312(b)", None),
+    ("skills", "skill-excessive-permissions", "access-control", "high", "Skill requests excessive permissions",
+     "§164.308(a)(4) - Access Controls", "high"),
+    ("skills", "skill-unknown-author", "access-control", "medium", "Skill from unknown/unverified source", "", "medium"),
+    ("skills", "skill-system-modification", "access-control", "critical", "Skill attempts to modify system files", "", "high"),
+]
+AUDIT_SECTION = "§164.312(b)"
 SYSTEM_CHANGE = r"(?:rm|mv|chmod|chown)\s+-rf?\s+/"
 QUOTED = r"""['"`]([^'"`]+)['"`]"""
 
@@ -63,50 +75,71 @@ def unlogged_actions(corpus: DataFrame) -> DataFrame:
         F.concat(F.lit("audit-unlogged-"), "action", F.lit("-"), F.col("line") - 1).alias("finding_id"))
 
 
-def missing_mfa(corpus: DataFrame) -> DataFrame:
+def audit_rules():
+    """The same as ``(pack, rule)`` pairs, so that a scan finds them in its one pass over the lines."""
+    earlier: tuple = ()
+    for k, (name, pattern) in enumerate(AUDITED_ACTIONS):
+        yield _audit_pack(f"audit-unlogged-{name}-{{i}}", AUDITED_CODE), Rule(
+            no=9_000 + k, pack="audit", id="audit-unlogged-action", category="audit-logging", severity="medium",
+            title=f"PHI {name} operation may lack audit logging", reference=AUDIT_SECTION, patterns=(pattern,),
+            skip_path="test|spec", require=(Condition(CONTENT, (HEALTH_WORDS,)),),
+            forbid=(Condition(CONTENT, (LOGGING_CALL,)), Condition(LINE, earlier)))
+        earlier = (*earlier, pattern)
+
+
+def _audit_pack(finding_id: str, path: str = ".") -> Pack:
+    return Pack("audit", 16, path, finding_id, 2, "Write an audit record for every use of personal health data.")
+
+
+def _first_line(condition: str) -> str:
+    """The first line ``l`` of file ``f`` that fits, with its text and the one above; null if none does."""
+    return (f"get(transform(slice(filter(f.lines, l -> {condition}), 1, 1), "
+            "l -> named_struct('i', l.i, 'code', l.x, 'prev', get(f.ls, l.i - 1))), 0)")
+
+
+def missing_mfa(corpus: DataFrame, keep=()) -> DataFrame:
     """Auth configuration in a file without any second-factor word: its first line that is not an import."""
     r = rule("MFA-001")
     gate = f"{like('content', any_of(r.patterns))} AND NOT ({like('content', any_of(r.negatives))})"
     cond = f"{like(LINE_TEXT, any_of(r.patterns))} AND NOT ({is_import_line(LINE_TEXT)})"
-    found = per_file(
-        f"CASE WHEN {like('file', WEB_CONFIG)} AND {gate} THEN transform(slice(filter(f.lines, l -> {cond}), 1, 1), l -> l.i) "
-        "ELSE CAST(array() AS array<int>) END")
-    return corpus.select("project", "file", F.explode(F.expr(found)).alias("i")).select(
-        "project", "file", (F.col("i") + 1).alias("line"), F.lit(r.id).alias("rule_id"))
+    found = F.expr(per_file(f"array({_first_line(cond)})")).alias("x")
+    files = corpus.filter(F.expr(f"{like('file', WEB_CONFIG)} AND {gate}"))
+    return files.select("project", *keep, "file", F.explode(found).alias("x")).filter("x IS NOT NULL").select(
+        "project", *keep, "file", (F.col("x.i") + 1).alias("line"), F.lit(r.id).alias("rule_id"), "x.code", "x.prev")
 
 
 def classify_files(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("is_client", F.expr(is_client_file()))
 
 
-def missing_backup(corpus: DataFrame) -> DataFrame:
+def missing_backup(corpus: DataFrame, keep=()) -> DataFrame:
     """Projects that use a database and nowhere mention backups; anchored at the first use, else the first import."""
     r = rule("BACKUP-001")
-    use = like(LINE_TEXT, any_of(r.patterns))
-    parts = (
-        f"array(named_struct('use', get(filter(f.lines, l -> {use} AND NOT ({is_import_line(LINE_TEXT)})), 0).i, "
-        f"'imp', get(filter(f.lines, l -> {use} AND {is_import_line(LINE_TEXT)}), 0).i))")
+    use, imports = like(LINE_TEXT, any_of(r.patterns)), is_import_line(LINE_TEXT)
+    parts = (f"array(named_struct('use', {_first_line(f'{use} AND NOT ({imports})')}, "
+             f"'imp', {_first_line(f'{use} AND {imports}')}))")
     files = corpus.filter(F.expr(like("file", WEB_MODULES_DATA))).select(
-        "project", "file", F.expr(like("content", any_of(r.negatives))).alias("has_backup"),
+        "project", *keep, "file", F.expr(like("content", any_of(r.negatives))).alias("has_backup"),
         F.expr(f"{per_file(parts)}[0]").alias("a"))
-    first = files.groupBy("project").agg(
-        F.min(F.when(F.col("a.use").isNotNull(), F.struct("file", F.col("a.use").alias("i")))).alias("use"),
-        F.min(F.when(F.col("a.imp").isNotNull(), F.struct("file", F.col("a.imp").alias("i")))).alias("imp"),
+    first = files.groupBy("project", *keep).agg(
+        F.min(F.when(F.col("a.use").isNotNull(), F.struct("file", F.col("a.use").alias("at")))).alias("use"),
+        F.min(F.when(F.col("a.imp").isNotNull(), F.struct("file", F.col("a.imp").alias("at")))).alias("imp"),
         F.bool_or("has_backup").alias("has_backup"))
     anchor = F.coalesce("use", "imp")
     return first.filter(~F.col("has_backup") & anchor.isNotNull()).select(
-        "project", anchor["file"].alias("file"), (anchor["i"] + 1).alias("line"), F.lit(r.id).alias("rule_id"))
+        "project", *keep, anchor["file"].alias("file"), (anchor["at"]["i"] + 1).alias("line"), F.lit(r.id).alias("rule_id"),
+        anchor["at"]["code"].alias("code"), anchor["at"]["prev"].alias("prev"))
 
 
-def missing_log_framework(corpus: DataFrame) -> DataFrame:
+def missing_log_framework(corpus: DataFrame, keep=()) -> DataFrame:
     """Projects whose package manifests name no logging framework; reported on the first manifest."""
     manifests = corpus.filter(F.col("file").endswith("package.json"))
-    g = manifests.groupBy("project").agg(
+    g = manifests.groupBy("project", *keep).agg(
         F.bool_or(F.expr(has_any("content", LOGGING_FRAMEWORKS))).alias("has"), F.min("file").alias("file"))
-    return g.filter("NOT has").select("project", "file", F.lit("audit-no-framework").alias("rule_id"))
+    return g.filter("NOT has").select("project", *keep, "file", F.lit("audit-no-framework").alias("rule_id"))
 
 
-def missing_vulnerability_scan(corpus: DataFrame, root: str = "root") -> DataFrame:
+def missing_vulnerability_scan(corpus: DataFrame, root: str = "root", keep=()) -> DataFrame:
     """Projects without a scanner configuration, a scanning workflow or a scan word in the root manifest."""
     rel = F.expr(f"substring(file, length({root}) + 2)")
     c = corpus.withColumn("rel", rel)
@@ -117,11 +150,11 @@ def missing_vulnerability_scan(corpus: DataFrame, root: str = "root") -> DataFra
         | (workflow & (name.rlike(WORKFLOW_NAME) | F.col("content").rlike(WORKFLOW_STEP)))
         | ((F.col("rel") == "package.json") & F.col("content").rlike(MANIFEST_WORD))
     )
-    return c.groupBy("project").agg(F.bool_or(ok).alias("ok")).filter("NOT ok").select(
-        "project", F.lit("HIPAA-PENTEST-001").alias("rule_id"), F.lit("project-level").alias("file"))
+    return c.groupBy("project", *keep).agg(F.bool_or(ok).alias("ok")).filter("NOT ok").select(
+        "project", *keep, F.lit("HIPAA-PENTEST-001").alias("rule_id"), F.lit("project-level").alias("file"))
 
 
-def skill_metadata(corpus: DataFrame) -> DataFrame:
+def skill_metadata(corpus: DataFrame, keep=()) -> DataFrame:
     """Author, source, permissions and version (last mention wins) and name (first heading) of each skill file."""
     def matches(p, group=1):
         return (f"transform(filter(f.lines, l -> {like(LINE_TEXT, p)}), l -> named_struct('i', l.i, 'v', "
@@ -131,13 +164,13 @@ def skill_metadata(corpus: DataFrame) -> DataFrame:
     system = f"get(filter(f.lines, l -> {like(LINE_TEXT, SYSTEM_CHANGE)}), 0).i"
     parts = f"array(named_struct({fields}, 'name', get({matches(SKILL_NAME)}, 0), 'system', {system}))"
     skills = corpus.filter(F.expr(like("file", SKILL_FILES)))
-    m = skills.select("project", "file", F.expr(f"{per_file(parts)}[0]").alias("m"))
+    m = skills.select("project", *keep, "file", F.expr(f"{per_file(parts)}[0]").alias("m"))
     return m.select(
-        "project", "file", *[F.col(f"m.{k}.v").alias(k) for k in [*SKILL_FIELDS, "name"]],
+        "project", *keep, "file", *[F.col(f"m.{k}.v").alias(k) for k in [*SKILL_FIELDS, "name"]],
         (F.col("m.permissions.i") + 1).alias("permissions_line"), (F.col("m.system") + 1).alias("system_line"))
 
 
-def skill_findings(metadata: DataFrame) -> DataFrame:
+def skill_findings(metadata: DataFrame, keep=()) -> DataFrame:
     """Wildcard permissions, no attribution, system modification."""
     wide = F.expr("exists(split(permissions, ','), p -> trim(p) IN ('*', 'all'))")
     found = F.array_compact(F.array(
@@ -149,7 +182,43 @@ def skill_findings(metadata: DataFrame) -> DataFrame:
         F.when(F.col("system_line").isNotNull(),
                F.struct(F.lit("skill-system-modification").alias("rule_id"), F.lit("critical").alias("severity"),
                         F.col("system_line").alias("line")))))
-    return metadata.select("project", "file", F.explode(found).alias("x")).select("project", "file", "x.*")
+    return metadata.select("project", *keep, "file", F.explode(found).alias("x")).select("project", *keep, "file", "x.*")
+
+
+def file_findings(corpus: DataFrame, names, keep=()) -> DataFrame:
+    """Findings of the file, project and skill checks of the packs ``names``, with the columns of ``detect``.
+
+    Project checks look at all files of a project, and of a scan if ``keep`` names it. Findings on no single line have a null
+    line and an empty ``code``. Whether a project runs a scanner is asked where the corpus has its ``root`` folder as a column.
+    """
+    found = []
+    if "authentication" in names:
+        found.append(missing_mfa(corpus, keep))
+    if "operational" in names:
+        found.append(missing_backup(corpus, keep))
+    if "audit" in names:
+        found.append(missing_log_framework(corpus, keep))
+    if "hipaa2026" in names and "root" in corpus.columns:
+        found.append(missing_vulnerability_scan(corpus, keep=keep))
+    if "skills" in names:
+        found.append(skill_findings(skill_metadata(corpus, keep), keep).drop("severity"))
+    all_packs = packs() | {"audit": _audit_pack("{id}")}
+    listed = [(all_packs[r.pack], r) for r in map(rule, ("MFA-001", "BACKUP-001", "HIPAA-PENTEST-001"))]
+    for k, (pack, rid, category, severity, title, section, confidence) in enumerate(OTHER_CHECKS):
+        listed.append((all_packs[pack], Rule(
+            no=9_100 + k, pack=pack, id=rid, category=category, severity=severity, title=title, reference=section, patterns=(),
+            confidence=confidence)))
+    table = rule_table(corpus.sparkSession, listed)
+    none = {"line": F.lit(None).cast("int"), "code": F.lit(""), "prev": F.lit(None).cast("string")}
+    columns = ["project", *keep, "file", "rule_id", *none]
+    out = corpus.select("project", *keep, "file", F.lit("").alias("rule_id")).withColumns(none).select(columns).limit(0)
+    for f in found:
+        f = f.withColumns({c: v for c, v in none.items() if c not in f.columns})
+        out = out.unionByName(f.select(columns))
+    return out.join(F.broadcast(table), "rule_id").withColumns({
+        "finding_id": F.col("rule_id"), "in_block": F.lit(False),
+        "col": F.expr(f"length(code) - length({js_trim_left('code')}) + 1"),
+        "ctx_from": F.lit(None).cast("int"), "ctx": F.array().cast("array<string>")}).select(*FINDING_COLUMNS, *keep)
 
 
 def asset_inventory(corpus: DataFrame) -> DataFrame:

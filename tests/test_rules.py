@@ -1,6 +1,7 @@
 """Positive and mitigated cases of the rule packs, scanned in one job."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.corpus import corpus
 from scanweave.functions.regex import all_keywords, glob_to_regex, keywords, to_java
@@ -8,7 +9,7 @@ from scanweave.operators import detect as d
 from scanweave.operators import files as fl
 from scanweave.rules import catalog as cat
 from scanweave.rules.model import CATEGORIES
-from scanweave.sources.rules import catalog_table, compile_rules, load_rules, rule_errors, RULE_ROWS
+from scanweave.sources.rules import catalog_table, compile_rules, compiles, load_rules, rule_errors, RULE_ROWS
 
 # rule, file, content, line of the finding or None
 CASES = [
@@ -169,3 +170,38 @@ def test_custom_rules(spark):
                               "project string, file string, content string")
     got = d.detect_rules(c, compile_rules(loaded)).collect()
     assert [(r.finding_id, r.line, r.confidence) for r in got] == [("custom-no-print-/p/a.py-0", 1, "low")]
+
+
+def test_rules_are_validated_by_the_engine_that_runs_them(spark):
+    good = ["(?<key>tok)", r"(?<!a)b\\b", "[[]", "a$", r"\\d{2,}"]
+    bad = ["(?P<key>x)", "(", "[a", "*x", "a\\"]
+    t = spark.createDataFrame([(p,) for p in [*good, *bad]], "p string")
+    assert {r.p for r in t.filter(compiles(F.col("p"))).collect()} == set(good)
+
+
+@pytest.mark.parametrize("flags, pattern, text, fits", [
+    ("g", "abc", "ABC", False), ("gi", "abc", "ABC", True), ("i", "É", "é", True), ("m", "a$", "a\r", True), ("g", "a$", "a\r", False),
+    ("s", "a.b", "a\rb", True), ("g", "a.b", "a\rb", False), ("y", "b", "ab", False), ("y", "b|a", "ab", True), ("gm", "[$]x", "$x", True)])
+def test_flags(spark, flags, pattern, text, fits):
+    row = dict(id="r", name="n", category="encryption", severity="low", pattern=pattern, flags=flags)
+    c = spark.createDataFrame([("p", "/p/a.ts", text)], "project string, file string, content string")
+    assert d.detect_rules(c, compile_rules([row])).count() == int(fits)
+
+
+def test_whole_scan_unites_all_kinds(spark):
+    from scanweave.plans.scan import scan
+
+    rows = [("p", "/p/a.ts", "// patient\nimport { y } from 'knex'\nrows.delete(x)\nconst q = 1 // todo-x"),
+            ("p", "/p/package.json", "{}"), ("p", "/p/SKILL.md", "# Tool\npermissions: *\nrm -rf /etc"),
+            ("q", "/q/package.json", '{"dependencies": {"pino": "1", "snyk": "1"}}'), ("q", "/q/b.ts", None)]
+    c = spark.createDataFrame(rows, "project string, file string, content string").withColumn("root", F.concat(F.lit("/"), "project"))
+    custom = [dict(id="no-todo", name="Todo", category="encryption", severity="low", pattern="todo-x")]
+    got = {(r.project, r.file, r.line, r.finding_id, r.run_category) for r in scan(c, custom=custom).collect()}
+    assert got >= {
+        ("p", "/p/a.ts", 3, "audit-unlogged-delete-2", "audit-logging"), ("p", "/p/a.ts", 2, "BACKUP-001", "data-retention"),
+        ("p", "/p/package.json", None, "audit-no-framework", "audit-logging"), ("p", "project-level", None, "HIPAA-PENTEST-001", "access-control"),
+        ("p", "/p/SKILL.md", 2, "skill-excessive-permissions", "access-control"),
+        ("p", "/p/SKILL.md", 1, "skill-unknown-author", "access-control"),
+        ("p", "/p/SKILL.md", 3, "skill-system-modification", "access-control"),
+        ("p", "/p/a.ts", 4, "custom-no-todo-/p/a.ts-3", "encryption")}
+    assert not any(r[0] == "q" for r in got)
