@@ -35,7 +35,7 @@ _NOT_LATIN = r"[^\x00-ɏ -⁯]"
 #: Characters that every Unicode version puts into the same class; a text with others is cut by the tokenizer's own rule.
 _STEADY = r"[^\x00-ӿ -⁯]"
 #: Words and pairs of tokens that a task remembers, words handled at a time, and characters of text that go into one output batch.
-KEPT_WORDS, KEPT_PAIRS, WORDS_AT_ONCE, CHARS_AT_ONCE = 600_000, 1_000_000, 100_000, 4_000_000
+KEPT_WORDS, KEPT_PAIRS, WORDS_AT_ONCE, CHARS_AT_ONCE = 400_000, 500_000, 100_000, 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,16 +45,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def _given(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def token_texts(given: dict) -> dict[int, bytes]:
+    """Every token's bytes, which is all that decoding needs."""
+    letters = byte_letters()
+    texts = {i: bytes(letters[c] for c in t) for t, i in given["model"]["vocab"].items()}
+    return texts | {t["id"]: t["content"].encode() for t in given.get("added_tokens", [])}
+
+
 class Vocabulary:
     """Tokens as bytes, how each was merged, and the token that each pair makes."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            given = json.load(f)
-        letters, model = byte_letters(), given["model"]
+        given = _given(path)
+        model = given["model"]
         self.added = {t["content"]: t["id"] for t in given.get("added_tokens", [])}
-        self.text = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
-        self.text |= {i: t.encode() for t, i in self.added.items()}
+        self.text = token_texts(given)
         self.number = {self.text[i]: i for i in model["vocab"].values()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.made: dict[tuple[int, int], int] = {}
@@ -243,7 +253,11 @@ class Codec:
         self.known.update(zip(new, self.trie.encode([w.encode() for w in new]), strict=True))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.v.text.__getitem__, ids)).decode("utf-8", errors="replace")
+        return decoded(self.v.text, ids)
+
+
+def decoded(texts: dict[int, bytes], ids) -> str:
+    return b"".join(map(texts.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
 def _blocks(sizes, most: int):
@@ -258,7 +272,7 @@ def _blocks(sizes, most: int):
         yield start, len(sizes)
 
 
-def _encoder(path: str, at: int):
+def _encoder(path: str, at: int, back: bool):
     codec = Codec(path)
 
     def step(batch):
@@ -267,9 +281,13 @@ def _encoder(path: str, at: int):
             ids = codec.encode_all([t or "" for t in texts[a:b]])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
-            kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, column], schema=pa.schema(
-                [batch.schema.field(i) for i in range(batch.num_columns) if i != at] + [pa.field("ids", pa.list_(pa.int32()))]))
+            kept = [i for i in range(batch.num_columns) if i != at]
+            columns, fields = [batch.column(i).slice(a, b - a) for i in kept], [batch.schema.field(i) for i in kept]
+            columns, fields = [*columns, column], [*fields, pa.field("ids", pa.list_(pa.int32()))]
+            if back:
+                columns.append(pa.array([decoded(codec.v.text, x.tolist()) for x in ids], pa.string()))
+                fields.append(pa.field("decoded", pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return step
 
@@ -283,16 +301,25 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     df = df.drop("ids") if text != "ids" else df
     rest = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.mapInArrow(arrow_function(_encoder, path, df.columns.index(text)), schema)
+    return df.mapInArrow(arrow_function(_encoder, path, df.columns.index(text), False), schema)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task needs one Python worker: the column ``text`` gives way to
+    ``ids`` and ``decoded``. Columns of these names that were there are replaced."""
+    df = df.drop(*{"ids", "decoded"} - {text})
+    rest = [f for f in df.schema.fields if f.name != text]
+    schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return df.mapInArrow(arrow_function(_encoder, path, df.columns.index(text), True), schema)
 
 
 def _decoder(path: str, at: int):
-    codec = Codec(path)
+    known = token_texts(_given(path))
 
     def step(batch):
         column = batch.column(at)
         for a, b in _blocks(np.diff(column.offsets.to_numpy()).tolist(), CHARS_AT_ONCE // 4):
-            texts = [None if x is None else codec.decode(x) for x in column.slice(a, b - a).to_pylist()]
+            texts = [None if x is None else decoded(known, x) for x in column.slice(a, b - a).to_pylist()]
             columns = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], schema=batch.schema.append(
                 pa.field("decoded", pa.string())))
@@ -310,7 +337,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the round trip."""
-    coded = decode(encode(whole_text(docs), path), path)
+    coded = round_trip(whole_text(docs), path)
     numbers = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"),
