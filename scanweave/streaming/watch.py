@@ -1,19 +1,24 @@
 """Watching: scans of arriving files, alerts, one-time notices, bursts, stored results and short reuse.
 
-Stored state is an append-only log with one folder per micro-batch. A batch that runs again writes the same folder
-again, so replays after a lost executor change nothing; the current state is the latest entry of each key.
+Stored state is a log with one folder per micro-batch. A batch that runs again writes the same folder again, so replays
+after a lost executor change nothing; the current state is the latest entry of each key. Every ``COMPACT_EVERY`` batches it
+is written beside the log, and later batches read it and what came since: a batch's work follows the current state, not the
+stream's age. Folders before the latest but one compacted state are no longer read and may be deleted.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scanweave.operators.aggregate import active
 from scanweave.operators.detect import detect
+from scanweave.operators.lifecycle import acknowledge, scope, suppress
 from scanweave.rules.model import SEVERITY_RANK
 
+COMPACT_EVERY = 50
 REUSE_SECONDS = 30
 DEBOUNCE = "1 second"
 
@@ -39,8 +44,15 @@ def write_findings(findings: DataFrame, path: str, checkpoint: str) -> None:
     run_available(findings.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
 
 
-def severity_report(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("severity").agg(F.count("*").alias("findings"))
+def severity_report(findings: DataFrame, acks=(), as_of: str | None = None) -> DataFrame:
+    """Active findings by severity: those that no acknowledgement, marker comment or baseline covers."""
+    if "acknowledged" not in findings.columns:
+        findings = acknowledge(findings, acks, as_of)
+    if "suppressed" not in findings.columns:
+        findings = suppress(findings)
+    if "is_baseline" not in findings.columns:
+        findings = findings.withColumn("is_baseline", F.lit(False))
+    return findings.filter(active()).groupBy("severity").agg(F.count("*").alias("findings"))
 
 
 def finding_key(findings: DataFrame) -> DataFrame:
@@ -51,14 +63,34 @@ def _append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Log rows of earlier batches; empty before the first."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema + ", batch int")
-    return spark.read.schema(schema + ", batch int").parquet(path).filter(F.col("batch") < batch_id)
+def _log(spark: SparkSession, path: str, schema: str, first: int, last: int) -> DataFrame:
+    """The state compacted before batch ``first`` and the log of the batches from there to before ``last``."""
+    schema += ", batch int"
+    rows = spark.createDataFrame([], schema)
+    if first < last:
+        parts = [f"{path}/batch={n}" for n in range(first, last)]
+        rows = spark.read.schema(schema).option("basePath", path).parquet(*parts)
+    return rows.unionByName(spark.read.schema(schema).parquet(f"{path}_before/{first}")) if first else rows
 
 
-def alert_batches(log: str, alerts: str, pack_names=None):
+def _before(spark: SparkSession, path: str, schema: str, batch_id: int, newest, every: int) -> DataFrame:
+    """What ``newest`` leaves of the rows of earlier batches, and all rows since the last compaction.
+
+    Batches are numbered from 0 without gaps. A batch that is due compacts first, from folders that don't change any more.
+    """
+    first = batch_id - batch_id % every
+    if first and first == batch_id:
+        newest(_log(spark, path, schema, first - every, first)).write.mode("overwrite").parquet(f"{path}_before/{first}")
+    return _log(spark, path, schema, first, batch_id)
+
+
+def _last_version(log: DataFrame) -> DataFrame:
+    """The rows of each file's latest batch."""
+    last = F.max("batch").over(Window.partitionBy("project", "file"))
+    return log.withColumn("last", last).filter("batch = last").drop("last")
+
+
+def alert_batches(log: str, alerts: str, pack_names=None, every: int = COMPACT_EVERY):
     """foreachBatch function: critical and high findings of rescanned files that their last scan did not have.
 
     The log keeps one row per finding of each file version, and one without a key for a file with none.
@@ -73,9 +105,8 @@ def alert_batches(log: str, alerts: str, pack_names=None):
         _append_batch(versions, log, batch_id)
         current = spark.read.schema(schema).parquet(f"{log}/batch={batch_id}")
         seen = current.select(*own).distinct()
-        old = _before(spark, log, schema, batch_id).join(seen, own, "left_semi")
-        last = old.groupBy(*own).agg(F.max("batch").alias("batch"))
-        previous = old.join(last, [*own, "batch"]).select("project", "key")
+        old = _before(spark, log, schema, batch_id, _last_version, every).join(seen, own, "left_semi")
+        previous = _last_version(old).select("project", "key")
         new = current.filter("rank <= 1").join(previous, ["project", "key"], "left_anti")
         _append_batch(new, alerts, batch_id)
 
@@ -83,12 +114,14 @@ def alert_batches(log: str, alerts: str, pack_names=None):
 
 
 def notify_once(findings: DataFrame, min_severity: str = "high", ts: str | None = None, horizon: str = "7 days") -> DataFrame:
-    """Findings not notified before, at or above a severity; with a time column the memory ends at the horizon."""
+    """Findings not notified before, at or above a severity; a project's findings are its own. With a time column the memory
+    ends at the horizon; without one a stream remembers every key."""
     keyed = finding_key(findings) if "key" not in findings.columns else findings
+    key = [*scope(keyed, of=("project",)), "key"]
     if ts and findings.isStreaming:
-        once = keyed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["key"])
+        once = keyed.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(key)
     else:
-        once = keyed.dropDuplicates(["key"])
+        once = keyed.dropDuplicates(key)
     return once.filter(F.col("rank") <= SEVERITY_RANK[min_severity])
 
 
@@ -103,15 +136,27 @@ def debounce(changes: DataFrame, key: str, ts: str, delay: str = DEBOUNCE, laten
 RESULT_SCHEMA = "key string, ts timestamp, status string, detail string"
 
 
-def ingest_batches(log: str):
+def ingest_batches(log: str, every: int = COMPACT_EVERY):
     """foreachBatch function: appends posted results; later posts of a key update it."""
 
     def handle(rows: DataFrame, batch_id: int) -> None:
+        if batch_id % every == 0:
+            _before(rows.sparkSession, log, RESULT_SCHEMA, batch_id, _last_result, every)
         _append_batch(rows, log, batch_id)
 
     return handle
 
 
+def stored_results(spark: SparkSession, log: str, batches: int, every: int = COMPACT_EVERY) -> DataFrame:
+    """The latest row of each key after so many batches of ``ingest_batches``."""
+    first = max(0, batches - 1) // every * every
+    return current_results(_log(spark, log, RESULT_SCHEMA, first, batches))
+
+
+def _last_result(log: DataFrame) -> DataFrame:
+    return current_results(log).withColumn("batch", F.lit(-1))
+
+
 def current_results(log: DataFrame, key: str = "key", ts: str = "ts") -> DataFrame:
     """The latest row of each key."""
     columns = [c for c in log.columns if c not in (key, "batch")]
@@ -119,15 +164,20 @@ def current_results(log: DataFrame, key: str = "key", ts: str = "ts") -> DataFra
     return log.groupBy(key).agg(F.max_by(F.struct(*columns), tie).alias("r")).select(key, "r.*")
 
 
-def keep_after_gap(events: DataFrame, key: str, ts: str, seconds: int = REUSE_SECONDS) -> DataFrame:
+def keep_after_gap(events: DataFrame, key: str, ts: str, seconds: int = REUSE_SECONDS, lateness: str = "10 seconds") -> DataFrame:
     """Events that start a new scan: the first of a key, then each one at least the gap after the last kept.
 
-    Whether an event is kept depends on the one kept before it, so state per key holds that time.
+    Whether an event is kept depends on the one kept before it, so state per key holds that time. Once the watermark is past
+    it by the gap, any event that may still come is kept without it, and the key's state goes. Events that come later than
+    ``lateness`` are left out of a stream.
     """
-    gap = seconds * 1_000_000
+    gap, streams = seconds * 1_000_000, events.isStreaming
 
     def keep(group, chunks, state: GroupState):
         last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = sorted(t for chunk in chunks for t in chunk["us"].tolist())
         out = []
         for t in times:
@@ -136,9 +186,13 @@ def keep_after_gap(events: DataFrame, key: str, ts: str, seconds: int = REUSE_SE
                 last = t
         if last is not None:
             state.update((last,))
+            if streams:
+                state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [group[0]] * len(out), "us": out})
 
     typ = events.schema[key].dataType.simpleString()
-    slim = events.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return slim.groupBy(key).applyInPandasWithState(
-        keep, f"{key} {typ}, us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = events.select(key, F.col(ts).cast("timestamp").alias("at__"))
+    timed = timed.withWatermark("at__", lateness) if streams else timed
+    return timed.withColumn("us", F.unix_micros("at__")).groupBy(key).applyInPandasWithState(
+        keep, f"{key} {typ}, us bigint", "last bigint", "append",
+        GroupStateTimeout.EventTimeTimeout if streams else GroupStateTimeout.NoTimeout)

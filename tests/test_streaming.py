@@ -17,7 +17,7 @@ def test_streamed_findings_equal_batch(spark, sf, tmp_path):
 
 def test_alert_batches_replay_and_resolve(spark, tmp_path):
     schema = "project string, file string, content string"
-    handle = w.alert_batches(str(tmp_path / "log"), str(tmp_path / "alerts"), ["security"])
+    handle = w.alert_batches(str(tmp_path / "log"), str(tmp_path / "alerts"), ["security"], every=2)
     v = [[("p", "a.ts", "pwd = 'hunter22'")], [("p", "a.ts", "x"), ("p", "b.ts", "y")], [("p", "a.ts", "pwd = 'hunter22'")],
          [("p", "a.ts", "pwd = 'hunter22'\npwd = 'hunter33'")]]
     for n, rows in enumerate(v):
@@ -28,6 +28,22 @@ def test_alert_batches_replay_and_resolve(spark, tmp_path):
                    (3, "a.ts:2:security-hardcoded-pwd-1")}
 
 
+def test_results_after_compaction(spark, tmp_path):
+    t, log = dt.datetime(2024, 1, 1), str(tmp_path / "log")
+    handle, want = w.ingest_batches(log, every=2), {}
+    for n in range(6):
+        rows = [(k, t + dt.timedelta(n), "open", f"{k}{n}") for k in ("k", f"only{n}")]
+        for _ in range(2):
+            handle(spark.createDataFrame(rows, w.RESULT_SCHEMA), n)
+        want |= {k: detail for k, _, _, detail in rows}
+        assert {r.key: r.detail for r in w.stored_results(spark, log, n + 1, every=2).collect()} == want
+
+
+def test_report_counts_active_findings(spark):
+    c = spark.createDataFrame([("p", "a.ts", "pwd = 'hunter22'\n\n// scan-ignore * -- sample\npwd = 'hunter33'")], "project string, file string, content string")
+    assert [r.findings for r in w.severity_report(d.detect(c, ["security"])).collect()] == [1]
+
+
 def test_keep_after_gap_over_batches(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     offsets = [[0, 10, 29, 31, 45], [62, 70, 95, 200]]
@@ -44,6 +60,8 @@ def test_keep_after_gap_over_batches(spark, tmp_path):
 def test_notify_once_and_latest_result(spark):
     f = spark.createDataFrame([("a", 0), ("a", 0), ("b", 3)], "key string, rank int")
     assert [r.key for r in w.notify_once(f).collect()] == ["a"]
+    f = spark.createDataFrame([("p", "a", 0), ("q", "a", 0), ("q", "a", 0)], "project string, key string, rank int")
+    assert sorted(r.project for r in w.notify_once(f).collect()) == ["p", "q"]
     t = dt.datetime(2024, 1, 1)
     log = spark.createDataFrame([("k", t, "open", "1"), ("k", t + dt.timedelta(1), "done", "2")], w.RESULT_SCHEMA)
     assert [(r.status, r.detail) for r in w.current_results(log).collect()] == [("done", "2")]
@@ -54,3 +72,14 @@ def test_debounce(spark):
     rows = [("p", t + dt.timedelta(milliseconds=m)) for m in (0, 400, 900, 3000)]
     got = w.debounce(spark.createDataFrame(rows, "project string, ts timestamp"), "project", "ts").orderBy("scan_at").collect()
     assert [(r.changes, (r.scan_at - t).total_seconds()) for r in got] == [(3, 1.9), (1, 4.0)]
+
+
+def test_debounce_stream_with_watermark(spark, tmp_path):
+    t, schema = dt.datetime(2024, 1, 1), "project string, ts timestamp"
+    for part in ([0, 400, 900], [3000, 60_000], [200_000]):
+        rows = [("p", t + dt.timedelta(milliseconds=m)) for m in part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = w.read_stream(spark, str(tmp_path / "in"), schema)
+        w.write_findings(w.debounce(stream, "project", "ts"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("scan_at").collect()
+    assert [(r.changes, (r.scan_at - t).total_seconds()) for r in got] == [(3, 1.9), (1, 4.0), (1, 61.0)]
