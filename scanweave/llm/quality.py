@@ -8,6 +8,7 @@ which scores every document. Documents are read three times and never shuffled.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -18,27 +19,49 @@ from pyspark.sql import types as T
 
 from scanweave.llm.common import arrow_function, hashed_sample, whole_text
 
-#: Documents that train the scorer, its width, words that a task remembers, and the score below which a document goes.
-TRAIN_DOCS, WIDTH, KEPT_WORDS, LEAST = 4_000, 1 << 10, 200_000, 0.5
+#: Documents that train the scorer, its width, words and characters of words that a task remembers between texts, and the
+#: score below which a document goes.
+TRAIN_DOCS, WIDTH, KEPT_WORDS, KEPT_CHARS, LEAST = 4_000, 1 << 10, 200_000, 8_000_000, 0.5
+#: A longer word is judged by how dense its marks are: one for every so many characters counts as one in a short word.
+LONG = 40
 LABELLERS = ("symbols", "bare marks", "capitals", "repeats", "stutter", "sentences")
 _MARKS = frozenset("#$%&*|@^~<>{}[]\\=_+!")
 _SYMBOL, _BARE, _CAPITAL, _STOP = 1, 2, 4, 8
 
 
+class _Kinds(dict):
+    """Code point to the kind of its character; marks and other characters are their own kind."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        kind = self[point] = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
+        return kind
+
+
+_KINDS, _RUNS = _Kinds(), re.compile(r"(.)\1+", re.S)
+
+
 def _shape(word: str) -> str:
-    """Runs of one kind of character as one: Aa for Word, a# for word###."""
+    """Runs of one kind of character as one, over the whole word: Aa for Word, a# for word###."""
     stem, end = (word[:-1], word[-1]) if word[-1] in ".,;:?!" else (word, "")
     if stem.isalpha():
         if stem.islower():
             return "a" + end
         if stem[1:].islower():
             return "Aa" + end
-    out = []
-    for c in word[:40]:
-        kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "x" if c.isalpha() else c
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out)
+    return _RUNS.sub(r"\1", word.translate(_KINDS))
+
+
+def _shape_hash(shape: str) -> int:
+    return (zlib.crc32(shape.encode()) % (WIDTH - 32)) << 4
+
+
+def _long_code(word: str) -> int:
+    """A long word's code, from all its characters. Its shape may be as long as itself and isn't remembered."""
+    shape, kinds = _shape(word), word.translate(_KINDS)
+    marks, plain = sum(map(kinds.count, _MARKS)), sum(map(kinds.count, "aAx0"))
+    return (_SYMBOL * (marks * LONG >= len(word)) | _BARE * (plain * LONG < len(word)) | _STOP * (shape[-1] in ".,;:?")
+            | _shape_hash(shape))
 
 
 class Reader:
@@ -46,6 +69,7 @@ class Reader:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.held = 0  # characters in known
         self.shapes: dict[str, int] = {}
 
     def _shape_code(self, shape: str) -> int:
@@ -54,23 +78,28 @@ class Reader:
         kinds = set(shape)
         marks, letters = not kinds.isdisjoint(_MARKS), not kinds.isdisjoint("aAx")
         code = _SYMBOL * marks | _BARE * (not letters and "0" not in kinds) | _STOP * (shape[-1] in ".,;:?")
-        code = self.shapes[shape] = code | (zlib.crc32(shape.encode()) % (WIDTH - 32)) << 4
+        code = self.shapes[shape] = code | _shape_hash(shape)
         return code
 
     def _learn(self, word: str) -> int:
-        shape = _shape(word)
-        code = self.shapes.get(shape)
-        if code is None:
-            code = self._shape_code(shape)
-        if shape[0] == "A" and len(word) > 1 and word.isupper():
+        self.held += len(word)
+        if len(word) > LONG:
+            code = _long_code(word)
+        else:
+            shape = _shape(word)
+            code = self.shapes.get(shape)
+            if code is None:
+                code = self._shape_code(shape)
+        if word[0].isupper() and len(word) > 1 and word.isupper():
             code |= _CAPITAL
         return code | len(self.known) << 16  # a number of its own until the memory is cleared, which is between texts
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Shares (one for each labeller, and the number of words), and the number of words of each hashed shape."""
         words = text.split()
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or self.held > KEPT_CHARS:
             self.known.clear()
+            self.held = 0
         known, learn = self.known, self._learn
         for w in set(words).difference(known):
             known[w] = learn(w)

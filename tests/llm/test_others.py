@@ -96,6 +96,19 @@ def test_classifier_on_held_out_kinds(docs_of):
     assert sum(not kept[d] for d, _ in bad) >= 0.9 * len(bad) and all(kept[d] for d, _ in good)
 
 
+def test_long_words_are_read_to_their_end():
+    read = lambda text: quality.votes(quality.Reader().read(text)[0])[:2]
+    assert read("a" * 40 + "#$%" * 33_000) == (0, 0)
+    assert read("#" * 40 + "word" * 5_000) == (1, 1)
+    assert read("文字" * 10 + "=" + "中文，文字。" * 800) == (1, 1)
+    shape = lambda text: quality.Reader().read(text)[1].argmax()
+    assert shape("aB" * 30) != shape("aB" * 30 + "7")
+    draw, reader = random.Random(1), quality.Reader()
+    for _ in range(12):
+        reader.read("".join(draw.choices("ab#7B", k=1_000_000)))
+    assert not reader.shapes and sum(map(len, reader.known)) <= quality.KEPT_CHARS + 1_000_000
+
+
 def test_label_model_finds_the_accuracies():
     draw, patterns = random.Random(4), Counter()
     right = (0.95, 0.9, 0.85, 0.8, 0.9, 0.75)
