@@ -101,13 +101,13 @@ class CuckooIndex:
 
 
 def _index_rows(batches):
-    """Live digests of one partition: rows (digest, doc_id, row_no, n) with n below zero for removals."""
+    """Live digests of one partition: rows (digest, doc_id, row_no, n) with n zero and no row_no where all documents went."""
     index, best, count = CuckooIndex(), [], array.array("q")
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(4)]
         for digest, doc, row, n in zip(*columns, strict=True):
             key = bytes.fromhex(digest)
-            at, place = index.find(key), (doc is not None, doc or 0, row)
+            at, place = index.find(key), (doc is not None, doc or 0, -1 if row is None else row)
             if at < 0:
                 at = index.insert(key)
                 best.append(place)
@@ -115,8 +115,8 @@ def _index_rows(batches):
             else:
                 best[at] = max(best[at], place)
                 count[at] += n
-                if count[at] == 0:
-                    index.delete(key)
+            if count[at] == 0:
+                index.delete(key)
     kept = [i for i, k in enumerate(index.keys) if k is not None]
     for a in range(0, len(kept), 20_000):
         some = kept[a:a + 20_000]
@@ -130,14 +130,23 @@ _INDEX = pa.schema([("digest", pa.string()), ("keep_id", pa.int64()), ("keep_row
 
 
 def live_digests(changes: DataFrame) -> DataFrame:
-    """digest, keep_id (largest doc_id), keep_row and group_size of every digest whose changes don't cancel out.
+    """digest, keep_id (largest live doc_id), keep_row and group_size of every digest that has live documents.
 
-    ``changes``: digest, doc_id, row_no, and n: 1 for a document that came, -1 for one that went. The largest doc_id is of
-    all that ever came. Partial sums meet in the index partition that the digest belongs to; a partition holds the distinct
-    digests of its share only.
+    ``changes``: digest, doc_id, row_no, and n: 1 for a document that came, -1 for one that went. A removal cancels an
+    addition of its digest and doc_id, that of its row_no where there is one; one that finds none to cancel counts for
+    nothing. Changes are combined by document before digests are, so a group with a third of all rows stays spread.
     """
-    last = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row_no")).alias("last")
-    partial = changes.groupBy("digest", F.spark_partition_id().alias("from_part")).agg(last, F.sum("n").alias("n"))
+    by_row = changes.groupBy("digest", "doc_id", "row_no").agg(F.sum("n").alias("n"))
+    by_doc = by_row.groupBy("digest", "doc_id").agg(
+        F.max(F.when(F.col("n") > 0, F.col("row_no"))).alias("row_no"), F.greatest(F.sum("n"), F.lit(0)).alias("n"))
+    return _indexed(by_doc)
+
+
+def _indexed(rows: DataFrame) -> DataFrame:
+    """``live_digests`` of rows that hold no removals; partial sums meet in the index partition that the digest belongs to,
+    which holds the distinct digests of its share only."""
+    here = F.when(F.col("n") > 0, F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row_no"))
+    partial = rows.groupBy("digest", F.spark_partition_id().alias("from_part")).agg(F.max(here).alias("last"), F.sum("n").alias("n"))
     dealt = partial.repartition("digest").select("digest", "last.doc_id", "last.row_no", "n")
     return dealt.mapInArrow(_index_rows, "digest string, keep_id long, keep_row long, group_size long")
 
@@ -151,7 +160,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
     rows = stored(docs.select("doc_id", F.sha2(text, 256).alias("digest"), F.monotonically_increasing_id().alias("row_no")),
                   "digests")
-    live = live_digests(rows.withColumn("n", F.lit(1)))
+    live = _indexed(rows.withColumn("n", F.lit(1)))
     return rows.join(live, "digest").select(
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"),
         F.col("digest").alias("text_sha256"))

@@ -57,6 +57,15 @@ def test_live_digests_after_removals(spark):
     assert sorted((r["digest"][:2], r["keep_id"], r["group_size"]) for r in live.collect()) == [("aa", 2, 2), ("cc", None, 1)]
 
 
+def test_removing_the_largest_of_several(spark):
+    rows = [("aa" * 16, i, i, 1) for i in range(5)] + [("aa" * 16, 4, 4, -1), ("aa" * 16, 3, 77, -1)]
+    rows += [("bb" * 16, 7, 10, 1), ("bb" * 16, 7, 11, 1), ("bb" * 16, 7, 11, -1), ("bb" * 16, 9, 12, -1)]
+    rows += [("cc" * 16, None, 13, 1), ("cc" * 16, 5, 14, 1), ("cc" * 16, 5, 14, -1), ("dd" * 16, 6, 15, 1), ("dd" * 16, 6, 15, -1)]
+    live = E.live_digests(spark.createDataFrame(rows, "digest string, doc_id long, row_no long, n int").repartition(4))
+    got = sorted((r["digest"][:2], r["keep_id"], r["keep_row"], r["group_size"]) for r in live.collect())
+    assert got == [("aa", 2, 2, 3), ("bb", 7, 10, 1), ("cc", None, 13, 1)]
+
+
 def test_lines_same_as_sql(docs_of):
     draw, lines = random.Random(5), [prose(i, 4) for i in range(9)] + ["", "  "]
     rows = [(i, "\n".join(draw.choice(lines) for _ in range(draw.randrange(1, 14)))) for i in range(80)]
