@@ -1,7 +1,8 @@
 """Sharding by a k-d tree over metadata, split at weighted medians until every leaf is one shard's bytes.
 
 What is placed are units: documents with equal texts form one, but a group above a small part of a shard is dealt into
-several by doc_id, so that a group with a third of all rows doesn't weigh on the balance. A node that must give n shards is
+several by doc_id, and rows that repeat a doc_id too often for one part by their place in the written table as well, so that
+a group with a third of all rows doesn't weigh on the balance. A node that must give n shards is
 split at the byte that gives n // 2 of them, along the dimension in which its units spread widest. Medians come from running
 sums over range-sorted units; the driver sees one row for each node.
 """
@@ -67,22 +68,27 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: float = FINE) -> DataFram
     and language) share a shard unless the group is above ``fine`` of a shard. Repeated rows get slots of their own. Fewer
     units than shards leave shards empty.
     """
-    rows = stored(_rows(docs), "sizes")
+    rows = stored(_rows(docs).withColumn("row_no", F.monotonically_increasing_id()), "sizes")
     total, low, high = rows.agg(F.sum("size"), F.min("size"), F.max("size")).first()
     most = max(1.0, (total or 0) / shards * fine)
     group = ["size", "text_crc32", "lang"]
     # a group with several parts is above ``most``, so there are fewer of them than shards / fine
     large = rows.groupBy(*group).agg(F.ceil(F.sum("size") / F.lit(most)).alias("parts")).filter("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = rows.join(F.broadcast(large), group, "left").withColumn("tie", F.pmod(F.xxhash64("doc_id"), parts)).drop("parts")
-    dealt = stored(dealt, "dealt")
+    # rows alike in group and doc_id that are above ``most`` together; there are no more of them than of parts
+    alike = rows.join(F.broadcast(large), group, "left_semi").groupBy(*group, "doc_id").agg(
+        F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("bytes") > most) & (F.col("n") > 1))
+    alike = alike.select(*[F.col(c).alias(f"a__{c}") for c in [*group, "doc_id"]])
+    parts, same = F.coalesce("parts", F.lit(1)), [F.col(c).eqNullSafe(F.col(f"a__{c}")) for c in [*group, "doc_id"]]
+    by = F.when(F.col("a__size").isNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("doc_id", "row_no"))
+    dealt = rows.join(F.broadcast(large), group, "left").join(F.broadcast(alike), same, "left").withColumn("tie", F.pmod(by, parts))
+    dealt = stored(dealt.drop("parts", *alike.columns), "dealt")
     spread = max(1e-9, (math.log2(high or 1) - math.log2(low or 1)))
     units = dealt.groupBy(*group, "tie").agg(F.sum("size").alias("bytes")).select(
         *group, "tie", "bytes", ((F.log2("size") - F.lit(math.log2(low or 1))) / spread).alias("by_size"),
         (F.crc32("lang") / F.lit(2.0 ** 32)).alias("by_lang"), (F.col("text_crc32") / F.lit(2.0 ** 32)).alias("by_text"))
     placed, _ = kd_tree(stored(units, "units"), shards)
     rows = dealt.join(placed.select(*group, "tie", "shard"), [*group, "tie"])
-    order = ["text_crc32", "size", "lang", "doc_id"]
+    order = ["text_crc32", "size", "lang", "doc_id", "row_no"]
     slots = running(ordered(rows, ["shard"], order, "slots"), ["shard"], order, F.lit(1), "slot")
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),

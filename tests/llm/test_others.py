@@ -76,6 +76,18 @@ def test_shards_are_even_and_gapless(docs_of):
     assert max(abs(x - mean) for x in sizes.values()) < 0.1 * mean
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_shards_are_even_with_a_third_of_rows_alike(docs_of, doc_id):
+    docs = docs_of([(i, prose(i, 40)) for i in range(1600)] + [(doc_id, prose(1, 40))] * 800)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in sharding.shard(docs).collect():
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert set(sizes) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(sizes.values()) / 24
+    assert sum(map(len, slots.values())) == 2400 and max(abs(x - mean) for x in sizes.values()) < 0.1 * mean
+
+
 def test_shards_odd_rows(odd_docs):
     rows = sharding.shard(odd_docs).collect()
     assert len(rows) == 13 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8} and {r["law"] for r in rows} == {"bytes"}
