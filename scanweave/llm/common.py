@@ -13,7 +13,7 @@ from scanweave.sources.tables import stored
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "ordered", "running", "stored", "hashed_sample", "arrow_function"]
+__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "ordered", "running", "stored", "hashed_sample", "sampled_texts", "arrow_function"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -67,6 +67,20 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))).limit(2 * rows)
 
 
+def sampled_texts(texts: DataFrame, rows: int) -> DataFrame:
+    """text and copies: about ``rows`` rows of ``whole_text``, the same ones however the table is split.
+
+    n rows alike in doc_id and text are drawn n * share times, rounded up or down by their hash, and come as one row with
+    the number drawn; so neither a null or repeated doc_id nor a repeated row is in the sample beyond its share of the table.
+    """
+    share = min(1.0, rows / max(1, texts.count()))
+    keyed = texts.withColumn("key__", F.xxhash64("doc_id", "text"))
+    part = F.pmod(F.xxhash64("key__"), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    drawn = keyed.groupBy("key__").agg(F.floor(F.count("*") * F.lit(share) + F.first(part)).cast("int").alias("copies"))
+    chosen = keyed.join(F.broadcast(drawn.filter("copies > 0")), "key__")
+    return chosen.dropDuplicates(["key__"]).select("text", "copies")
+
+
 def arrow_function(make, *given):
     """A function for mapInArrow that builds its state with ``make(*given)`` once per task and maps each record batch to
     any number of batches."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scanweave.llm.common import arrow_function, hashed_sample, whole_text
+from scanweave.llm.common import arrow_function, sampled_texts, whole_text
 
 #: Documents that train the scorer, its width, words and characters of words that a task remembers between texts, and the
 #: score below which a document goes.
@@ -202,8 +202,9 @@ def _featurer():
     def step(batch):
         both = [reader.read(text.as_py() or "") for text in batch.column(0)]
         yield pa.RecordBatch.from_pydict(
-            {"votes": [list(votes(s)) for s, _ in both], "x": [features(*b).astype(np.float32).tobytes() for b in both]},
-            schema=pa.schema([("votes", pa.list_(pa.int32())), ("x", pa.binary())]))
+            {"votes": [list(votes(s)) for s, _ in both], "x": [features(*b).astype(np.float32).tobytes() for b in both],
+             "copies": batch.column(1)},
+            schema=pa.schema([("votes", pa.list_(pa.int32())), ("x", pa.binary()), ("copies", pa.int32())]))
 
     return step
 
@@ -214,16 +215,17 @@ class Classifier:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Classifier:
-    """Label model from the votes on all documents; scorer from about ``train_docs``, chosen by a hash of doc_id."""
+    """Label model from the votes on all documents; scorer from about ``train_docs``, chosen by a hash of doc_id and text."""
     texts = whole_text(docs)
     counted = texts.select("text").mapInArrow(arrow_function(_pattern_counter), "votes array<int>, n long")
     patterns = {tuple(r["votes"]): r["n"] for r in counted.groupBy("votes").agg(F.sum("n").alias("n")).collect()}  # 3 ** 6 at most
     labels = LabelModel(patterns)
-    chosen = hashed_sample(texts, ["doc_id"], train_docs)
-    rows = sorted(chosen.select("text").mapInArrow(arrow_function(_featurer), "votes array<int>, x binary").collect())
+    chosen = sampled_texts(texts, train_docs)
+    rows = sorted(chosen.mapInArrow(arrow_function(_featurer), "votes array<int>, x binary, copies int").collect())
     if not rows:
         return Classifier(labels, np.zeros(WIDTH))
     x, v = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["votes"] for r in rows])
+    x, v = (np.repeat(a, [r["copies"] for r in rows], axis=0) for a in (x, v))
     return Classifier(labels, train_scorer(x, labels.posterior(v)))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import arrow_function, hashed_sample, whole_text
+from scanweave.llm.common import arrow_function, sampled_texts, whole_text
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
@@ -117,8 +117,8 @@ def _labelled(texts: list[str]) -> tuple[list[str], list[str]]:
 
 
 def train(docs: DataFrame) -> Judge:
-    """Models from about SAMPLE_DOCS documents, chosen by a hash of doc_id, at most SAMPLE_CHARS characters of each."""
-    chosen = hashed_sample(whole_text(docs), ["doc_id"], SAMPLE_DOCS)
+    """Models from about SAMPLE_DOCS documents, chosen by a hash of doc_id and text, at most SAMPLE_CHARS characters of each."""
+    chosen = sampled_texts(whole_text(docs), SAMPLE_DOCS)
     drawn, plain = _labelled(sorted(r[0] for r in chosen.select(F.substring("text", 1, SAMPLE_CHARS)).collect()))
     return Judge(Markov(drawn), Markov(plain))
 

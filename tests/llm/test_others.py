@@ -10,7 +10,7 @@ import pytest
 from corpus_rows import prose
 from pyspark.sql import functions as F
 
-from scanweave.llm import ann, mixing, quality, secrets, sharding
+from scanweave.llm import ann, common, mixing, quality, secrets, sharding
 
 
 def many(docs_of, n=240):
@@ -121,6 +121,17 @@ def test_long_words_are_read_to_their_end():
     assert not reader.shapes and sum(map(len, reader.known)) <= quality.KEPT_CHARS + 1_000_000
 
 
+def test_sample_takes_null_and_repeated_rows_by_their_share(docs_of):
+    rows = [(i, prose(i, 9)) for i in range(1000)] + [(None, prose(5000 + i, 9)) for i in range(500)] + [(7, "again")] * 500
+    takes = []
+    for parts in (3, 8):
+        drawn = common.sampled_texts(common.whole_text(docs_of(rows, parts)), 400).collect()
+        takes.append(sorted((r["text"], r["copies"]) for r in drawn))
+    texts, null = dict(takes[0]), {t for d, t in rows if d is None}
+    assert takes[0] == takes[1] and texts["again"] == 100 and 340 <= sum(texts.values()) <= 460
+    assert 60 <= sum(t in null for t in texts) <= 140
+
+
 def test_label_model_finds_the_accuracies():
     draw, patterns = random.Random(4), Counter()
     right = (0.95, 0.9, 0.85, 0.8, 0.9, 0.75)
