@@ -2,7 +2,8 @@
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, are trained from labelled
 samples: values that the patterns find and strings drawn from a seed on one side, words of the corpus and identifiers built
-from them on the other. A run of key characters is a secret when the log-likelihood ratio of the models is high enough.
+from them on the other. A run of key characters, or a stretch of one, is a secret when the log-likelihood ratio of the models
+is high enough.
 Scanning is by documents; nothing is shuffled.
 """
 
@@ -28,8 +29,9 @@ KINDS = ("assign", "access", "hex", "markov")
 SHORTEST = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+SEPARATORS = frozenset("+/_=-")
 #: Documents and characters of each that the training sample is bounded by, strings drawn for each alphabet, and the
-#: log-likelihood ratio, whole and for each character, from which a run is a secret.
+#: log-likelihood ratio, whole and for each character, from which a run or a stretch of it is a secret.
 SAMPLE_DOCS, SAMPLE_CHARS, DRAWN, LEAST, LEAST_EACH = 500, 5_000, 1_500, 14.0, 0.55
 
 
@@ -67,6 +69,47 @@ class Judge:
     def secret(self, run: str) -> bool:
         return (total := self.ratio_of(run)) >= LEAST and total >= LEAST_EACH * len(run)
 
+    def secrets(self, run: str) -> list[tuple[int, int]]:
+        """Places of the secrets in a run: all of it, or else its stretches that reach LEAST and LEAST_EACH.
+
+        Stretches are the run's maximal sums of the ratio less LEAST_EACH (Ruzzo and Tompa, in linear time), so neither a key
+        or path before a secret nor one behind it counts against it. They are widened to the nearest separators.
+        """
+        if run.isdigit():
+            return []
+        if self.secret(run):
+            return [(0, len(run))]
+        place, ratio, row, total, open_, done = self.place, self.ratio, 0, 0.0, [], []
+        for i, c in enumerate(run):
+            to = place[c]
+            step = ratio[row][to] - LEAST_EACH
+            row, total, low = to, total + step, total
+            if step <= 0:
+                continue
+            start = i
+            while True:
+                while open_ and open_[-1][2] >= low:
+                    done.append(open_.pop())  # no later stretch joins one that begins higher
+                if not open_ or open_[-1][3] >= total:
+                    break
+                start, _, low, _ = open_.pop()
+                while done and done[-1][0] >= start:
+                    done.pop()
+            open_.append((start, i + 1, low, total))
+        found = []
+        for start, end, low, high in sorted(done + open_):
+            if high - low + LEAST_EACH * (end - start) < LEAST or (found and end <= found[-1][1]):
+                continue
+            while start and run[start - 1] not in SEPARATORS and (not found or start > found[-1][1]):
+                start -= 1
+            while end < len(run) and run[end] not in SEPARATORS:
+                end += 1
+            if found and start <= found[-1][1]:
+                found[-1] = (found[-1][0], max(end, found[-1][1]))
+            else:
+                found.append((start, end))
+        return [(a, b) for a, b in found if b - a >= SHORTEST and not run[a:b].isdigit()]
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the fixed patterns find."""
@@ -82,17 +125,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, judge: Judge, base) -> list[tuple[int, int, int]]:
-    """The fixed patterns' spans and the runs that the models add: those that meet no fixed span and aren't digits only."""
-    ends, found = sorted((a, b) for a, _, b in base), []
+    """The fixed patterns' spans and what the models add: secrets in what those spans leave of each run."""
+    ends, found = [], []
+    for x, _, y in base:  # sorted by start
+        if ends and x <= ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(y, ends[-1][1]))
+        else:
+            ends.append((x, y))
     at = 0
     for run in RUN.finditer(text):
         a, b = run.span()
-        while at < len(ends) and ends[at][1] <= a and (at + 1 == len(ends) or ends[at + 1][0] < b):
+        while at < len(ends) and ends[at][1] <= a:
+            at += 1
+        while at < len(ends) and ends[at][0] < b:
+            x, y = ends[at]
+            if x - a >= SHORTEST:
+                found += [(a + i, 3, a + j) for i, j in judge.secrets(text[a:x])]
+            a = y
+            if y > b:
+                break
             at += 1
-        if any(x < b and y > a for x, y in ends[at:at + 2]) or run[0].isdigit():
-            continue
-        if judge.secret(run[0]):
-            found.append((a, 3, b))
+        if b - a >= SHORTEST:
+            found += [(a + i, 3, a + j) for i, j in judge.secrets(text[a:b])]
     return sorted([*base, *found])
 
 
