@@ -30,9 +30,9 @@ SHORTEST = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SEPARATORS = frozenset("+/_=-")
-#: Documents and characters of each that the training sample is bounded by, strings drawn for each alphabet, and the
-#: log-likelihood ratio, whole and for each character, from which a run or a stretch of it is a secret.
-SAMPLE_DOCS, SAMPLE_CHARS, DRAWN, LEAST, LEAST_EACH = 500, 5_000, 1_500, 14.0, 0.55
+#: Documents that the training sample is bounded by, strings drawn for each alphabet, and the log-likelihood ratio, whole and
+#: for each character, from which a run or a stretch of it is a secret.
+SAMPLE_DOCS, DRAWN, LEAST, LEAST_EACH = 500, 1_500, 14.0, 0.55
 
 
 class Markov:
@@ -150,16 +150,19 @@ def all_spans(text: str, judge: Judge, base) -> list[tuple[int, int, int]]:
     return sorted([*base, *found])
 
 
-def _labelled(texts: list[str]) -> tuple[list[str], list[str]]:
-    """Random strings and ordinary identifiers from the sampled texts and a seed."""
-    draw, values, words = random.Random(17), set(), set()
-    for text in texts:
-        spans = base_spans(text)
-        values.update(m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 8)
-        values.update(text[a:b] for a, kind, b in spans if kind)
-        for a, _, b in reversed(spans):
-            text = f"{text[:a]} {text[b:]}"
-        words.update(w for w in re.findall(r"[A-Za-z][A-Za-z_-]+", text) if len(w) > 2)
+def _read(text: str) -> tuple[set[str], set[str]]:
+    """Values that the fixed patterns find in a text, and its words outside of their spans."""
+    spans, words, at = base_spans(text), set(), 0
+    values = {m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 8} | {text[a:b] for a, kind, b in spans if kind}
+    for a, _, b in [*spans, (len(text), 0, len(text))]:
+        words.update(w for w in re.findall(r"[A-Za-z][A-Za-z_-]+", text[at:max(a, at)]) if len(w) > 2)
+        at = max(at, b)
+    return values, words
+
+
+def _samples(values: set[str], words: set[str]) -> tuple[list[str], list[str]]:
+    """Random strings and ordinary identifiers from what the sampled texts give and a seed."""
+    draw = random.Random(17)
     alphabets = (SYMBOLS[:64], SYMBOLS[:62], SYMBOLS[26:36] + SYMBOLS[52:62], SYMBOLS[26:32] + SYMBOLS[52:62], SYMBOLS[:26] + SYMBOLS[52:62])
     drawn = ["".join(draw.choices(a, k=draw.randrange(16, 65))) for a in alphabets for _ in range(DRAWN)]
     plain = sorted(words) or ["name", "value", "index", "number"]
@@ -170,10 +173,35 @@ def _labelled(texts: list[str]) -> tuple[list[str], list[str]]:
     return sorted(values) + drawn, plain + [w.upper() for w in plain] + built
 
 
+def _labelled(texts: list[str]) -> tuple[list[str], list[str]]:
+    found = [_read(text) for text in texts]
+    return _samples(set().union(*(v for v, _ in found)), set().union(*(w for _, w in found)))
+
+
+def _reader():
+    def step(batch):
+        values, words = set(), set()
+        for text in batch.column(0):
+            v, w = _read(text.as_py())
+            values |= v
+            words |= w
+        yield pa.RecordBatch.from_pydict(
+            {"value": [True] * len(values) + [False] * len(words), "found": [*values, *words]},
+            schema=pa.schema([("value", pa.bool_()), ("found", pa.string())]))
+
+    return step
+
+
+def sampled(docs: DataFrame) -> tuple[set[str], set[str]]:
+    """Values and words of the whole texts of about SAMPLE_DOCS documents, chosen by a hash of doc_id and text."""
+    chosen = sampled_texts(whole_text(docs), SAMPLE_DOCS).select("text")
+    found = chosen.mapInArrow(arrow_function(_reader), "value boolean, found string").distinct().collect()
+    return {r["found"] for r in found if r["value"]}, {r["found"] for r in found if not r["value"]}
+
+
 def train(docs: DataFrame) -> Judge:
-    """Models from about SAMPLE_DOCS documents, chosen by a hash of doc_id and text, at most SAMPLE_CHARS characters of each."""
-    chosen = sampled_texts(whole_text(docs), SAMPLE_DOCS)
-    drawn, plain = _labelled(sorted(r[0] for r in chosen.select(F.substring("text", 1, SAMPLE_CHARS)).collect()))
+    """Models from the values and words of about SAMPLE_DOCS documents and what is drawn and built beside them."""
+    drawn, plain = _samples(*sampled(docs))
     return Judge(Markov(drawn), Markov(plain))
 
 

@@ -209,6 +209,11 @@ def test_models_on_held_out_strings():
     assert sum(map(judge.secret, strings)) >= 0.97 * len(strings) and sum(map(judge.secret, names)) <= 0.01 * len(names)
 
 
+def test_training_reads_whole_documents(docs_of):
+    values, words = secrets.sampled(docs_of([(i, f"{prose(i, 2000)} deepword{'abcdef'[i % 6]} password=Zq8Kx0Vw3Yp7{i} end") for i in range(6)]))
+    assert {f"deepword{c}" for c in "abcdef"} <= words and {f"Zq8Kx0Vw3Yp7{i}" for i in range(6)} <= values
+
+
 def test_secrets_behind_keys_and_in_paths():
     drawn, plain = secrets._labelled([prose(i, 300) for i in range(50)])
     judge, draw = secrets.Judge(secrets.Markov(drawn), secrets.Markov(plain)), random.Random(98)
