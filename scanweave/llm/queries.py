@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import ann, bpe, exact_dedup, line_dedup, mixing, ngram_join, ngram_lm, quality, secrets, sharding
+from scanweave.llm import ann, bpe, exact_dedup, line_dedup, merkle, mixing, ngram_join, ngram_lm, quality, secrets, sharding
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -80,3 +80,8 @@ def op9(spark, sf_dir):
 @_query("op10_secrets")
 def op10(spark, sf_dir):
     return secrets.secret_report(_documents(spark, sf_dir))
+
+
+@_query("op12_merkle", merkle.SQL)
+def op12(spark, sf_dir):
+    return merkle.merkle_report(_documents(spark, sf_dir))
