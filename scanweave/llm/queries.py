@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scanweave.llm import ann, bpe, exact_dedup, line_dedup, merkle, mixing, ngram_join, ngram_lm, quality, secrets, sharding
+from scanweave.llm import (
+    ann, bpe, exact_dedup, lexical, line_dedup, merkle, mixing, ngram_join, ngram_lm, quality, secrets, sharding, substrings,
+)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -82,6 +84,16 @@ def op10(spark, sf_dir):
     return secrets.secret_report(_documents(spark, sf_dir))
 
 
+@_query("op11_substring_dedup", substrings.SQL)
+def op11(spark, sf_dir):
+    return substrings.substring_report(_documents(spark, sf_dir))
+
+
 @_query("op12_merkle", merkle.SQL)
 def op12(spark, sf_dir):
     return merkle.merkle_report(_documents(spark, sf_dir))
+
+
+@_query("op13_lexical_search", lexical.SQL)
+def op13(spark, sf_dir):
+    return lexical.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
