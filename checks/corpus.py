@@ -329,3 +329,35 @@ def corpus_sql() -> str:
         f"SELECT project, file, content, scan_id FROM ({code_corpus_sql()}) UNION ALL "
         f"SELECT project, file, content, scan_id FROM ({text_corpus_sql()})"
     )
+
+
+# Files on disk: the code files of 20 orders each, one after another, and the documents of a source by the hundred, those of odd
+# blocks in Latin-1. Every file ends with a line feed.
+def write_files(spark, sf_dir: str, folder: str) -> None:
+    code = code_corpus(spark, sf_dir).selectExpr(
+        "'code' AS kind", "'orders' AS source", "scan_id div 20 AS block", "scan_id AS no", "content AS text")
+    plain = "CASE WHEN doc_id div 100 % 2 = 1 THEN regexp_replace(text, '[^\\\\x00-\\\\x7F]', 'é') ELSE text END"
+    docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").selectExpr(
+        "'docs' AS kind", "source", "doc_id div 100 AS block", "doc_id AS no",
+        f"CASE WHEN doc_id div 100 % 2 = 1 THEN CAST(encode({plain}, 'ISO-8859-1') AS STRING) ELSE text END AS text")
+    keys = ["kind", "source", "block"]
+    rows = code.unionByName(docs).repartition(*keys).sortWithinPartitions(*keys, "no")
+    rows.select(*keys, "text").write.partitionBy(*keys).text(folder)
+
+
+def written_path(file):
+    """A path as those of the corpora from the one that ``write_files`` gave."""
+    from pyspark.sql import functions as F
+
+    return F.regexp_replace(file, "^.*/kind=([a-z]+)/source=([^/]*)/block=(\\d+)/[^/]*$", "/repos/$1-$2/src/components/block_$3.tsx")
+
+
+def written_sql() -> str:
+    return (
+        "SELECT 'disk' AS project, '/repos/code-orders/src/components/block_' || (scan_id // 20) || '.tsx' AS file, "
+        "string_agg(content, chr(10) ORDER BY scan_id) || chr(10) AS content, min(scan_id) AS scan_id "
+        f"FROM ({code_corpus_sql()}) GROUP BY scan_id // 20 UNION ALL "
+        "SELECT 'disk', '/repos/docs-' || source || '/src/components/block_' || (doc_id // 100) || '.tsx', string_agg("
+        "CASE WHEN doc_id // 100 % 2 = 1 THEN regexp_replace(text, '[^\\x00-\\x7F]', chr(65533), 'g') ELSE text END, chr(10) "
+        "ORDER BY doc_id) || chr(10), min(doc_id) FROM documents WHERE text IS NOT NULL GROUP BY source, doc_id // 100"
+    )

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import oracle as o
-from checks.corpus import _q, code_corpus, corpus, text_corpus
+from checks.corpus import _q, code_corpus, corpus, text_corpus, write_files, written_path
 from checks.registry import query
 from scanweave.operators import detect as d
 from scanweave.rules import catalog as cat
 from scanweave.rules.model import LINE, Condition, Pack, Rule, window
+from scanweave.sources.corpus import read_files
+from scanweave.sources.long_files import pieces, read_lines
+from scanweave.sources.tables import work_folder
 
 COLS = ["rule_id", "finding_id", "project", "file", "line", "severity", "category"]
 SELECT = f"SELECT {', '.join(COLS)} FROM findings"
@@ -142,3 +145,28 @@ def category_select(spark, sf):
 def all_packs(spark, sf):
     f = d.detect(corpus(spark, sf))
     return f.groupBy("pack", "severity").agg(F.count("*").alias("hits"), F.countDistinct("file").alias("files"))
+
+
+# Files written to disk and read back, whole and by byte ranges in pieces of 64 lines: the same findings.
+_ON_DISK = ["phi", "security", "hipaa2026", "rbac", "errors", "revocation", "configuration", "api_security"]
+_DISK_COLS = [*COLS, "code", "in_block", "ctx_from"]
+_DISK_SQL = f"{o.pack_findings(_ON_DISK, 'written')} SELECT {', '.join(_DISK_COLS)} FROM findings"
+
+
+def _written(spark, sf) -> str:
+    folder = work_folder(spark, "files")
+    write_files(spark, sf, folder)
+    return folder
+
+
+@query("s01_read_files", _DISK_SQL)
+def whole_files(spark, sf):
+    files = read_files(spark, _written(spark, sf), "disk").withColumn("file", written_path("file"))
+    return d.detect(files, _ON_DISK).select(_DISK_COLS)
+
+
+@query("s07_long_files", _DISK_SQL)
+def files_in_pieces(spark, sf):
+    rules = list(cat.line_rules(_ON_DISK))
+    lines = read_lines(spark, _written(spark, sf), "disk").withColumn("file", written_path("file"))
+    return d.detect_rules(pieces(lines, rules, 64), rules).select(_DISK_COLS)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from checks.corpus import _q, code_corpus_sql, corpus_sql, text_corpus_sql
+from checks.corpus import _q, code_corpus_sql, corpus_sql, text_corpus_sql, written_sql
 from scanweave.rules.catalog import IMPORT_LINE, line_rules
 from scanweave.rules.model import SEVERITY_RANK
 
@@ -204,7 +204,7 @@ def rules_values(rules) -> str:
     )
 
 
-FROM = {"all": corpus_sql, "code": code_corpus_sql, "text": text_corpus_sql}
+FROM = {"all": corpus_sql, "code": code_corpus_sql, "text": text_corpus_sql, "written": written_sql}
 
 
 def base(source: str = "code", extra: str = "") -> str:

@@ -1,8 +1,12 @@
 """Line rules over a corpus.
 
-One row per file goes in: ``project, file, content``. Every rule becomes a ``filter`` over the file's line numbers,
-so a file never leaves its row until only hits are left, and no shuffle is needed. A rule costs one ``contains``
-for a file that lacks its keywords; windows are joined only for lines whose own pattern already matched.
+One row per file goes in: ``project, file, content``. One pass over the content finds the lines that hold a keyword of each
+rule; a rule then is a ``filter`` over its lines, so a file never leaves its row until only hits are left, and no shuffle is
+needed. A rule costs one lookup for a file that lacks its keywords; windows are joined only for lines whose own pattern
+already matched.
+
+A long file may come as several rows, its pieces (``sources.long_files``): lines of its own and a margin on both sides, for which
+``detect_rules`` gives the findings that the whole file has.
 """
 
 from __future__ import annotations
@@ -10,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanweave.functions.keywords import lines_with
 from scanweave.functions.regex import all_keywords, any_of, glob_to_regex, keywords, leading_keywords, to_java
-from scanweave.functions.sql import has_any, js_trim, like, lit
+from scanweave.functions.sql import js_trim, like, lit
 from scanweave.rules.catalog import COMMENT, IMPORT_LINE, line_rules
 from scanweave.rules.model import SEVERITY_RANK, Rule, Scope
 
-# A file's parts are bound as f, one of its lines as l: l.i its 0-based number, l.x its text, l.low the text lowercased.
+# A file's parts are bound as f, one of its lines as l: l.i its 0-based number, l.x its text.
 LINE_TEXT = "l.x"
-LOW_LINE = "l.low"
 
 # Client and server hints in paths and contents.
 SERVER_HINTS = [r"(?i)/api/", r"(?i)\.server\.", r"(?i)getServerSideProps", r"(?i)getStaticProps", r"(?i)use server"]
@@ -36,12 +40,27 @@ HIT_TYPE = "array<struct<rule_no:int,i:int>>"
 NO_HITS = f"CAST(array() AS {HIT_TYPE})"
 
 
-def is_client_file() -> str:
+class WholeText:
+    """Tests on a file's whole text. On a piece of a long file they are lookups among the ``facts`` that its row carries: the
+    numbers of the patterns that match anywhere in the file."""
+
+    def __init__(self, in_pieces: bool = False):
+        self.in_pieces, self.patterns = in_pieces, []
+
+    def like(self, pattern: str) -> str:
+        if not self.in_pieces:
+            return like("content", pattern)
+        if pattern not in self.patterns:
+            self.patterns.append(pattern)
+        return f"array_contains(facts, {self.patterns.index(pattern)})"
+
+
+def is_client_file(whole: WholeText | None = None) -> str:
     """Server hints win, then client hints, then common web folders."""
-    server, client = any_of(SERVER_HINTS), any_of(CLIENT_HINTS)
+    server, client, whole = any_of(SERVER_HINTS), any_of(CLIENT_HINTS), whole or WholeText()
     return (
-        f"CASE WHEN {like('file', server)} OR {like('content', server)} THEN false "
-        f"WHEN {like('file', client)} OR {like('content', client)} THEN true "
+        f"CASE WHEN {like('file', server)} OR {whole.like(server)} THEN false "
+        f"WHEN {like('file', client)} OR {whole.like(client)} THEN true "
         f"ELSE {like('file', WEB_FOLDERS)} END"
     )
 
@@ -101,24 +120,20 @@ def _guard(name: str) -> str:
     raise ValueError(name)
 
 
-def _matches(scope: Scope, patterns, prefilter: bool) -> str:
-    """True where any pattern matches the text of the scope, keywords first."""
-    span = scope.kind == "span"
-    regex = _anchored(patterns) if span else any_of(patterns)
-    test = like(scope_text(scope), regex)
-    words = all_keywords(patterns, leading_keywords if span else keywords) if prefilter else None
-    if words and scope.kind in ("line", "span"):
-        return f"({has_any(LOW_LINE, words)} AND {test})"
-    return f"({test})"
+def _matches(scope: Scope, patterns, whole: WholeText) -> str:
+    """True where any pattern matches the text of the scope."""
+    if scope.kind == "content":
+        return f"({whole.like(any_of(patterns))})"
+    return f"({like(scope_text(scope), _anchored(patterns) if scope.kind == 'span' else any_of(patterns))})"
 
 
-def line_condition(rule: Rule, prefilter: bool = True) -> str:
+def line_condition(rule: Rule, whole: WholeText | None = None) -> str:
     """Spark SQL condition on line ``l`` of file ``f``."""
-    terms = []
+    terms, whole = [], whole or WholeText()
     for c in rule.require:
         if c.scope.kind == "line":
-            terms.append(_matches(c.scope, c.patterns, prefilter))
-    terms.append(_matches(rule.on, rule.patterns, prefilter))
+            terms.append(_matches(c.scope, c.patterns, whole))
+    terms.append(_matches(rule.on, rule.patterns, whole))
     for p in rule.skip:
         terms.append(f"NOT ({like(LINE_TEXT, p)})")
     if rule.skip_imports:
@@ -126,20 +141,17 @@ def line_condition(rule: Rule, prefilter: bool = True) -> str:
     if rule.guard:
         terms.append(_guard(rule.guard))
     for c in rule.require:
-        if c.scope.kind != "line":
-            terms.append(_matches(c.scope, c.patterns, prefilter))
+        if c.scope.kind not in ("line", "content"):
+            terms.append(_matches(c.scope, c.patterns, whole))
     for c in rule.forbid:
         if c.patterns and c.scope.kind in ("line", "window"):
-            terms.append(f"NOT {_matches(c.scope, c.patterns, prefilter and c.scope.kind == 'line')}")
+            terms.append(f"NOT {_matches(c.scope, c.patterns, whole)}")
     return " AND ".join(terms)
 
 
-def file_condition(rule: Rule, prefilter: bool = True) -> str:
+def file_condition(rule: Rule, whole: WholeText | None = None) -> str:
     """Condition on the file row that must hold before any line is looked at."""
-    terms = []
-    words = all_keywords(rule.patterns) if prefilter else None
-    if words:
-        terms.append(has_any("f.low", words))
+    terms, whole = [], whole or WholeText()
     if rule.skip_path:
         terms.append(f"NOT ({like('file', rule.skip_path)})")
     if rule.include:
@@ -147,41 +159,59 @@ def file_condition(rule: Rule, prefilter: bool = True) -> str:
     for g in rule.exclude:
         terms.append(f"NOT ({like('file', glob_to_regex(g))})")
     if rule.client_only:
-        terms.append(f"({is_client_file()})")
+        terms.append(f"({is_client_file(whole)})")
+    for c in rule.require:
+        if c.scope.kind == "content":
+            terms.append(_matches(c.scope, c.patterns, whole))
     for c in rule.forbid:
         if c.patterns and c.scope.kind in ("path", "content"):
-            terms.append(f"NOT {_matches(c.scope, c.patterns, False)}")
+            terms.append(f"NOT {_matches(c.scope, c.patterns, whole)}")
     return " AND ".join(terms) or "true"
 
 
-def rule_hits(rule: Rule, prefilter: bool = True) -> str:
-    found = f"filter(f.lines, l -> {line_condition(rule, prefilter)})"
-    hits = f"transform({found}, l -> named_struct('rule_no', {rule.no}, 'i', l.i))"
-    return f"CASE WHEN {file_condition(rule, prefilter)} THEN {hits} ELSE {NO_HITS} END"
+def rule_words(rule: Rule):
+    """Words of which every hit of the rule has one in its line, and words of which its file has one; None where there are none."""
+    options = []
+    if rule.on.kind in ("line", "span"):
+        options.append(all_keywords(rule.patterns, leading_keywords if rule.on.kind == "span" else keywords))
+    options += [all_keywords(c.patterns) for c in rule.require if c.scope.kind == "line"]
+    options = [o for o in options if o]
+    return max(options, key=lambda o: min(map(len, o)), default=None), all_keywords(rule.patterns)
 
 
-# Line ranges covered by block comments: text after each opener, up to its closer, with running line numbers.
-# A quoted "/*" counts as an opener, since files are not parsed.
-_NEWLINES = "length({0}) - length(replace({0}, '\\n', ''))"
-BLOCK_COMMENTS = (
-    "CASE WHEN contains(content, '/*') THEN aggregate(slice(split(content, '/\\\\*', -1), 2, length(content)), "
-    "named_struct('at', " + _NEWLINES.format("substring_index(content, '/*', 1)") + ", 'ranges', "
-    "CAST(array() AS array<struct<a:int,b:int>>)), (acc, p) -> named_struct('at', acc.at + "
-    + _NEWLINES.format("p") + ", 'ranges', concat(acc.ranges, array(named_struct('a', acc.at, 'b', acc.at + "
-    + _NEWLINES.format("substring_index(p, '*/', 1)") + ")))), acc -> acc.ranges) "
-    "ELSE CAST(array() AS array<struct<a:int,b:int>>) END"
-)
+def _margin(rules) -> tuple[int, int]:
+    """Lines above and below a line that some rule or its context looks at."""
+    scopes = [s for _, r in rules for s in (r.on, *[c.scope for c in (*r.require, *r.forbid)])]
+    around = max([p.context or 0 for p, _ in rules], default=0)
+    return max([around, 1, *[s.before for s in scopes]]), max([around, *[s.after for s in scopes]])
+
+
+def rule_hits(rule: Rule, k: int, words, file_words, whole: WholeText) -> str:
+    """Hits of a rule among the lines that hold one of its ``words``, which are found under ``k``; else among all lines."""
+    numbers, gate = "sequence(0, size(f.ls) - 1)", ""
+    if words:
+        numbers, gate = f"f.words[{k}]", f"f.words[{k}] IS NOT NULL AND "
+    elif file_words:
+        gate = f"f.words[{-1 - k}] IS NOT NULL AND "
+    lines = f"transform({numbers}, i -> named_struct('i', i, 'x', get(f.ls, i)))"
+    hits = f"transform(filter({lines}, l -> {line_condition(rule, whole)}), l -> named_struct('rule_no', {rule.no}, 'i', l.i))"
+    return f"CASE WHEN {gate}{file_condition(rule, whole)} THEN {hits} ELSE {NO_HITS} END"
+
+
+# A line is in a block comment if it has an opener or begins inside one; the latter get a mark: from an opener, or the end of the
+# last match, up to the line's end without a closer. A quoted "/*" counts as an opener, since files are not parsed.
+_OPEN_LINES = r"(?:\G(?!\A)|/\*)(?:(?!\*/)[^\n])*+\n"
+_MARKED = (
+    f"CASE WHEN contains({{0}}, '/*') THEN split(regexp_replace({{0}}, {lit(_OPEN_LINES)}, {lit('$0' + chr(1))}), '\\n', -1) END")
 SPLIT = "split(content, '\\n', -1)"
 
 
 def per_file(expression: str) -> str:
-    """Evaluates ``expression`` over the file's parts ``f``, which are made once per row.
+    """Evaluates ``expression`` over the file's parts ``f``, which are made once per row: ``f.ls`` and ``f.lines``.
 
     Binding them as a lambda variable keeps the optimizer from copying the split into every use.
     """
-    parts = (
-        f"named_struct('ls', {SPLIT}, 'low', lower(content), 'lines', transform({SPLIT}, (x, i) -> named_struct('i', i, "
-        f"'x', x, 'low', lower(x))), 'blocks', {BLOCK_COMMENTS})")
+    parts = f"named_struct('ls', {SPLIT}, 'lines', transform({SPLIT}, (x, i) -> named_struct('i', i, 'x', x)))"
     return f"flatten(transform(array({parts}), f -> {expression}))"
 
 
@@ -217,32 +247,59 @@ FINDING_COLUMNS = [
 def detect_rules(corpus: DataFrame, rules, prefilter: bool = True, keep=()) -> DataFrame:
     """Findings of ``(pack, rule)`` pairs: map-only over files, then one small broadcast of rule attributes.
 
-    ``keep`` names further corpus columns to carry along, such as a scan id.
+    ``keep`` names further corpus columns to carry along, such as a scan id. Without ``prefilter`` every rule tries every line.
+    Rows that are pieces of long files (they have the column ``first_line``) give the findings on their own lines, with the file's
+    line numbers; what rules ask of a whole file is then collected from all its pieces first.
     """
     rules = list(rules)
+    pieces = "first_line" in corpus.columns
+    whole = WholeText(pieces)
     by_pack: dict = {}
-    for p, r in rules:
-        by_pack.setdefault(p, []).append(r)
-    arrays = []
-    for p, members in by_pack.items():
-        hits = "flatten(array(" + ", ".join(rule_hits(r, prefilter) for r in members) + "))"
-        arrays.append(f"CASE WHEN {like('file', p.path)} THEN {hits} ELSE {NO_HITS} END")
+    found: dict[int, list[str]] = {}
+    for k, (p, r) in enumerate(rules):
+        words, file_words = rule_words(r) if prefilter else (None, None)
+        if words:
+            found[k] = words
+        elif file_words and not pieces:
+            found[-1 - k] = file_words
+        by_pack.setdefault(p, []).append(rule_hits(r, k, words, None if pieces else file_words, whole))
+    arrays = [f"CASE WHEN {like('file', p.path)} THEN flatten(array({', '.join(hits)})) ELSE {NO_HITS} END" for p, hits in by_pack.items()]
     around = max([p.context or 0 for p in by_pack], default=0)
     first = f"greatest(h.i - {around}, 0)"
+    every, text, shift = f"flatten(array({', '.join(arrays)}))", "content", "0"
+    if pieces:
+        every, text, shift = f"filter({every}, h -> h.i BETWEEN core_from AND core_to)", "core_text", "core_from"
     detail = (
-        f"transform(flatten(array({', '.join(arrays)})), h -> named_struct('rule_no', h.rule_no, 'i', h.i, "
-        f"'code', get(f.ls, h.i), 'prev', get(f.ls, h.i - 1), "
-        f"'in_block', exists(f.blocks, b -> h.i BETWEEN b.a AND b.b), 'ctx_from', {first}, "
+        f"transform({every}, h -> named_struct('rule_no', h.rule_no, 'i', h.i, "
+        f"'code', get(f.ls, h.i), 'prev', get(f.ls, h.i - 1), 'in_block', f.marked IS NOT NULL AND (contains(get(f.ls, h.i), '/*') "
+        f"OR length(get(f.marked, h.i - {shift})) > length(get(f.ls, h.i))), 'ctx_from', {first}, "
         f"'ctx', slice(f.ls, {first} + 1, least(h.i + {around}, size(f.ls) - 1) - {first} + 1)))"
     )
     read = " OR ".join(sorted({f"({like('file', p.path)})" for p in by_pack})) or "false"
-    hits = (
-        corpus.filter(F.expr(read)).select("project", "file", *keep, F.explode(F.expr(per_file(detail))).alias("h"))
-        .select("project", "file", *keep, "h.*")
-    )
+    files = corpus.filter(F.expr(read))
+    if pieces:
+        files = _with_facts(files, whole.patterns)
+    words = "CAST(NULL AS map<int,array<int>>)"
+    if found:
+        files, words = files.withColumn("words__", lines_with(found)("content")), "words__"
+    parts = f"named_struct('ls', {SPLIT}, 'words', {words}, 'marked', {_MARKED.format(text)})"
+    hits = files.select("project", "file", *keep, *(["first_line"] if pieces else []),
+                        F.explode(F.expr(f"flatten(transform(array({parts}), f -> {detail}))")).alias("h"))
+    at = {c: (F.col(f"h.{c}") + F.col("first_line") if pieces else F.col(f"h.{c}")).alias(c) for c in ("i", "ctx_from")}
+    hits = hits.select("project", "file", *keep, "h.rule_no", at["i"], "h.code", "h.prev", "h.in_block", at["ctx_from"], "h.ctx")
     return _describe(hits, rule_table(corpus.sparkSession, rules), keep)
 
 
+def _with_facts(pieces: DataFrame, patterns) -> DataFrame:
+    """``facts``: the numbers of the patterns that match somewhere in the file, from one row per piece."""
+    if not patterns:
+        return pieces.withColumn("facts", F.array().cast("array<int>"))
+    flags = pieces.groupBy("project", "file").agg(*[F.bool_or(F.expr(like("content", p))).alias(f"f{k}") for k, p in enumerate(patterns)])
+    flags = flags.select("project", "file", F.array_compact(F.array(*[
+        F.when(F.col(f"f{k}"), F.lit(k)) for k in range(len(patterns))])).alias("facts"))
+    return pieces.join(flags, ["project", "file"])
+
+
 def _describe(hits: DataFrame, table: DataFrame, keep) -> DataFrame:
     """Joins rule attributes to hits and cuts the context to what the pack keeps."""
     f = hits.join(F.broadcast(table), "rule_no")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanweave.operators.aggregate import active, compliance_score, js_round, severity_counts
+from scanweave.operators.gaps import cut_at_gaps, same
+from scanweave.sources.folders import stored
 
 SEVERITY_NAMES = ["critical", "high", "medium", "low"]
 # Days to review per severity, call limits, prices per million tokens.
@@ -121,39 +123,70 @@ def review_deadline(created: str, severity: str = "severity") -> Column:
     return F.date_add(F.to_date(created), days)
 
 
+#: Microseconds of a limiter's memory, and of the time buckets that calls are counted in: two minutes.
+MEMORY, BUCKET = 60_000_000, 120_000_000
+
+
 def _admit(batches):
-    """Calls sorted by (scan, time, id) to the same calls with what the limiter had recorded before each of them."""
-    scan, recent, total = None, deque(), 0
+    """Calls sorted by (scan, piece, time, id) to the same calls with what a limiter that begins with each piece, and knows no
+    bound for the scan, had recorded before each of them."""
+    last, recent, total = None, deque(), 0
     for batch in batches:
         out = []
-        for s, _, us in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if s != scan:
-                scan, recent, total = s, deque(), 0
-            while recent and recent[0] <= us - 60_000_000:
+        for s, piece, us in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+            if (s, piece) != last:
+                last, recent, total = (s, piece), deque(), 0
+            while recent and recent[0] <= us - MEMORY:
                 recent.popleft()
-            ok = len(recent) < CALLS_PER_MINUTE and total < CALLS_PER_SCAN
+            ok = len(recent) < CALLS_PER_MINUTE
             out.append((len(recent), total, ok))
             if ok:
                 recent.append(us)
                 total += 1
         minute, before, ok = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(minute, pa.int32()), pa.array(before, pa.int32()), pa.array(ok, pa.bool_())],
-            names=["scan", "event_id", "in_minute", "in_scan", "allowed"])
+            [batch.column(0), batch.column(1), batch.column(2), pa.array(minute, pa.int32()), pa.array(before, pa.int64()),
+             pa.array(ok, pa.bool_())], names=["scan", "piece", "event_id", "recent", "before", "ok"])
 
 
 def rate_limited(calls: DataFrame, scan: str, ts: str, event_id: str = "event_id") -> DataFrame:
     """scan, event_id, in_minute, in_scan and allowed: a call is allowed while fewer than the limits are recorded, in the
     minute before it and in its scan; only allowed calls are recorded.
 
-    Whether a call is recorded depends on the ones before it, so a scan's calls pass through one task in order. It keeps
-    no more than a minute's allowed calls, whatever the number of calls, and only narrow rows are sorted.
+    Whether a call is recorded depends on the ones before it, so calls are cut where nothing is remembered: after a minute without
+    calls. Pieces run apart; a running sum over a scan's pieces says how many calls were recorded before each, and the bound of the
+    scan then is arithmetic. Two minutes that follow each other record at least as many calls as the second one has, up to its limit:
+    where that adds up to the bound of the scan, all later calls are refused, and don't pass through Python at all. So a scan
+    with a third of all calls costs Python its first minutes only; counts run in time buckets, one row each for a scan.
+    A minute without limits on its calls still is one piece, of which a task keeps the recorded calls only.
     """
     slim = calls.select(
         F.col(scan).cast("string").alias("scan"), F.col(event_id).cast("bigint").alias("event_id"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    return slim.repartition("scan").sortWithinPartitions("scan", "us", "event_id").mapInArrow(
-        _admit, "scan string, event_id bigint, in_minute int, in_scan int, allowed boolean")
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).withColumn("b", F.floor(F.col("us") / BUCKET))
+    later_minute = F.pmod("us", F.lit(BUCKET)) >= MEMORY
+    buckets = slim.groupBy("scan", "b").agg(F.least(F.count_if(later_minute), F.lit(CALLS_PER_MINUTE)).alias("least"))
+    over = Window.partitionBy("scan").orderBy("b")
+    # What the bucket before recorded may still be in memory, so it doesn't count yet.
+    sure = F.coalesce(F.sum("least").over(over.rangeBetween(Window.unboundedPreceding, -2)), F.lit(0))
+    buckets = buckets.select("scan", "b", (sure >= CALLS_PER_SCAN).alias("spent"))
+    timed = slim.join(buckets, same(slim, buckets, ["scan", "b"])).select(slim["*"], "spent")
+    refused = timed.filter("spent").select(
+        "scan", "event_id", F.lit(0).alias("in_minute"), F.lit(CALLS_PER_SCAN).alias("in_scan"), F.lit(False).alias("allowed"))
+    open_calls = timed.filter("NOT spent").select("scan", "event_id", "us")
+    pieces = cut_at_gaps(open_calls, ["scan"], MEMORY, BUCKET, ("us", "event_id")).select("scan", "piece", "event_id", "us")
+    local = stored(pieces.repartition("scan", "piece").sortWithinPartitions("scan", "piece", "us", "event_id").mapInArrow(
+        _admit, "scan string, piece bigint, event_id bigint, recent int, before bigint, ok boolean"), "calls")
+    sums = local.groupBy("scan", "piece").agg(F.count_if("ok").alias("n"))
+    order = Window.partitionBy("scan").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("scan", "piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+    known = local.join(sums, same(local, sums, ["scan", "piece"])).select(local["*"], "base")
+    # Of the piece's recorded calls only the first ``room`` were.
+    room = F.greatest(CALLS_PER_SCAN - F.col("base"), F.lit(0))
+    recorded = F.least("before", room)
+    return known.select(
+        "scan", "event_id", F.greatest(recorded - (F.col("before") - F.col("recent")), F.lit(0)).cast("int").alias("in_minute"),
+        F.least(F.col("base") + F.col("before"), F.lit(CALLS_PER_SCAN)).cast("int").alias("in_scan"),
+        (F.col("ok") & (F.col("before") < room)).alias("allowed")).unionByName(refused)
 
 
 def budget_cutoff(calls: DataFrame, scan: str, ts: str, budget_cents: float, bucket: str = "hour") -> DataFrame:

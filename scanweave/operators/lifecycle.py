@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from scanweave.functions.regex import glob_to_regex, star_to_regex, to_java
 from scanweave.functions.sql import js_trim, like, lit
 from scanweave.rules.model import CONFIDENCE_RANK
+from scanweave.sources.folders import bucketed, stored
 
 # Order in which a scan reports its findings; "first" below means first in this order.
 SEQ = ["rank", "pack_no", "file", "line", "rule_no"]
@@ -251,12 +252,32 @@ def normalize_model_findings(responses: DataFrame) -> DataFrame:
 
 
 def reuse_cached(corpus: DataFrame, rule_ids, cache: DataFrame, as_of, ttl_hours: int = 24):
-    """(pairs to run, cached results): results keyed by content hash and rule, younger than the limit."""
-    ids = F.array(*[F.lit(r) for r in rule_ids])
-    pairs = corpus.withColumns({"content_hash": F.sha2("content", 256), "rule_id": F.explode(ids)})
+    """(pairs to run, cached results): results keyed by content hash and rule, younger than the limit.
+
+    Pairs to run have the columns of ``corpus`` with the content, ``content_hash`` and ``rule_id``; cached results have those of
+    the corpus without the content and those of ``cache``, its latest fresh row of a hash and rule.
+
+    No text moves between tasks. Files are numbered and written where they are, in buckets of their number. What is shuffled
+    are hashes: one row for each file, with the number, meets one row for each cached hash, which holds its results by rule (as many
+    as there are rules). A file's list of rules to run then meets its text in the bucket of its number, which no two files share,
+    so copies of one text stay spread.
+    """
+    wanted = F.array(*[F.lit(r) for r in rule_ids])
+    numbered = corpus.withColumns({"content_hash": F.sha2("content", 256), "file_no": F.monotonically_increasing_id()})
+    files = bucketed(numbered, "files_by_number", "file_no")
     fresh = cache.filter(F.col("cached_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {ttl_hours} HOURS"))
-    keys = ["content_hash", "rule_id"]
-    return pairs.join(fresh.select(*keys), keys, "left_anti"), pairs.join(fresh, keys)
+    fresh = fresh.filter(F.col("rule_id").isin(list(rule_ids)))
+    other = [c for c in cache.columns if c not in ("content_hash", "rule_id")]
+    results = fresh.groupBy("content_hash", "rule_id").agg(F.max_by(F.struct(*other), "cached_at").alias("result"))
+    results = results.groupBy("content_hash").agg(F.collect_list(F.struct("rule_id", "result")).alias("results"))
+    own = [c for c in corpus.columns if c != "content"]
+    known = files.select("file_no", "content_hash").join(results, "content_hash", "left")
+    known = stored(known.select("file_no", "results", F.array_except(wanted, F.coalesce("results.rule_id", F.array().cast(
+        "array<string>"))).alias("to_run")), "known-results")
+    run = files.join(known.filter(F.size("to_run") > 0).select("file_no", "to_run"), "file_no").withColumn("rule_id", F.explode("to_run"))
+    hit = files.select("file_no", *own, "content_hash").join(known.filter("results IS NOT NULL").select("file_no", "results"), "file_no")
+    hit = hit.withColumn("x", F.explode("results")).select(*own, "content_hash", "x.rule_id", "x.result.*")
+    return run.drop("file_no", "to_run"), hit
 
 
 def visible_to(rows: DataFrame, projects: DataFrame, owner: str, key: str = "project") -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanweave.operators.aggregate import compliance_score, group_examples, group_findings, headline
+from scanweave.sources.folders import stored, work_folder
+
+__all__ = [
+    "HISTORY_SCHEMA", "append_history", "export_groups", "persist_scan", "project_state", "read_baseline", "read_history",
+    "report_documents", "stored", "work_folder", "write_baseline", "write_documents",
+]
 
 HISTORY_SCHEMA = (
     "project string, scan_id bigint, scan_ts timestamp, score bigint, critical bigint, high bigint, medium bigint, "
@@ -16,23 +19,6 @@ HISTORY_SCHEMA = (
 )
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared folder; a temporary one only in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.gettempdir() + "/scanweave"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a written table, for results that several later steps read."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_baseline(baseline: DataFrame, path: str) -> None:
     baseline.write.mode("overwrite").parquet(path)
 

@@ -8,13 +8,16 @@ stream's age. Folders before the latest but one compacted state are no longer re
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scanweave.operators.aggregate import active
 from scanweave.operators.detect import detect
+from scanweave.operators.gaps import cut_at_gaps
 from scanweave.operators.lifecycle import acknowledge, scope, suppress
 from scanweave.rules.model import SEVERITY_RANK
 
@@ -164,35 +167,65 @@ def current_results(log: DataFrame, key: str = "key", ts: str = "ts") -> DataFra
     return log.groupBy(key).agg(F.max_by(F.struct(*columns), tie).alias("r")).select(key, "r.*")
 
 
+def _starts(times: np.ndarray, last: int | None, gap: int) -> list[int]:
+    """Places of the sorted times that are kept: each the first that is ``gap`` or more after the one kept before."""
+    out, at = [], 0 if last is None else int(np.searchsorted(times, last + gap))
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + gap))
+    return out
+
+
+def _kept_rows(gap: int):
+    """Rows sorted by key, piece and time to those that are kept; a piece begins with one that is."""
+    def run(batches):
+        last_of, last = None, None
+        for batch in batches:
+            key, piece, times = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            begins = [i for i in range(len(piece)) if not i or piece[i] != piece[i - 1] or key[i] != key[i - 1]]
+            kept = []
+            for a, b in zip(begins, [*begins[1:], len(piece)], strict=True):
+                if (key[a], piece[a]) != last_of:
+                    last_of, last = (key[a], piece[a]), None
+                some = _starts(times[a:b], last, gap)
+                if some:
+                    last = int(times[a + some[-1]])
+                    kept += [a + i for i in some]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(times[kept])], names=["key", "us"])
+
+    return run
+
+
 def keep_after_gap(events: DataFrame, key: str, ts: str, seconds: int = REUSE_SECONDS, lateness: str = "10 seconds") -> DataFrame:
     """Events that start a new scan: the first of a key, then each one at least the gap after the last kept.
 
-    Whether an event is kept depends on the one kept before it, so state per key holds that time. Once the watermark is past
-    it by the gap, any event that may still come is kept without it, and the key's state goes. Events that come later than
-    ``lateness`` are left out of a stream.
+    Whether an event is kept depends on the one kept before it. An event that comes the gap or more after the event before it is
+    always kept, so a table is cut there and a key's pieces run apart, in time order and in as much memory as a batch takes. In
+    a stream, state per key holds the last time kept. Once the watermark is past it by the gap, any event that may still come is
+    kept without it, and the key's state goes. Events that come later than ``lateness`` are left out of a stream.
     """
-    gap, streams = seconds * 1_000_000, events.isStreaming
+    gap = seconds * 1_000_000
+    typ = events.schema[key].dataType.simpleString()
+    timed = events.select(key, F.col(ts).cast("timestamp").alias("at__"))
+    if not events.isStreaming:
+        rows = timed.select(F.col(key).alias("key"), F.unix_micros("at__").alias("us"))
+        cut = cut_at_gaps(rows, ["key"], gap, max(gap, 3_600_000_000)).select("key", "piece", "us")
+        return cut.repartition("key", "piece").sortWithinPartitions("key", "piece", "us").mapInArrow(
+            _kept_rows(gap), f"key {typ}, us bigint").select(F.col("key").alias(key), "us")
 
     def keep(group, chunks, state: GroupState):
         last = state.get[0] if state.exists else None
         if state.hasTimedOut:
             state.remove()
             return
-        times = sorted(t for chunk in chunks for t in chunk["us"].tolist())
-        out = []
-        for t in times:
-            if last is None or t - last >= gap:
-                out.append(t)
-                last = t
+        times = np.sort(np.concatenate([chunk["us"].to_numpy() for chunk in chunks] or [np.empty(0, np.int64)]))
+        out = times[_starts(times, last, gap)]
+        last = int(out[-1]) if len(out) else last
         if last is not None:
             state.update((last,))
-            if streams:
-                state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs()) + 1)
+            state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [group[0]] * len(out), "us": out})
 
-    typ = events.schema[key].dataType.simpleString()
-    timed = events.select(key, F.col(ts).cast("timestamp").alias("at__"))
-    timed = timed.withWatermark("at__", lateness) if streams else timed
+    timed = timed.withWatermark("at__", lateness)
     return timed.withColumn("us", F.unix_micros("at__")).groupBy(key).applyInPandasWithState(
-        keep, f"{key} {typ}, us bigint", "last bigint", "append",
-        GroupStateTimeout.EventTimeTimeout if streams else GroupStateTimeout.NoTimeout)
+        keep, f"{key} {typ}, us bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)

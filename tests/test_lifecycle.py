@@ -145,3 +145,101 @@ def test_registry_page(spark):
                                       "rating double, reviews bigint")
     got = st.search_registry(reg, "NAME", tags=["b"], page=2, page_size=3).collect()
     assert [(r.id, r.n, r.total) for r in got] == [("r1", 4, 4)]
+
+
+def _limited(rows):
+    """The limiter's rule in plain Python: (event, calls of the last minute, calls of the scan, allowed)."""
+    recorded, out = {}, []
+    for i, scan, us in sorted(rows, key=lambda r: (r[2], r[0])):
+        kept = recorded.setdefault(scan, [])
+        minute = sum(us - t < 60_000_000 for t in kept)
+        ok = minute < 20 and len(kept) < 50
+        out.append((i, minute, len(kept), ok))
+        if ok:
+            kept.append(us)
+    return sorted(out)
+
+
+def test_rate_limit_of_hot_and_sparse_scans(spark):
+    import random
+
+    draw, rows = random.Random(4), []
+    for scan, step, n in (("hot", 900_000, 900), ("bursts", 25_000_000, 250), ("sparse", 70_000_000, 90), (None, 2_900_000, 120)):
+        t = -3_000_000_000
+        for k in range(n):
+            t += draw.choice((0, step, draw.randrange(2 * step), 61_000_000 if scan == "bursts" and k % 30 == 0 else step))
+            rows.append((len(rows), scan, t))
+    df = spark.createDataFrame(rows, "event_id bigint, scan string, us bigint").selectExpr("event_id", "scan", "timestamp_micros(us) AS ts")
+    got = h.rate_limited(df.repartition(5), "scan", "ts").collect()
+    assert sorted((r.event_id, r.in_minute, r.in_scan, r.allowed) for r in got) == _limited(rows)
+
+
+def test_pieces_are_cut_at_gaps(spark):
+    from scanweave.operators.gaps import cut_at_gaps
+
+    rows = [("a", t) for t in (0, 5, 14, 24, 25, 90, 99, 200)] + [("b", 7), (None, 3), (None, 13)]
+    cut = cut_at_gaps(spark.createDataFrame(rows, "k string, us long").repartition(3), ["k"], 10, 30)
+    assert sorted((r.k or "", r.us, r.piece) for r in cut.collect()) == [
+        ("", 3, 1), ("", 13, 2), ("a", 0, 1), ("a", 5, 1), ("a", 14, 1), ("a", 24, 2), ("a", 25, 2), ("a", 90, 3), ("a", 99, 3),
+        ("a", 200, 4), ("b", 7, 1)]
+    assert cut_at_gaps(spark.createDataFrame([], "k string, us long"), ["k"], 10, 30).collect() == []
+
+
+def _moved_columns(df):
+    """Columns of the rows that a plan's exchanges hand on."""
+    import re
+
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    parts = re.split(r"\n\(\d+\) ", text)
+    return [re.search(r"Input \[\d+\]: \[(.*?)\]\n", p + "\n").group(1) for p in parts if re.match(r"(?:Broadcast)?Exchange", p)]
+
+
+def test_cached_results_move_no_text(spark):
+    import datetime as dt
+
+    from scanweave.operators import lifecycle as lc
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = dt.datetime(2024, 1, 10)
+        rows = [("p", f"f{i}", f"text {i % 7 if i % 3 else 0}") for i in range(90)] + [("q", None, None), ("q", "e", "")]
+        corpus = spark.createDataFrame(rows, "project string, file string, content string").repartition(5)
+        hashed = corpus.selectExpr("sha2(content, 256) AS content_hash", "content").distinct()
+        cache = hashed.selectExpr("content_hash", "explode(array('A', 'B', 'Z')) AS rule_id", "content AS verdict").filter(
+            "rule_id <> 'B' OR verdict <> 'text 0'").selectExpr("*", "timestamp '2024-01-09 20:00:00' AS cached_at")
+        old = cache.selectExpr("content_hash", "rule_id", "'old' AS verdict", "timestamp '2024-01-09 19:00:00' AS cached_at")
+        run, hit = lc.reuse_cached(corpus, ["A", "B", "C"], cache.unionByName(old), str(now))
+        for plan in (run, hit):
+            moved = _moved_columns(plan)
+            assert moved and not any("content#" in m for m in moved)
+        got = {(r.project, r.file, r.rule_id): r.content for r in run.collect()}
+        want = {(p, f, r): c for p, f, c in rows for r in "ABC" if r == "C" or c is None or (r == "B" and c == "text 0")}
+        assert got == want
+        hits = hit.collect()
+        assert {(r.project, r.file, r.rule_id) for r in hits} == {(p, f, r) for p, f, c in rows for r in "AB"} - got.keys()
+        assert all(r.verdict != "old" for r in hits) and len(hits) + len(want) == 3 * len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_short_reuse_of_hot_keys_in_a_table(spark):
+    import random
+
+    from scanweave.streaming import watch as w
+
+    draw, rows = random.Random(8), []
+    for key, step, n in (("hot", 7_000_000, 800), ("rare", 90_000_000, 60), (None, 20_000_000, 50)):
+        t = 1_700_000_000_000_000
+        for _ in range(n):
+            t += draw.choice((0, 1, step, 30_000_000, draw.randrange(2 * step)))
+            rows.append((key, t))
+    want = []
+    for key in ("hot", "rare", None):
+        last = None
+        for t in sorted(t for k, t in rows if k == key):
+            if last is None or t - last >= 30_000_000:
+                want.append((str(key), t))
+                last = t
+    df = spark.createDataFrame(rows, "k string, us long").selectExpr("k", "timestamp_micros(us) AS at").repartition(6)
+    got = w.keep_after_gap(df, "k", "at").collect()
+    assert sorted((str(r.k), r.us) for r in got) == sorted(want)
