@@ -159,7 +159,7 @@ def _route(router: Router, first: int):
 
 
 def _best(k: int):
-    """Top k ids of the block for each query, by exact cosine and then by id."""
+    """Top k different ids of the block for each query, by exact cosine and then by id."""
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"key": [], "vec_id": [], "score": []}).astype({"key": object, "vec_id": "int64", "score": "float64"})
         if not len(left) or not len(right):
@@ -169,13 +169,18 @@ def _best(k: int):
         low, ids, keys, out = np.array([x[0] for x in right["ids"]]), right["ids"].tolist(), left["key"].tolist(), []
         for a in range(0, len(q), 256):
             near = (q[a:a + 256] @ r.T) / r_size
-            take = min(k, len(r))
-            edge = np.partition(near, len(r) - take, axis=1)[:, len(r) - take]
             for i in range(len(near)):
-                some = np.flatnonzero(near[i] >= edge[i] - 1e-9 * q_size[a + i])
-                score = (r[some] * q[a + i]).sum(axis=1) / (r_size[some] * q_size[a + i])
-                best = np.lexsort((low[some], -score))[:k]
-                rows = sorted((-score[b], v) for b in best for v in ids[some[b]])[:k]
+                take, rows = 0, []
+                while take < len(r) and len(rows) < k:  # vectors that share an id are one result
+                    take = min(len(r), max(k, 4 * take))
+                    edge = np.partition(near[i], len(r) - take)[len(r) - take]
+                    some = np.flatnonzero(near[i] >= edge - 1e-9 * q_size[a + i])
+                    score = (r[some] * q[a + i]).sum(axis=1) / (r_size[some] * q_size[a + i])
+                    found: dict[int, float] = {}
+                    for b in np.lexsort((low[some], -score))[:take]:
+                        for v in ids[some[b]]:
+                            found.setdefault(v, score[b])
+                    rows = sorted((-s, v) for v, s in found.items())[:k]
                 out += [(keys[a + i], v, -s) for s, v in rows]
         return pd.DataFrame(out, columns=["key", "vec_id", "score"])
 
@@ -186,7 +191,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = PART
     """query_id, rank, vec_id and score (cosine in double precision) of the k nearest rows found for each row of
     ``queries``, a part of ``vectors``; a row with the query's own id is none of them.
 
-    Rows that ``usable`` leaves out take no part. A row that repeats counts once; ties go to the smaller vec_id. With fewer
+    Rows that ``usable`` leaves out take no part. A row that repeats counts once, and so do different vectors that share a vec_id, with
+    the best of their scores; ties go to the smaller vec_id. With fewer
     candidates than k all that the visited parts hold come. An empty table gives an empty one.
     """
     rows = usable(vectors)
@@ -223,7 +229,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = PART
     found = left.groupBy("part", "q", "r").cogroup(right.groupBy("part", "q", "r")).applyInPandas(
         _best(k + 1), "key string, vec_id long, score double")
     order = [F.desc("score"), F.col("vec_id")]
+    found = found.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
     top = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter(F.col("nth") <= k + 1)
-    pairs = asked.select("query_id", "key").join(top.drop("nth"), "key").filter("query_id != vec_id").dropDuplicates(["query_id", "vec_id"])
+    pairs = asked.select("query_id", "key").join(top.drop("nth"), "key").filter("query_id != vec_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ from scanweave.sources.tables import stored
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "ordered", "running", "stored", "hashed_sample", "sampled_texts", "arrow_function"]
+__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "one_of_each", "ordered", "running", "stored", "hashed_sample", "sampled_texts", "arrow_function"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -31,6 +31,12 @@ def row_key(*digests: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), *digests)
 
 
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``, without it: the smallest by all its columns, so the same one however the table is split."""
+    columns = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*columns)).alias("one__")).select("one__.*")
+
+
 def ordered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """The rows as a written table, split by ranges of (group, order), with the range's number in ``part_no``.
 

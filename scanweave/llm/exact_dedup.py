@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import lower_ascii, row_key, stored
+from scanweave.llm.common import lower_ascii, one_of_each, row_key, stored
 
 SLOTS, MAX_KICKS = 4, 200
 
@@ -167,11 +167,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns. Of rows that share doc_id and normalised text the
+    smallest by all columns stays, so reruns over other partitions agree."""
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
     kept = exact_dedup(docs.select("doc_id", "text")).filter("kept").select(row_key("text_sha256").alias("key__"))
     keyed = docs.withColumn("key__", row_key(F.sha2(text, 256)))
-    return keyed.join(kept, "key__", "left_semi").dropDuplicates(["key__"]).select(docs.columns)
+    return one_of_each(keyed.join(kept, "key__", "left_semi"), "key__").select(docs.columns)
 
 
 SQL = """

@@ -46,8 +46,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
     return water_fill(ranked, share * total, max_epochs)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, digest of the text, size, source_size, target, whole (full repetitions), taken (words, the last repetition
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED,
+        keep=()) -> DataFrame:
+    """doc_id, the columns ``keep``, source, digest of the text, size, source_size, target, whole (full repetitions), taken (words, the last repetition
     possibly in part) and copies (repetitions, the last one rounded), one row per row of ``docs``.
 
     Size is the number of words; null has none. The order within a source hangs on seed, doc_id and text alone, so reruns
@@ -55,7 +56,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(
-        "doc_id", "source", digest.alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+        "doc_id", *keep, "source", digest.alias("digest"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     drawn = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("digest")))
     table = ordered(rows.withColumn("draw", drawn), ["source"], ["draw"], "sizes")
     targets = source_targets(table.select("source", "size"), weights, share, max_epochs).withColumnRenamed("source", "s__")
@@ -65,22 +66,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     rest = F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5) - F.col("before")
     part = F.least(F.greatest(rest, F.lit(0)), F.col("size"))
     return placed.withColumn("whole", whole).select(
-        "doc_id", "source", "digest", "size", "source_size", "target", "whole",
+        "doc_id", *keep, "source", "digest", "size", "source_size", "target", "whole",
         (F.col("whole") * F.col("size") + part).cast("long").alias("taken"),
         (F.col("whole") + ((rest > 0) & (part * 2 >= F.col("size"))).cast("long")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **given) -> DataFrame:
-    """The documents of the mix, whole, each as often as it is repeated."""
-    digest, alike = F.md5(F.coalesce(F.col("text"), F.lit(""))), ["id__", "source__", "digest__"]
-    name = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id__"),
-            F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("source__")]
-    times = mix(docs.select("doc_id", "text", "source"), **given).select(*name, F.col("digest").alias("digest__"), "copies")
-    times = times.groupBy(*alike).agg(F.sum("copies").alias("copies__"), F.count("*").alias("rows__"))
-    both = docs.select("*", *name, digest.alias("digest__")).join(times, alike)
-    # rows alike in all three share their repetitions evenly, rounded up
-    each = F.ceil(F.col("copies__") / F.col("rows__")).cast("int")
-    return both.withColumn("again__", F.explode(F.array_repeat(F.lit(1), each))).select(docs.columns)
+    """The documents of the mix, whole, each as often as it is repeated.
+
+    Rows are written with a number first, so each of several rows alike has repetitions of its own and their sum is the mix's.
+    """
+    numbered = stored(docs.withColumn("row__", F.monotonically_increasing_id()), "numbered")
+    times = mix(numbered.select("doc_id", "text", "source", "row__"), keep=("row__",), **given)
+    times = times.filter("copies > 0").select("row__", F.col("copies").cast("int").alias("copies__"))
+    both = numbered.join(times, "row__")
+    return both.withColumn("again__", F.explode(F.array_repeat(F.lit(1), F.col("copies__")))).select(docs.columns)
 
 
 SQL = """

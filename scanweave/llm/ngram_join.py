@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import arrow_function, row_key, stored
+from scanweave.llm.common import arrow_function, one_of_each, row_key, stored
 from scanweave.llm.components import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all columns of ``docs``."""
+    """One row of each class, with all columns of ``docs``; of rows that share doc_id and text the smallest by all columns."""
     kept = join(docs.select("doc_id", "text")).filter("kept").select(row_key("digest").alias("key__"))
     keyed = docs.withColumn("key__", row_key(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    return keyed.join(kept, "key__", "left_semi").dropDuplicates(["key__"]).select(docs.columns)
+    return one_of_each(keyed.join(kept, "key__", "left_semi"), "key__").select(docs.columns)

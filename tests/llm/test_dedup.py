@@ -44,6 +44,16 @@ def test_exact_dedup_same_as_sql(docs_of):
     assert sorted(r["doc_id"] for r in E.keep_one(docs).collect()) == sorted(r[0] for r in got if r[3])
 
 
+def test_the_same_row_stays_over_any_partitions(docs_of):
+    from scanweave.llm import ngram_join as J
+
+    body = " " + prose(5, 40)
+    rows = [(1, "ABC d" + body), (1, "abc D" + body), (1, "Abc d" + body), (2, "other")]
+    for keep in (E.keep_one, J.keep_one):
+        kept = [sorted(map(tuple, keep(docs_of(rows, n)).collect())) for n in (1, 2, 5)]
+        assert kept[0] == kept[1] == kept[2]
+
+
 def test_exact_dedup_odd_rows(odd_docs):
     rows = E.exact_dedup(odd_docs).collect()
     assert len(rows) == 13 and len({r["text_sha256"] for r in rows}) == sum(r["kept"] for r in rows) == E.keep_one(odd_docs).count()

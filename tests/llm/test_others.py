@@ -63,6 +63,13 @@ def test_mix_odd_rows(odd_docs):
     assert mixed.columns == odd_docs.columns and mixed.count() > 0
 
 
+def test_rows_alike_share_the_repetitions_of_the_mix(docs_of):
+    docs = docs_of([(1, "ten words are in this text and they are alike", "a")] * 50 + [(2, prose(1, 400), "b")])
+    drawn = mixing.mix(docs, share=0.4).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()
+    got = Counter(r["doc_id"] for r in mixing.mixed_documents(docs, share=0.4).collect())
+    assert {r["doc_id"]: r["n"] for r in drawn if r["n"]} == got and 0 < got[1] < 50
+
+
 def test_shards_are_even_and_gapless(docs_of):
     docs = docs_of([(i, prose(i % 700, 20 + i % 50)) for i in range(1500)] + [(i, "the same text") for i in range(2000, 2800)])
     rows = sharding.shard(docs).collect()
@@ -178,6 +185,19 @@ def test_search_recall_and_exact_scores(spark):
     assert [i for i, _ in got[50]] == [5000, 5001, 5002, 5003, 5004]
 
 
+def test_vectors_that_share_an_id_are_one_result(spark):
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in draw.normal(size=8)]) for i in range(200)]
+    near = np.array(rows[0][1])
+    rows += [(500, [float(x) for x in near + draw.normal(size=8) * 1e-3]) for _ in range(8)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = ann.search(table, table.filter("vec_id = 0")).orderBy("rank").collect()
+    assert len(found) == 5 and len({r["vec_id"] for r in found}) == 5 and found[0]["vec_id"] == 500
+    assert math.isclose(found[0]["score"], max(float(near @ v / np.linalg.norm(near) / np.linalg.norm(v)) for i, v in rows if i == 500))
+    again = ann.search(table.repartition(1), table.filter("vec_id = 500").repartition(2)).collect()
+    assert len(again) == 5 and 500 not in {r["vec_id"] for r in again}
+
+
 def test_search_small_and_empty(spark):
     table, _ = vectors(spark, 60)
     few = table.filter("vec_id < 3").withColumn("score", F.lit("x"))
