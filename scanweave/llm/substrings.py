@@ -1,9 +1,11 @@
 """Substring dedup: removes every passage of 35 words or more that occurs more than once, by suffix automata.
 
-1. *Seeds.* In every window of 35 words the 16-word sequence of smallest hash is a seed; windows that are alike have the same
-   one, so only windows whose seed occurs twice can repeat. They make up regions, which are cut into pieces of bounded length.
-2. *Reference.* Of every window in the regions that occurs twice the first occurrence is kept; runs of such windows are the
-   reference passages: each repeated passage once, however many copies there are. They are dealt to shards of bounded size.
+1. *Seeds.* In every window of 35 words the 8-word sequence of smallest hash is a seed; windows that are alike have the same
+   one, so only windows whose seed occurs twice can repeat. They are cut into pieces of bounded length, and within a piece the
+   neighbouring windows of one seed are a group.
+2. *Reference.* Groups that occur twice repeat as a whole. Where a seed has several different groups, windows are told apart: of each
+   that occurs twice the first occurrence is kept. Runs of such windows are the reference passages: each repeated passage about once,
+   however many copies there are. They are dealt to shards of bounded size.
 3. *Automata.* Each shard's passages become a suffix automaton over whole words, written once as a row.
 4. *Statistics.* Each piece is streamed through the automata of the shards that hold its windows. The length of the longest match
    that ends at a word is its matching statistic; where it reaches the threshold, the whole match is covered. A shard with many pieces
@@ -28,7 +30,7 @@ from scanweave.llm.common import arrow_function, ordered, running, stored
 
 #: Words in a window and in a seed; windows in a piece, words in a shard and in the pieces that one task streams through it,
 #: words that a task remembers.
-WINDOW, SEED, PIECE_WINDOWS, SHARD_WORDS, STREAM_WORDS, KEPT_WORDS = 35, 16, 2048, 32_768, 1_000_000, 300_000
+WINDOW, SEED, PIECE_WINDOWS, SHARD_WORDS, STREAM_WORDS, KEPT_WORDS = 35, 8, 2048, 32_768, 1_000_000, 300_000
 #: Odd multipliers of the rolling hashes of seeds and of the two of windows.
 _SEED_BY, _FIRST_BY, _SECOND_BY = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -84,7 +86,11 @@ def _split(text) -> list[bytes]:
     return (text.as_py() or b"").split()
 
 
-_SEEDS = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("seeds", pa.list_(pa.int64()))])
+_SEEDS = pa.schema([("digest", pa.binary()), ("seeds", pa.list_(pa.int64()))])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
 def _find_seeds():
@@ -92,55 +98,97 @@ def _find_seeds():
 
     def step(batch):
         seeds = []
-        for text in batch.column(2).cast(pa.binary()):
+        for text in batch.column(1).cast(pa.binary()):
             words = _split(text)
             if len(words) < WINDOW:
                 seeds.append([])
                 continue
             grams, at = hashes.seeds(hashes.words(words))
-            chosen = at[np.concatenate([[True], np.diff(at) > 0])]
-            seeds.append(grams[chosen].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.binary()), batch.column(1), pa.array(seeds, _SEEDS.field(2).type)], schema=_SEEDS)
+            seeds.append(grams[at[_starts(at)]].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(seeds, _SEEDS.field(1).type)], schema=_SEEDS)
 
     return step
 
 
-_PIECES = pa.schema([
-    ("digest", pa.binary()), ("copies", pa.int64()), ("start", pa.int64()), ("words", pa.string()),
-    ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.int64()))])
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+_GROUP = "seed: long, head: long, tail: long, at: int, size: int"
+_GROUPS = pa.list_(pa.struct([("seed", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()), ("at", pa.int32()), ("size", pa.int32())]))
+_PIECES = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("start", pa.int64()), ("words", pa.string()), ("groups", _GROUPS)])
 
 
 def _cut_pieces():
-    """Pieces of the texts: neighbouring windows whose seeds are among the row's repeated ones."""
+    """Pieces of the texts: neighbouring windows whose seeds are among the row's repeated ones, in whole groups. A group is known
+    by its seed, the hashes of its first and last window, which overlap, and the number of its windows."""
     hashes = Hashes()
 
     def pieces(words, repeated):
         hashed = hashes.words(words)
         grams, at = hashes.seeds(hashed)
-        hit = np.isin(grams[at].view(np.int64), repeated)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-        if not len(edges):
+        begins = _starts(at)
+        ends = np.append(begins[1:], len(at))
+        seeds = grams[at[begins]].view(np.int64)
+        hit = np.isin(seeds, repeated)
+        if not hit.any():
             return
-        first, second = hashes.first.rolling(hashed, WINDOW), hashes.second.rolling(hashed, WINDOW)
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            for start in range(a, b, PIECE_WINDOWS):
-                end = min(b, start + PIECE_WINDOWS)
-                yield int(start), b" ".join(words[start:end + WINDOW - 1]).decode(), first[start:end].view(np.int64), second[start:end].view(np.int64)
+        windows = hashes.first.rolling(hashed, WINDOW).view(np.int64)
+        held: list[tuple] = []
+        for k in np.flatnonzero(hit):
+            a, b = int(begins[k]), int(ends[k])
+            if held and (a != held[-1][1] or b - held[0][0] > PIECE_WINDOWS):
+                yield held
+                held = []
+            held.append((a, b, int(seeds[k]), int(windows[a]), int(windows[b - 1])))
+        yield held
 
     def step(batch):
         rows, size = [], 0
         texts, repeated = batch.column(2).cast(pa.binary()), batch.column(3)
         for i, text in enumerate(texts):
-            digest, copies = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            for piece in pieces(_split(text), repeated[i].values.to_numpy()):
-                rows.append((digest, copies, *piece))
-                size += len(piece[2])
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PIECES, strict=True)], schema=_PIECES)
+            digest, copies, words = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), _split(text)
+            for held in pieces(words, repeated[i].values.to_numpy()):
+                start, end = held[0][0], held[-1][1]
+                groups = [(seed, head, tail, a - start, b - a) for a, b, seed, head, tail in held]
+                rows.append((digest, copies, start, b" ".join(words[start:end + WINDOW - 1]).decode(), groups))
+                size += end - start
+                if size > 500_000:
+                    yield _rows(rows, _PIECES)
                     rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PIECES, strict=True)], schema=_PIECES)
+            yield _rows(rows, _PIECES)
+
+    return step
+
+
+_WINDOWS = "first long, second long, piece long, pos int, at int, weight int"
+
+
+def _window_rows():
+    """The windows of some groups of a piece: rows (piece, words, groups as at, size, weight)."""
+    hashes = Hashes()
+
+    def step(batch):
+        out, size = [], 0
+        for piece, text, groups in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            hashed = hashes.words(_split(text))
+            first, second = hashes.first.rolling(hashed, WINDOW), hashes.second.rolling(hashed, WINDOW)
+            at, n, weight = (np.array([g[c] for g in groups]) for c in ("at", "size", "weight"))
+            pos = np.concatenate([np.arange(a, a + b) for a, b in zip(at, n, strict=True)])
+            out.append((first[pos].view(np.int64), second[pos].view(np.int64), np.full(len(pos), piece), pos, np.repeat(at, n), np.repeat(weight, n)))
+            size += len(pos)
+            if size > 500_000:
+                yield joined(out)
+                out, size = [], 0
+        if out:
+            yield joined(out)
+
+    def joined(out):
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types, strict=True)],
+                                          names=["first", "second", "piece", "pos", "at", "weight"])
 
     return step
 
@@ -253,7 +301,7 @@ class SuffixAutomaton:
 
 
 def _build(batches):
-    """One automaton for each run of neighbouring rows of a shard: rows (shard, words, places of reference windows)."""
+    """One automaton for each run of neighbouring rows of a shard: rows (shard, words, places of reference windows as pos, size)."""
     shard, passages = None, []
 
     def close():
@@ -266,10 +314,13 @@ def _build(batches):
                 yield close()
                 passages = []
             shard, words = no, _split(text)
-            at = np.sort(places.values.to_numpy())
-            cuts = np.flatnonzero(np.diff(at) > 1) + 1
-            for run in np.split(at, cuts):
-                passages.append(words[run[0]:run[-1] + WINDOW])
+            end = start = 0
+            for place in places.as_py():  # sorted
+                if place["pos"] > end and end:
+                    passages.append(words[start:end + WINDOW - 1])
+                start = place["pos"] if place["pos"] > end or not end else start
+                end = max(end, place["pos"] + place["size"])
+            passages.append(words[start:end + WINDOW - 1])
     if shard is not None:
         yield close()
 
@@ -291,7 +342,7 @@ def _stream(batches):
             digest = digests[i].as_py()
             rows += [(digest, start + a, start + b) for a, b in automaton.spans(texts[i].as_py().encode().split(b" "), WINDOW)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _COVERED, strict=True)], schema=_COVERED)
+            yield _rows(rows, _COVERED)
 
 
 def _remove():
@@ -306,45 +357,72 @@ def _remove():
                 at = max(at, s["b"])
             kept += words[at:]
             out.append((digest, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema, strict=True)], schema=schema)
+        yield _rows(out, schema)
 
     return step
 
 
-def _reference(pieces: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reference passages (shard, piece, words, places) and where each repeated window is: (first, second, shard)."""
-    place = F.struct("piece", "pos")
-    seen = windows.groupBy("first", "second").agg(F.min(place).alias("at"), F.sum("copies").alias("n")).filter("n > 1")
-    seen = stored(seen.select("first", "second", "at.piece", "at.pos"), "repeated-windows")
-    held = seen.groupBy("piece").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    # A run of n windows has n + 34 words.
-    runs = F.aggregate(
-        F.sequence(F.lit(1), F.size("places") - 1), F.lit(1),
-        lambda n, i: n + F.when(F.col("places")[i] - F.col("places")[i - 1] > 1, 1).otherwise(0))
-    size = F.size("places") + F.when(F.size("places") > 1, runs).otherwise(1) * (WINDOW - 1)
-    held = held.withColumn("size", size.cast("long")).withColumn("all", F.lit(0))
-    placed = running(ordered(held, ["all"], ["piece"], "reference"), ["all"], ["piece"], F.col("size"), "before")
-    shards = stored(placed.select("piece", "places", F.floor(F.col("before") / SHARD_WORDS).cast("long").alias("shard")), "shards")
-    passages = shards.join(pieces.select("piece", "words"), "piece").select("shard", "words", "places")
-    return passages, seen.join(shards.select("piece", "shard"), "piece").select("first", "second", "shard")
+def _texts(docs: DataFrame) -> DataFrame:
+    """Every row's digest and whole text."""
+    whole = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return whole.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
 
 
-def covered_spans(texts: DataFrame) -> DataFrame | None:
-    """digest and its covered spans (a, b) in words, sorted, of texts (digest, copies, text) that have any; None without windows."""
-    seeds = stored(texts.mapInArrow(arrow_function(_find_seeds), "digest binary, copies long, seeds array<long>"), "seeds")
-    each = seeds.select("digest", "copies", F.explode("seeds").alias("seed"))
+def _pieces(rows: DataFrame) -> DataFrame:
+    """digest, copies, start, words and groups of all windows whose seed occurs twice, as a written table with a number a row."""
+    seeds = rows.select("digest", "text").mapInArrow(arrow_function(_find_seeds), "digest binary, seeds array<long>")
+    seeds = seeds.groupBy("digest").agg(F.count("*").alias("copies"), F.first("seeds").alias("seeds"))
+    seeds = stored(seeds.filter(F.size("seeds") > 0).withColumn("text_no", F.monotonically_increasing_id()), "seeds")
+    each = seeds.select("text_no", "copies", F.explode("seeds").alias("seed"))
     repeated = each.groupBy("seed").agg(F.sum("copies").alias("n")).filter("n > 1").select("seed")
-    hits = each.select("digest", "seed").join(repeated, "seed").groupBy("digest").agg(F.collect_set("seed").alias("seeds"))
-    cut = texts.join(hits, "digest").select("digest", "copies", "text", "seeds").mapInArrow(
-        arrow_function(_cut_pieces), "digest binary, copies long, start long, words string, first array<long>, second array<long>")
-    pieces = stored(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    windows = pieces.select("piece", "copies", F.posexplode(F.arrays_zip("first", "second")).alias("pos", "w")).select(
-        "piece", "copies", "pos", "w.first", "w.second")
-    passages, where = _reference(pieces, windows)
+    hits = each.select("text_no", "seed").join(repeated, "seed").groupBy("text_no").agg(F.collect_set("seed").alias("hits"))
+    hits = seeds.select("text_no", "digest", "copies").join(hits, "text_no").select("digest", "copies", "hits")
+    texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    cut = texts.join(hits, "digest").select("digest", "copies", "text", "hits").mapInArrow(
+        arrow_function(_cut_pieces), f"digest binary, copies long, start long, words string, groups array<struct<{_GROUP}>>")
+    return stored(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+
+
+def _routes(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reference passages (shard, words, places) and which pieces have windows in which shards (shard, piece)."""
+    key = ["seed", "head", "tail", "size"]
+    groups = pieces.select("piece", "copies", F.explode("groups").alias("g")).select("piece", "copies", "g.*")
+    place = F.min(F.struct("piece", "at")).alias("place")
+    different = groups.groupBy(*key).agg(F.sum("copies").alias("n"), place)
+    different = stored(different.select(*key, F.least("n", F.lit(2)).cast("int").alias("weight"), "place.*"), "groups")
+    several = different.groupBy("seed").agg(F.count("*").alias("d")).filter("d > 1").select("seed", F.lit(True).alias("several"))
+    marked = stored(different.join(several, "seed", "left"), "marked-groups")
+    apart = marked.filter("several").groupBy("piece").agg(F.collect_list(F.struct("at", "size", "weight")).alias("some"))
+    windows = stored(pieces.select("piece", "words").join(apart, "piece").select("piece", "words", "some").mapInArrow(
+        arrow_function(_window_rows), _WINDOWS), "windows")
+    seen = windows.groupBy("first", "second").agg(F.min(F.struct("piece", "pos")).alias("place"), F.sum("weight").alias("n"))
+    seen = stored(seen.filter("n > 1").select("first", "second", "place.*"), "repeated-windows")
+    alike = marked.filter("several IS NULL AND weight = 2").select("piece", "at", F.col("at").alias("pos"), "size")
+    ranges = alike.select("piece", "pos", "size").unionByName(seen.select("piece", "pos", F.lit(1).alias("size")))
+    # No more words than the ranges have one by one, nor than lie between the first and the last.
+    words = F.least(F.sum(F.col("size") + (WINDOW - 1)), F.max(F.col("pos") + F.col("size")) - F.min("pos") + (WINDOW - 1))
+    held = ranges.groupBy("piece").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("places"), words.cast("long").alias("n"), F.lit(0).alias("all"))
+    placed = running(ordered(held, ["all"], ["piece"], "reference"), ["all"], ["piece"], F.col("n"), "before")
+    shards = stored(placed.select("piece", "places", F.floor(F.col("before") / SHARD_WORDS).cast("long").alias("shard")), "shards")
+    passages = shards.join(pieces.select("piece", "words"), "piece").select("shard", "words", "places")
+    home = shards.select("piece", "shard")
+    where = seen.join(home, "piece").select("first", "second", "shard")
+    found = windows.select("first", "second", "piece", "at").join(where, ["first", "second"]).select("piece", "at", "shard").distinct()
+    found = found.unionByName(alike.join(home, "piece").select("piece", "at", "shard"))
+    # Every occurrence of a group goes where its first one does.
+    targets = marked.select(*key, "piece", "at").join(found, ["piece", "at"]).select(*key, "shard")
+    return passages, groups.select(*key, "piece").join(targets, key).select("shard", "piece").distinct()
+
+
+def covered_spans(rows: DataFrame) -> DataFrame:
+    """digest and covered spans (a, b) in words, sorted, of the texts among rows (digest, text) that have any."""
+    pieces = _pieces(rows)
+    passages, routes = _routes(pieces)
     dealt = passages.repartition("shard").sortWithinPartitions("shard")
     automata = stored(dealt.mapInArrow(_build, "shard long, automaton binary"), "automata")
-    routes = windows.select("first", "second", "piece").join(where, ["first", "second"]).select("shard", "piece").distinct()
-    routed = stored(routes.join(pieces.select("piece", "digest", "start", "words", F.size("first").alias("size")), "piece"), "routed")
+    size = F.aggregate("groups", F.lit(0), lambda n, g: n + g["size"]).alias("size")
+    routed = stored(routes.join(pieces.select("piece", "digest", "start", "words", size), "piece"), "routed")
     load = routed.groupBy("shard").agg(F.greatest(F.ceil(F.sum("size") / STREAM_WORDS), F.lit(1)).cast("long").alias("tasks"))
     load = stored(load, "load")
     automata = automata.join(load, "shard").select(
@@ -360,13 +438,12 @@ def covered_spans(texts: DataFrame) -> DataFrame | None:
 
 def _deduplicated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, digest), and each different text (digest, n_words, n_removed, text that is left)."""
-    whole = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    whole = whole.withColumn("digest", F.unhex(F.md5("text")))
-    texts = stored(whole.groupBy("digest").agg(F.count("*").alias("copies"), F.first("text").alias("text")), "texts")
-    spans = stored(covered_spans(texts.select("digest", "copies", "text")), "spans")
+    rows = _texts(docs)
+    spans = stored(covered_spans(rows), "spans")
+    texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
     left = texts.join(spans, "digest", "left").select("digest", "text", "spans").mapInArrow(
         arrow_function(_remove), "digest binary, n_words long, n_removed long, text string")
-    return whole.select("doc_id", "digest"), left
+    return rows.select("doc_id", "digest"), left
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
