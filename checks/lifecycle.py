@@ -41,6 +41,13 @@ def found(spark, sf):
     return d.detect(code_corpus(spark, sf), LINE_PACKS, keep=("scan_id", "scan_ts"))
 
 
+def units(spark, sf, *by):
+    """All projects or scans of the code corpus, clean ones too."""
+    scans = read(spark, sf, "orders").selectExpr(
+        "concat('cust-', o_custkey) AS project", "o_orderkey AS scan_id", "o_orderdate AS scan_ts", "1L AS files")
+    return scans.select(*by).distinct()
+
+
 def processed(spark, sf):
     """Findings after every lifecycle step; the baseline holds findings of scans before a date."""
     f = stored(lc.classify_confidence(lc.suppress(lc.acknowledge(found(spark, sf), ACKS, AS_OF))), "findings")
@@ -160,9 +167,7 @@ def new_only(spark, sf):
 @query("l09_baseline_stats", f"{LIFE} SELECT count(*) AS total, count(*) FILTER (WHERE is_baseline) AS baseline, "
        "count(*) FILTER (WHERE NOT is_baseline) AS new FROM p")
 def baseline_stats(spark, sf):
-    f = lc.apply_baseline(*_old(spark, sf))
-    return f.agg(F.count("*").alias("total"), a.count_where(F.col("is_baseline")).alias("baseline"),
-                 a.count_where(~F.col("is_baseline")).alias("new"))
+    return lc.baseline_stats(lc.apply_baseline(*_old(spark, sf)))
 
 
 _TWICE = o.pack_findings(["phi", "errors", "configuration"])
@@ -332,12 +337,12 @@ def score_sql(by: str) -> str:
     on = "NOT is_baseline AND NOT suppressed"
     counts = ", ".join(f"count(*) FILTER (WHERE {on} AND severity = '{s}') AS {s}" for s in a.PENALTY)
     return (
-        f"SELECT {by}, count(*) FILTER (WHERE {on}) AS total, {counts}, "
+        f"SELECT unit AS {by}, count(*) FILTER (WHERE {on}) AS total, {counts}, "
         f"count(*) FILTER (WHERE {on} AND p.acknowledged) AS acknowledged, "
         f"coalesce(sum(({_PEN}) * CASE WHEN p.acknowledged THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END) FILTER (WHERE {on}), 0) "
         f"AS penalty_total, "
         f"CAST(floor(greatest(0, 100 - penalty_total) + 0.5) AS BIGINT) AS score "
-        f"FROM p GROUP BY {by}"
+        f"FROM (SELECT DISTINCT {by} AS unit FROM corpus) LEFT JOIN p ON p.{by} = unit GROUP BY unit"
     )
 
 
@@ -350,13 +355,14 @@ _STATUS = ("CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 80 THEN 'good'
 @query("a07_compliance_score", f"{LIFE}, s AS ({score_sql('project')}) SELECT project, total, critical, high, medium, "
        f"low, acknowledged, penalty_total, score, {_GRADE} AS grade, {_STATUS} AS status FROM s")
 def scores(spark, sf):
-    return a.compliance_score(processed(spark, sf)).select(
+    return a.compliance_score(processed(spark, sf), units=units(spark, sf, "project")).select(
         "project", "total", "critical", "high", "medium", "low", "acknowledged", "penalty_total", "score", "grade", "status")
 
 
 @query("a07_scan_score", f"{LIFE}, s AS ({score_sql('scan_id')}) SELECT scan_id, total, score, {_GRADE} AS grade FROM s")
 def scan_scores(spark, sf):
-    return a.compliance_score(processed(spark, sf), ("scan_id",)).select("scan_id", "total", "score", "grade")
+    return a.compliance_score(processed(spark, sf), ("scan_id",), units=units(spark, sf, "scan_id")).select(
+        "scan_id", "total", "score", "grade")
 
 
 @query("a08_recommendations", f"{LIFE}, s AS ({score_sql('scan_id')}) SELECT scan_id, concat_ws(' | ', "
@@ -371,7 +377,7 @@ def scan_scores(spark, sf):
        "acknowledged = 0 AND score >= 70 AND score < 90 THEN 'Continue regular scanning to maintain HIPAA compliance' END) "
        "AS advice FROM s")
 def advice(spark, sf):
-    s = a.recommendations(a.compliance_score(processed(spark, sf), ("scan_id",)))
+    s = a.recommendations(a.compliance_score(processed(spark, sf), ("scan_id",), units=units(spark, sf, "scan_id")))
     return s.select("scan_id", F.array_join("recommendations", " | ").alias("advice"))
 
 
@@ -379,22 +385,26 @@ _DEDUCT = " + ".join(f"{p} * count(*) FILTER (WHERE severity = '{s}')" for s, p
 _LABEL = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in a.CATEGORY_LABELS.items()) + " END"
 
 
-@query("a09_category_score", f"{FOUND}, s AS (SELECT project, {_LABEL} AS category, count(*) AS findings, greatest(0, "
-       f"100 - ({_DEDUCT})) AS score FROM findings GROUP BY project, category UNION ALL SELECT project, 'overall', count(*), "
-       f"greatest(0, 100 - ({_DEDUCT})) FROM findings GROUP BY project) SELECT *, CASE WHEN category = 'overall' THEN "
-       "CASE WHEN score >= 95 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' "
-       "WHEN score >= 20 THEN 'D' ELSE 'F' END END AS grade FROM s")
+_ALL_KINDS = ", ".join([f"({_q(k)}, {_q(v)})" for k, v in a.CATEGORY_LABELS.items()] + ["(NULL, 'overall')"])
+
+
+@query("a09_category_score", f"{FOUND}, u AS (SELECT DISTINCT project FROM corpus), s AS (SELECT u.project, k.label AS category, "
+       f"count(f.severity) AS findings, greatest(0, 100 - ({_DEDUCT})) AS score FROM u CROSS JOIN (VALUES {_ALL_KINDS}) AS k(name, "
+       "label) LEFT JOIN findings f ON f.project = u.project AND (k.name IS NULL OR f.category = k.name) GROUP BY ALL) SELECT *, "
+       "CASE WHEN category = 'overall' THEN CASE WHEN score >= 95 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN "
+       "score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END END AS grade FROM s")
 def category_score(spark, sf):
-    return a.category_scores(found(spark, sf))
+    return a.category_scores(found(spark, sf), units=units(spark, sf, "project"))
 
 
-@query("a10_executive_status", f"{LIFE}, s AS (SELECT project, count(*) FILTER (WHERE {ACTIVE} AND severity = 'critical') "
-       f"AS critical, count(*) FILTER (WHERE {ACTIVE} AND severity = 'high') AS high FROM p GROUP BY project) SELECT *, "
+@query("a10_executive_status", f"{LIFE}, s AS (SELECT unit AS project, count(*) FILTER (WHERE {ACTIVE} AND severity = 'critical') "
+       f"AS critical, count(*) FILTER (WHERE {ACTIVE} AND severity = 'high') AS high FROM (SELECT DISTINCT project AS unit FROM corpus) "
+       "LEFT JOIN p ON p.project = unit GROUP BY unit) SELECT *, "
        "CASE WHEN critical = 0 AND high = 0 THEN 'compliant' WHEN critical = 0 AND high <= 3 THEN 'needs-attention' ELSE "
        "'non-compliant' END AS status, CASE WHEN critical > 5 THEN 'Critical' WHEN critical > 0 OR high > 10 THEN 'High' "
        "WHEN high > 0 THEN 'Medium' ELSE 'Low' END AS risk FROM s")
 def executive(spark, sf):
-    return a.executive_status(processed(spark, sf))
+    return a.executive_status(processed(spark, sf), units=units(spark, sf, "project"))
 
 
 @query("a10_top_findings", f"{FOUND}, s AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {SEQ}) AS n FROM "
@@ -413,16 +423,16 @@ def top_categories(spark, sf):
 @query("a11_project_status", f"{LIFE}, s AS ({score_sql('project')}) SELECT project, score, CASE WHEN score >= 90 THEN "
        "'compliant' WHEN score >= 70 THEN 'at_risk' ELSE 'critical' END AS status FROM s")
 def project_status(spark, sf):
-    s = a.compliance_score(processed(spark, sf))
+    s = a.compliance_score(processed(spark, sf), units=units(spark, sf, "project"))
     return s.select("project", "score", a.project_status(F.col("score")).alias("status"))
 
 
-@query("a12_gates", f"{LIFE}, s AS (SELECT scan_id, score FROM ({score_sql('scan_id')})) SELECT p.scan_id, bool_or(severity = 'critical') AS scan_fails, "
-       f"min(s.score) < 60 AS score_fails, bool_or(severity = 'critical' AND {ACTIVE}) AS review_fails, CASE min(rank) "
-       "WHEN 0 THEN 'reject' WHEN 1 THEN 'reject' WHEN 2 THEN 'review' ELSE 'safe' END AS skill_verdict FROM p LEFT JOIN s "
-       "ON s.scan_id = p.scan_id GROUP BY p.scan_id")
+@query("a12_gates", f"{LIFE}, s AS (SELECT scan_id, score FROM ({score_sql('scan_id')})) SELECT s.scan_id, coalesce(bool_or(severity = 'critical'), "
+       f"false) AS scan_fails, min(s.score) < 60 AS score_fails, coalesce(bool_or(severity = 'critical' AND {ACTIVE}), false) AS "
+       "review_fails, CASE min(rank) WHEN 0 THEN 'reject' WHEN 1 THEN 'reject' WHEN 2 THEN 'review' ELSE 'safe' END AS skill_verdict "
+       "FROM s LEFT JOIN p ON s.scan_id = p.scan_id GROUP BY s.scan_id")
 def gates(spark, sf):
-    return a.gates(processed(spark, sf), ("scan_id",))
+    return a.gates(processed(spark, sf), ("scan_id",), units(spark, sf, "scan_id"))
 
 
 _REVIEWS = (
@@ -446,7 +456,7 @@ def audit(spark, sf):
 @query("a16_portfolio_stats", f"{LIFE}, s AS ({score_sql('project')}) SELECT CAST(floor(avg(score) + 0.5) AS BIGINT) AS "
        "avg_score, CAST(sum(critical + high) AS BIGINT) AS urgent, CAST(sum(total) AS BIGINT) AS total FROM s")
 def portfolio(spark, sf):
-    return a.portfolio_stats(a.compliance_score(processed(spark, sf)))
+    return a.portfolio_stats(a.compliance_score(processed(spark, sf), units=units(spark, sf, "project")))
 
 
 @query("a17_skill_issue_types", f"{o.pack_findings(['skills'], 'all')} SELECT split_part(rule_id, '-', 2) AS issue_type, "
@@ -480,18 +490,19 @@ def headline(spark, sf):
 # History: one scan per order, so a project's scans follow its order dates.
 
 _HIST = (
-    f"{LIFE}, s AS (SELECT scan_id, score FROM ({score_sql('scan_id')})), hist AS MATERIALIZED (SELECT p.project, p.scan_id, p.scan_ts, min(s.score) AS "
-    "score, " + ", ".join(f"count(*) FILTER (WHERE {ACTIVE} AND severity = '{x}') AS {x}" for x in h.SEVERITY_NAMES)
-    + f", coalesce(list_sort(list(DISTINCT rule_id) FILTER (WHERE {ACTIVE})), []) AS failed_rules, count(DISTINCT file) AS files FROM p LEFT "
-    "JOIN s ON s.scan_id = p.scan_id GROUP BY p.project, p.scan_id, p.scan_ts)"
+    f"{LIFE}, s AS (SELECT scan_id, score FROM ({score_sql('scan_id')})), hist AS MATERIALIZED (SELECT c.project, c.scan_id, c.scan_ts, "
+    "min(s.score) AS score, " + ", ".join(f"count(*) FILTER (WHERE {ACTIVE} AND severity = '{x}') AS {x}" for x in h.SEVERITY_NAMES)
+    + f", coalesce(list_sort(list(DISTINCT rule_id) FILTER (WHERE {ACTIVE})), []) AS failed_rules, 1 AS files FROM corpus c JOIN s ON "
+    "s.scan_id = c.scan_id LEFT JOIN p ON p.scan_id = c.scan_id GROUP BY c.project, c.scan_id, c.scan_ts)"
 )
 _W = "PARTITION BY project ORDER BY scan_ts, scan_id"
 _WD = "PARTITION BY project ORDER BY scan_ts DESC, scan_id DESC"
 
 
 def history(spark, sf):
-    """The history table; the queries on it read it more than once, so it is written first, as in use."""
-    return stored(h.history_entries(processed(spark, sf)), "history")
+    """The history table, of clean scans too; the queries on it read it more than once, so it is written first, as in use."""
+    scans = units(spark, sf, "project", "scan_id", "scan_ts", "files")
+    return stored(h.history_entries(processed(spark, sf), scans=scans), "history")
 
 
 @query("w01_latest_scan", f"{_HIST}, x AS (SELECT *, row_number() OVER ({_WD}) AS n FROM hist) SELECT project, scan_id, "

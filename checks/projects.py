@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import oracle as o
 from checks.corpus import _array, _q, code_corpus, code_corpus_sql, corpus, corpus_sql, read, text_corpus
-from checks.lifecycle import FOUND, LIFE, _HIST, _KEY, found, history, processed, score_sql
+from checks.lifecycle import FOUND, LIFE, _HIST, _KEY, found, history, processed, score_sql, units
 from checks.registry import ORACLE, query
 from scanweave.functions.sql import lit
 from scanweave.operators import aggregate as a
@@ -136,6 +136,11 @@ def no_vuln_scan(spark, sf):
     return fl.missing_vulnerability_scan(project_corpus(spark, sf)).select("project")
 
 
+@query("d21_root_from_paths", ORACLE["d21_project_vulnerability_scan_absence"])
+def no_vuln_scan_no_root(spark, sf):
+    return fl.missing_vulnerability_scan(project_corpus(spark, sf).drop("root")).select("project")
+
+
 def _skill_fields():
     out = []
     for k, p in fl.SKILL_FIELDS.items():
@@ -197,6 +202,19 @@ def whole_scan(spark, sf):
 
 
 
+@query("t09_scan_artifacts", f"{o.base('all')}, a AS (" + " UNION ALL ".join(
+    [f"SELECT project, 'HIPAA-ASSET-001' AS finding_id, '{k}' AS kind, file, i, text FROM lines WHERE {o.rx('file', fl.CODE_CS)} AND "
+     f"{o.rx('text', p)}" for k, p, _ in fl.ASSETS]
+    + [f"SELECT project, 'HIPAA-FLOW-001', '{k}', file, i, text FROM lines WHERE {o.rx('file', fl.CODE_CS)} AND {o.rx('text', p)}"
+       for k, p in fl.FLOW_STAGES])
+    + "), n AS (SELECT *, row_number() OVER (PARTITION BY project, finding_id, kind ORDER BY file, i) AS k FROM a) SELECT project, "
+    "finding_id, CASE finding_id WHEN 'HIPAA-ASSET-001' THEN 'ASSET-INVENTORY' ELSE 'PHI-FLOW-MAP' END AS file, count(*) AS entries, "
+    "string_agg(kind || ':' || k || ':' || file || ':' || (i + 1), ',' ORDER BY kind, k) FILTER (WHERE k <= 5) AS content FROM n GROUP BY ALL")
+def scan_artifacts(spark, sf):
+    content = F.array_join(F.transform("content", lambda x: F.concat_ws(":", x["kind"], x["n"], x["file"], x["line"])), ",")
+    return fl.artifacts(corpus(spark, sf)).select("project", "finding_id", "file", "entries", content.alias("content"))
+
+
 @query("d24_asset_inventory", f"{o.base('all')}, a AS (" + " UNION ALL ".join(
     f"SELECT l.file, l.i, l.text, '{k}' AS type, {o.rx('f.content', w)} AS processes_phi FROM lines l JOIN files f ON f.file = "
     f"l.file WHERE {o.rx('l.file', fl.CODE_CS)} AND {o.rx('l.text', p)}" for k, p, w in fl.ASSETS)
@@ -412,7 +430,12 @@ def baseline_round_trip(spark, sf):
        "failed_rules FROM hist WHERE scan_ts >= TIMESTAMP '1996-01-01'")
 def history_round_trip(spark, sf):
     path = tb.work_folder(spark, "history")
-    tb.append_history(history(spark, sf), path)
+    entries = history(spark, sf)
+    tb.append_history(entries.filter("scan_id % 2 = 0"), path, "a")
+    for _ in range(2):  # the second write is a retry
+        tb.append_history(entries.filter("scan_id % 3 = 0 OR scan_id % 2 = 1"), path, "b")
+    broken = spark.createDataFrame([("{\"project\": \"cust-1\", \"scan",), ("no json",)], "value string")
+    broken.withColumn("month", F.lit("1997-01")).write.mode("append").partitionBy("month").text(f"{path}/batch=b")
     back = tb.read_history(spark, path, since="1996-01-01")
     return back.select("project", "scan_id", "score", "critical", F.array_join("failed_rules", ",").alias("failed_rules"))
 
@@ -420,19 +443,24 @@ def history_round_trip(spark, sf):
 @query("s12_persist_scan", f"{_HIST} SELECT project, count(*) AS scans, arg_max(score, (scan_ts, scan_id)) AS score, "
        "(SELECT count(*) FROM p WHERE p.project = hist.project) AS findings FROM hist GROUP BY project")
 def persisted(spark, sf):
+    """Two batches share a third of the scans, and one of them is written again: every scan is there once."""
     path = tb.work_folder(spark, "store")
-    tb.persist_scan(found(spark, sf).select("project", "scan_id", "scan_ts", "finding_id", "file", "line"),
-                    history(spark, sf), path)
-    n = spark.read.parquet(f"{path}/findings").groupBy("project").agg(F.count("*").alias("findings"))
-    return tb.project_state(spark.read.parquet(f"{path}/scans")).select("project", "scans", "score").join(n, "project")
-
-
-@query("s13_report_documents", f"{LIFE}, s AS ({score_sql('project')}) SELECT p.project, min(s.score) AS score, count(DISTINCT "
-       f"severity || {_KEY}) AS groups, count(*) AS locations FROM p JOIN (SELECT project, score FROM s) s ON s.project = "
-       "p.project GROUP BY p.project")
+    f = tb.stored(found(spark, sf).select("project", "scan_id", "scan_ts", "finding_id", "file", "line"), "findings")
+    scans = history(spark, sf)
+    for batch, some in (("a", "scan_id % 3 < 2"), ("b", "scan_id % 3 > 0"), ("a", "scan_id % 3 < 2")):
+        tb.persist_scan(f.filter(some), scans.filter(some), path, batch)
+    kept, all_scans = tb.stored_scans(spark, path)
+    n = kept.groupBy("project").agg(F.count("*").alias("findings"))
+    return tb.project_state(all_scans).join(n, "project", "left").select(
+        "project", "scans", "score", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@query("s13_report_documents", f"{LIFE}, s AS ({score_sql('project')}) SELECT s.project, min(s.score) AS score, count(DISTINCT "
+       f"severity || {_KEY}) AS groups, count(p.severity) AS locations FROM (SELECT project, score FROM s) s LEFT JOIN p ON s.project = "
+       "p.project GROUP BY s.project")
 def documents(spark, sf):
     path = tb.work_folder(spark, "report")
-    tb.write_documents(tb.report_documents(tb.stored(processed(spark, sf), "processed")).select(
+    tb.write_documents(tb.report_documents(tb.stored(processed(spark, sf), "processed"), units=units(spark, sf, "project")).select(
         F.concat(F.lit("["), F.to_json(F.struct("project")), F.lit(","), "document", F.lit("]")).alias("document")), path)
     d = spark.read.text(path).select(
         F.get_json_object("value", "$[0].project").alias("project"), F.get_json_object("value", "$[1].score").cast("long").alias("score"),

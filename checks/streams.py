@@ -11,7 +11,7 @@ from checks.registry import query
 from scanweave.functions.sql import lit
 from scanweave.operators import lifecycle as lc
 from scanweave.rules.catalog import LINE_PACKS, line_rules
-from scanweave.sources.tables import work_folder
+from scanweave.sources.folders import stored, work_folder
 from scanweave.streaming import watch as w
 
 _FILE = (f"concat('/repos/docs/', lang, '/doc_', doc_id, element_at(array({_array(DOC_ENDS, lit)}), "
@@ -63,27 +63,70 @@ def new_alerts(spark, sf):
     return spark.read.parquet(f"{path}/alerts").select("file", "key")
 
 
+def _in_turns(spark, rows, path, ts, turns, handle) -> None:
+    """Runs a stream over ``rows`` in the order of their time: each turn adds the rows of its share of the time and processes them."""
+    rows = stored(rows, "rows")
+    low, high = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    if low is None:
+        rows.write.parquet(f"{path}/in/turn=0")
+        handle()
+        return
+    width = (high - low) // turns + 1
+    for k in range(turns):
+        rows.filter(F.floor((F.unix_micros(ts) - low) / width) == k).write.parquet(f"{path}/in/turn={k}")
+        handle()
+
+
 @query("x03_notify_once", f"{FOUND} SELECT DISTINCT project || ':' || rule_id AS key FROM findings WHERE rank <= 1")
 def notify(spark, sf):
-    """Findings of all scans stream in; a project hears of a rule once."""
+    """Findings of all scans stream in by the time of their scan, in four turns; a project hears of a rule once. The horizon is
+    longer than all scans take, so no key is forgotten before the last."""
     path = work_folder(spark, "notify")
-    keyed = found(spark, sf).select(F.concat_ws(":", "project", "rule_id").alias("key"), "rank")
-    keyed.write.parquet(f"{path}/in")
-    once = w.notify_once(w.read_stream(spark, f"{path}/in", keyed.schema), "high")
-    w.write_findings(once, f"{path}/out", f"{path}/checkpoint")
+    keyed = found(spark, sf).select(
+        F.concat_ws(":", "project", "rule_id").alias("key"), "rank", F.col("scan_ts").cast("timestamp").alias("scan_ts"))
+    w.on_disk_state(spark)
+
+    def handle():
+        source = spark.readStream.schema(keyed.schema).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        w.write_findings(w.notify_once(source, "high", "scan_ts", "4000 days"), f"{path}/out", f"{path}/checkpoint")
+
+    _in_turns(spark, keyed, path, "scan_ts", 4, handle)
     return spark.read.parquet(f"{path}/out").select("key")
 
 
-@query("x04_debounce", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s "
-       "FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) "
-       "AS b FROM e) SELECT user_id, count(*) AS changes, epoch_us(max(ts)) AS last_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS "
-       "scan_us FROM g GROUP BY user_id, b")
+_BURSTS = ("WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER p <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s "
+           "FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) "
+           "AS b FROM e) SELECT user_id, count(*) AS changes, epoch_us(max(ts)) AS last_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS "
+           "scan_us FROM g GROUP BY user_id, b")
+
+
+@query("x04_debounce", _BURSTS)
 def debounced(spark, sf):
     e = read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     b = w.debounce(e, "user_id", "ts", "30 minutes")
     return b.select("user_id", "changes", F.unix_micros("last_change").alias("last_us"), F.unix_micros("scan_at").alias("scan_us"))
 
 
+@query("x04_debounce_stream", _BURSTS)
+def debounced_stream(spark, sf):
+    """The same as a stream in six turns. A change of nobody, a year later, lets the watermark pass the last bursts."""
+    path = work_folder(spark, "bursts")
+    e = read(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = e.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts")).filter("ts IS NOT NULL")
+    w.on_disk_state(spark)
+    shape = e.schema
+
+    def handle():
+        source = spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+        w.write_findings(w.debounce(source, "user_id", "ts", "30 minutes"), f"{path}/out", f"{path}/checkpoint")
+
+    _in_turns(spark, e, path, "ts", 6, handle)
+    last.select(F.lit(None).cast(shape["user_id"].dataType).alias("user_id"), "ts").write.parquet(f"{path}/in/turn=last")
+    handle()
+    b = spark.read.parquet(f"{path}/out").filter("user_id IS NOT NULL")
+    return b.select("user_id", "changes", F.unix_micros("last_change").alias("last_us"), F.unix_micros("scan_at").alias("scan_us"))
+
+
 @query("x05_result_upsert", "SELECT user_id || '/' || event_type AS key, arg_max(props, (ts, event_type, props)) AS detail, count(*) "
        "FILTER (WHERE false) + 1 AS n FROM events GROUP BY 1")
 def upsert(spark, sf):
@@ -107,6 +150,14 @@ def reuse(spark, sf):
     return spark.read.parquet(f"{path}/out")
 
 
+@query("x06_reuse_of_hot_keys", "WITH t AS (SELECT event_type, list_sort(list(epoch_us(ts))) AS l FROM events GROUP BY event_type), k AS ("
+       "SELECT event_type, list_reduce(list_transform(l, lambda v: [v]), lambda acc, x: CASE WHEN x[1] - acc[-1] >= 60000000 THEN "
+       "list_concat(acc, x) ELSE acc END) AS kept FROM t) SELECT event_type, unnest(kept) AS us FROM k")
+def reuse_hot(spark, sf):
+    """The same over a table whose few keys hold all events, cut at gaps of a minute."""
+    return w.keep_after_gap(read(spark, sf, "events"), "event_type", "ts", 60)
+
+
 @query("l11_virtual_findings_and_artifacts", "SELECT DISTINCT 'cust-' || o_custkey AS project, 'HIPAA-PENTEST-001' AS finding_id, false AS artifact FROM orders "
        "UNION ALL SELECT DISTINCT 'cust-' || o_custkey, 'HIPAA-ASSET-001', true FROM orders")
 def virtual(spark, sf):

@@ -13,6 +13,7 @@ from scanweave.functions.sql import js_trim, like, lit
 from scanweave.functions.regex import to_java
 from scanweave.operators.lifecycle import SEQ, scope
 from scanweave.rules.model import CATEGORIES, SEVERITY_RANK
+from scanweave.sources.folders import stored
 
 # Penalties, thresholds and labels.
 PENALTY = {"critical": 10, "high": 5, "medium": 2, "low": 1}
@@ -97,7 +98,8 @@ def group_by_location(findings: DataFrame) -> DataFrame:
 
 
 def partition_proposed(findings: DataFrame):
-    """(current, proposed); proposed ones are listed by file, line and title."""
+    """(current, proposed) of findings that are written once; proposed ones are listed by file, line and title."""
+    findings = stored(findings, "findings")
     return findings.filter(~is_proposed()), findings.filter(is_proposed()).orderBy("file", "line", "title")
 
 
@@ -187,18 +189,24 @@ def recommendations(scores: DataFrame) -> DataFrame:
     return scores.withColumn("recommendations", F.when(F.size(items) == 0, default).otherwise(items))
 
 
-def category_scores(findings: DataFrame, by=("project",)) -> DataFrame:
-    """Score per category and overall in one pass over grouping sets."""
-    sets = f"GROUPING SETS (({', '.join([*by, 'category'])}), ({', '.join(by)}))"
-    deductions = " + ".join(f"{p} * count_if(severity = '{s}')" for s, p in CATEGORY_PENALTY.items())
-    g = findings.sparkSession.sql(
-        f"SELECT {', '.join(by)}, category, grouping(category) AS overall, count(*) AS findings, "
-        f"greatest(0, least(100, 100 - ({deductions}))) AS score FROM {{f}} GROUP BY {sets}", f=findings)
-    labels = F.create_map(*[F.lit(x) for kv in CATEGORY_LABELS.items() for x in kv])
+def category_scores(findings: DataFrame, by=("project",), units: DataFrame | None = None) -> DataFrame:
+    """Score of each of the five categories and overall, six rows for every project or scan: 100 where nothing was found.
+
+    One aggregate counts all of them side by side. ``units`` holds all projects or scans, so that clean ones come too.
+    """
+    penalty = F.lit(0)
+    for name, p in CATEGORY_PENALTY.items():
+        penalty = F.when(F.col("severity") == name, p).otherwise(penalty)
+    kinds = {"overall": F.lit(True)} | {label: F.col("category") == c for c, label in CATEGORY_LABELS.items()}
+    aggregates = [x for k, cond in enumerate(kinds.values()) for x in (
+        count_where(cond).alias(f"n{k}"), F.coalesce(F.sum(F.when(cond, penalty)), F.lit(0)).cast("bigint").alias(f"d{k}"))]
+    g = with_clean(findings.groupBy(*by).agg(*aggregates), units, by)
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(label).alias("category"), F.col(f"n{k}").alias("findings"), F.greatest(F.lit(0), 100 - F.col(f"d{k}")).alias("score"))
+        for k, label in enumerate(kinds)]))
     steps = [(95, "A+"), (80, "A"), (60, "B"), (40, "C"), (20, "D")]
-    return g.select(
-        *by, F.when(F.col("overall") == 1, "overall").otherwise(labels[F.col("category")]).alias("category"), "findings",
-        "score", F.when(F.col("overall") == 1, step(F.col("score"), steps, "F")).alias("grade"))
+    return g.select(*by, rows.alias("x")).select(
+        *by, "x.*", F.when(F.col("x.category") == "overall", step(F.col("x.score"), steps, "F")).alias("grade"))
 
 
 def executive_status(findings: DataFrame, by=("project",), units: DataFrame | None = None) -> DataFrame:
@@ -241,10 +249,10 @@ def gates(findings: DataFrame, by=("project",), units: DataFrame | None = None)
         F.when(F.col("worst") >= 3, "reject").when(F.col("worst") == 2, "review").otherwise("safe").alias("skill_verdict"))
 
 
-def headline(findings: DataFrame, by=("project",)) -> DataFrame:
-    g = group_key(findings).groupBy(*by).agg(
+def headline(findings: DataFrame, by=("project",), units: DataFrame | None = None) -> DataFrame:
+    g = with_clean(group_key(findings).groupBy(*by).agg(
         F.count_distinct("severity", "title_key").alias("types"), F.count("*").alias("locations"),
-        F.count_distinct("file").alias("files"))
+        F.count_distinct("file").alias("files")), units, by)
     return g.withColumn("headline", F.format_string(
         "Found %d types of HIPAA violations across %d locations in %d files", "types", "locations", "files"))
 

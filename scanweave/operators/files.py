@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from scanweave.operators.detect import (
 )
 from scanweave.rules.catalog import AUDITED_CODE, CODE_CS, SKILL_FILES, WEB_CONFIG, WEB_MODULES_DATA, packs, rule
 from scanweave.rules.model import CONTENT, LINE, Condition, Pack, Rule
+from scanweave.sources.folders import stored
 
 # Words, actions and file names of the file and project checks.
 HEALTH_WORDS = r"(?i)patient|health|medical|diagnosis|treatment"
@@ -139,18 +142,34 @@ def missing_log_framework(corpus: DataFrame, keep=()) -> DataFrame:
     return g.filter("NOT has").select("project", *keep, "file", F.lit("audit-no-framework").alias("rule_id"))
 
 
+def project_roots(corpus: DataFrame, keep=()) -> DataFrame:
+    """The folder that all files of a project share: what its smallest and its largest path have in common."""
+    g = corpus.groupBy("project", *keep).agg(F.split(F.min("file"), "/").alias("a"), F.split(F.max("file"), "/").alias("b"))
+    differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), False)
+    shared = F.when(differ > 0, differ - 1).otherwise(F.least(F.size("a"), F.size("b")))
+    folders = F.least(shared, F.size("a") - 1).cast("int")
+    return g.select("project", *keep, F.array_join(F.slice("a", F.lit(1), folders), "/").alias("root"))
+
+
 def missing_vulnerability_scan(corpus: DataFrame, root: str = "root", keep=()) -> DataFrame:
-    """Projects without a scanner configuration, a scanning workflow or a scan word in the root manifest."""
-    rel = F.expr(f"substring(file, length({root}) + 2)")
-    c = corpus.withColumn("rel", rel)
+    """Projects without a scanner configuration, a scanning workflow or a scan word in the root manifest.
+
+    A corpus without the column ``root`` has the folder that all files of a project share for it. Contents are tested before any
+    row moves, and only of the few files whose place can matter.
+    """
+    ends = "|".join(re.escape(f) for f in SCAN_CONFIG_FILES)
+    likely = corpus.filter(F.col("file").rlike(rf"(?:^|/)(?:{ends}|package\.json|\.github/workflows/[^/]+)$")).select(
+        "project", *keep, "file", F.col("content").rlike(WORKFLOW_STEP).alias("step"), F.col("content").rlike(MANIFEST_WORD).alias("word"))
+    if root in corpus.columns:
+        roots = corpus.groupBy("project", *keep).agg(F.first(root).alias("root"))
+    else:
+        roots = project_roots(corpus, keep)
+    both = likely.join(roots, ["project", *keep]).withColumn("rel", F.expr("substring(file, if(root = '', 1, length(root) + 2))"))
     workflow = F.col("rel").rlike(r"^\.github/workflows/[^/]+$")
     name = F.element_at(F.split("rel", "/"), -1)
-    ok = (
-        F.col("rel").isin(SCAN_CONFIG_FILES)
-        | (workflow & (name.rlike(WORKFLOW_NAME) | F.col("content").rlike(WORKFLOW_STEP)))
-        | ((F.col("rel") == "package.json") & F.col("content").rlike(MANIFEST_WORD))
-    )
-    return c.groupBy("project", *keep).agg(F.bool_or(ok).alias("ok")).filter("NOT ok").select(
+    ok = F.col("rel").isin(SCAN_CONFIG_FILES) | (workflow & (name.rlike(WORKFLOW_NAME) | F.col("step"))) | (
+        (F.col("rel") == "package.json") & F.col("word"))
+    return roots.join(both.filter(ok).select("project", *keep).distinct(), ["project", *keep], "left_anti").select(
         "project", *keep, F.lit("HIPAA-PENTEST-001").alias("rule_id"), F.lit("project-level").alias("file"))
 
 
@@ -189,7 +208,7 @@ def file_findings(corpus: DataFrame, names, keep=()) -> DataFrame:
     """Findings of the file, project and skill checks of the packs ``names``, with the columns of ``detect``.
 
     Project checks look at all files of a project, and of a scan if ``keep`` names it. Findings on no single line have a null
-    line and an empty ``code``. Whether a project runs a scanner is asked where the corpus has its ``root`` folder as a column.
+    line and an empty ``code``. A project's root folder is the corpus' column ``root``, or else what its files have in common.
     """
     found = []
     if "authentication" in names:
@@ -198,7 +217,7 @@ def file_findings(corpus: DataFrame, names, keep=()) -> DataFrame:
         found.append(missing_backup(corpus, keep))
     if "audit" in names:
         found.append(missing_log_framework(corpus, keep))
-    if "hipaa2026" in names and "root" in corpus.columns:
+    if "hipaa2026" in names:
         found.append(missing_vulnerability_scan(corpus, keep=keep))
     if "skills" in names:
         found.append(skill_findings(skill_metadata(corpus, keep), keep).drop("severity"))
@@ -239,8 +258,34 @@ def flow_points(corpus: DataFrame) -> DataFrame:
 
 
 def flow_map(points: DataFrame, shown: int = 5) -> DataFrame:
-    """Points per project and stage with the first few; the count comes from an aggregate, the rest is never gathered."""
+    """Points per project and stage with the first few. The points are written once; the count comes from an aggregate of them and
+    the first from a limit that Spark applies before rows move."""
+    points = stored(points.select("project", "stage", "file", "line", "context"), "flow-points")
     counts = points.groupBy("project", "stage").agg(F.count("*").alias("points"))
     w = Window.partitionBy("project", "stage").orderBy("file", "line")
     first = points.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= shown)
     return first.join(counts, ["project", "stage"]).select("project", "stage", "points", "n", "file", "line", "context")
+
+
+def artifacts(corpus: DataFrame, keep=(), shown: int = 5) -> DataFrame:
+    """The generated documents of a scan: per project the asset inventory and the flow map, where they have entries.
+
+    project, finding_id, file, title, reference, entries (how many), and the first ``shown`` of each kind as ``content``: kind, n,
+    file, line and text. They are informational, so they never count as findings. Assets and flow points are found in one pass.
+    """
+    labels = [(f"HIPAA-ASSET-001:{kind}", like(LINE_TEXT, p)) for kind, p, _ in ASSETS]
+    labels += [(f"HIPAA-FLOW-001:{stage}", like(LINE_TEXT, p)) for stage, p in FLOW_STAGES]
+    hits = line_hits(corpus, CODE_CS, labels, keep=keep)
+    part = F.split("label", ":")
+    hits = stored(hits.select("project", *keep, part[0].alias("rule_id"), part[1].alias("kind"), "file", "line",
+                              F.trim("text").alias("text")), "artifacts")
+    key = ["project", *keep, "rule_id"]
+    order = Window.partitionBy(*key, "kind").orderBy("file", "line")
+    first = hits.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= shown)
+    content = first.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("kind", "n", "file", "line", "text"))).alias("content"))
+    counts = hits.groupBy(*key).agg(F.count("*").alias("entries"))
+    names = {"HIPAA-ASSET-001": "ASSET-INVENTORY", "HIPAA-FLOW-001": "PHI-FLOW-MAP"}
+    of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("rule_id")]
+    return counts.join(content, key).select(
+        "project", *keep, F.col("rule_id").alias("finding_id"), of(names).alias("file"), of({r: rule(r).title for r in names}).alias("title"),
+        of({r: rule(r).reference for r in names}).alias("reference"), "entries", "content")

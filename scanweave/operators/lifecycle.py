@@ -169,6 +169,13 @@ def baseline_of(findings: DataFrame) -> DataFrame:
         *project, "hash", "finding_id", "file", "line", "title", "severity", "category").distinct()
 
 
+def baseline_stats(findings: DataFrame, by=()) -> DataFrame:
+    """total, baseline and new findings of ``apply_baseline``, counted in the pass that flags them."""
+    known = F.col("is_baseline")
+    return findings.groupBy(*by).agg(
+        F.count("*").alias("total"), F.count_if(known).alias("baseline"), F.count_if(~known).alias("new"))
+
+
 def apply_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Flags findings whose project and hash are in the baseline; the hash spreads evenly."""
     keys = ["hash", *scope(findings, baseline, of=("project",))]
@@ -196,7 +203,9 @@ def dedupe(findings: DataFrame, order=SEQ) -> DataFrame:
 
 
 def dedupe_virtual(findings: DataFrame) -> DataFrame:
-    """Scan-wide findings keep one row per project, scan and id; findings on real files pass."""
+    """Scan-wide findings keep one row per project, scan and id; findings on real files pass. Findings are written once; only the
+    scan-wide ones move."""
+    findings = stored(findings, "findings")
     virtual = F.col("file").isin(VIRTUAL_FILES)
     return findings.filter(~virtual).unionByName(
         findings.filter(virtual).dropDuplicates([*scope(findings), "finding_id"]))
@@ -215,9 +224,10 @@ def sort_by_severity(findings: DataFrame) -> DataFrame:
 def triage_candidates(findings: DataFrame, cap: int = 50) -> DataFrame:
     """Per project, the first ``cap`` findings with content go to triage; the rest keep a reason and a default.
 
-    Numbering happens only among each project's first ``cap`` rows with content, so a large project is cut before it
-    reaches one task.
+    Findings are written once and read twice. Numbering happens only among each project's first ``cap`` rows with content, so a
+    large project is cut before it reaches one task.
     """
+    findings = stored(findings, "to-triage")
     w = Window.partitionBy("project").orderBy(*SEQ)
     first = (findings.filter("has_content").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
              .groupBy("project").agg(F.count("*").alias("_kept"), F.max(F.struct(*SEQ)).alias("_last")))

@@ -46,8 +46,12 @@ def by_severity(findings: DataFrame, limits=None, by: str = "scan_id") -> DataFr
 
 
 def search_registry(registry: DataFrame, text: str = "", equals=None, tech=None, min_rating=None, tags=None,
-                    page: int = 1, page_size: int = 20) -> DataFrame:
-    """One page of matching rules, best ranked first, with the number of all matches."""
+                    page: int = 1, page_size: int = 20, after=None) -> DataFrame:
+    """One page of matching rules, best ranked first, with their place ``n`` and the number of all matches.
+
+    ``after``: relevance and id of the last rule of the page before. Then only a page of rules is ranked however far down it lies,
+    and places are counted from there; ``page`` is for the first few pages.
+    """
     r = registry
     if text:
         needle = F.lit(text.lower())
@@ -64,11 +68,15 @@ def search_registry(registry: DataFrame, text: str = "", equals=None, tech=None,
         r = r.filter(F.forall(F.array(*[F.lit(t) for t in tags]), lambda t: F.array_contains("tags", t)))
     score = F.col("downloads") * DOWNLOAD_WEIGHT + F.col("rating") * F.col("reviews") * REVIEW_WEIGHT
     r = r.withColumn("relevance", score)
-    total = r.agg(F.count("*").alias("total"))
+    matches = r
+    if after:
+        relevance, last = F.lit(after[0]), F.lit(after[1])
+        r = r.filter((F.col("relevance") < relevance) | ((F.col("relevance") == relevance) & (F.col("id") > last)))
+        page = 1
     best = r.orderBy(F.desc("relevance"), "id").limit(page * page_size)
-    w = Window.orderBy(F.desc("relevance"), "id")
-    shown = best.withColumn("n", F.row_number().over(w)).filter(F.col("n") > (page - 1) * page_size)
-    return shown.join(F.broadcast(total))
+    # The limit leaves one partition, which the window takes as it is; the number of matches is a scalar, not a join.
+    shown = best.withColumn("n", F.row_number().over(Window.orderBy(F.desc("relevance"), "id"))).filter(F.col("n") > (page - 1) * page_size)
+    return shown.sparkSession.sql("SELECT *, (SELECT count(*) FROM {m}) AS total FROM {s}", m=matches, s=shown)
 
 
 def featured(registry: DataFrame, limit: int = 10) -> DataFrame:

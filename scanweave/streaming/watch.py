@@ -33,9 +33,22 @@ def read_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet
     return reader.parquet(folder)
 
 
-def run_available(writer, checkpoint: str) -> None:
-    """Processes what is there, in as many micro-batches as the source gives, and stops."""
-    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+#: State on local disk with its changes in the checkpoint, so its size isn't bound by the executors' heap.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def on_disk_state(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB; a cluster's own choice of a store stays."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def run_available(writer, checkpoint: str) -> list[int]:
+    """Processes what is there, in as many micro-batches as the source gives, and stops. Returns the rows of state after each of
+    the last batches."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return [sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress]
 
 
 def scan_stream(corpus: DataFrame, pack_names=None, keep=()) -> DataFrame:
@@ -43,8 +56,8 @@ def scan_stream(corpus: DataFrame, pack_names=None, keep=()) -> DataFrame:
     return detect(corpus, pack_names, keep=keep)
 
 
-def write_findings(findings: DataFrame, path: str, checkpoint: str) -> None:
-    run_available(findings.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+def write_findings(findings: DataFrame, path: str, checkpoint: str) -> list[int]:
+    return run_available(findings.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
 
 
 def severity_report(findings: DataFrame, acks=(), as_of: str | None = None) -> DataFrame:

@@ -243,3 +243,33 @@ def test_short_reuse_of_hot_keys_in_a_table(spark):
     df = spark.createDataFrame(rows, "k string, us long").selectExpr("k", "timestamp_micros(us) AS at").repartition(6)
     got = w.keep_after_gap(df, "k", "at").collect()
     assert sorted((str(r.k), r.us) for r in got) == sorted(want)
+
+
+def test_deep_pages_of_the_registry(spark):
+    from scanweave.operators.stored import search_registry
+
+    rows = [(f"r{i:03}", f"name {i}", "text", ["a"], i % 7, 4.0, 10) for i in range(95)]
+    r = spark.createDataFrame(rows, "id string, name string, description string, tags array<string>, downloads int, rating double, reviews int")
+    whole = [x.id for x in search_registry(r, "name", page_size=95).orderBy("n").collect()]
+    seen, after = [], None
+    while True:
+        page = search_registry(r, "name", page_size=20, after=after).orderBy("n").collect()
+        if not page:
+            break
+        assert {x.total for x in page} == {95} and [x.n for x in page] == list(range(1, len(page) + 1))
+        seen += [x.id for x in page]
+        after = (page[-1].relevance, page[-1].id)
+    assert seen == whole and len(set(seen)) == 95
+    assert [x.id for x in search_registry(r, "name", page=2, page_size=20).orderBy("n").collect()] == whole[20:40]
+
+
+def test_block_comments_of_a_file_with_many(spark):
+    import time
+
+    from scanweave.operators import detect as d
+
+    lines = ["/* a", "pwd = 'hunter22'", "*/ b */", "pwd = 'hunter22' /* x */"] * 25_000 + ["/* open", "pwd = 'hunter22'"]
+    c = spark.createDataFrame([("p", "a.ts", "\n".join(lines))], "project string, file string, content string")
+    start = time.time()
+    got = {r.line: r.in_block for r in d.detect(c, ["security"]).select("line", "in_block").collect()}
+    assert len(got) == 50_001 and all(got.values()) and time.time() - start < 60

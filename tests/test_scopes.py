@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanweave.operators import aggregate as a
+from scanweave.operators import files as fl
 from scanweave.operators import fixes as fx
 from scanweave.operators import history as h
 from scanweave.operators import lifecycle as lc
@@ -14,12 +15,41 @@ FILES = "project string, file string, content string"
 
 
 @pytest.fixture(scope="module")
-def found(spark):
+def everything(spark):
     line = "const password = 'hunter2hunter2';\nfetch('http://records.clinic.org/patients');"
     rows = [("p1", "src/a.ts", line), ("p2", "src/a.ts", line), ("p3", "src/clean.ts", "const x = 1;")]
     return scan(spark.createDataFrame(rows, FILES))
 
 
+@pytest.fixture(scope="module")
+def found(everything):
+    """What lines give; no project has a scanner's configuration, which is a finding of each."""
+    return everything.filter("rule_id <> 'HIPAA-PENTEST-001'")
+
+
+def test_every_project_is_asked_for_a_scanner(everything):
+    rows = everything.filter("rule_id = 'HIPAA-PENTEST-001'").select("project", "file", "line").collect()
+    assert sorted(map(tuple, rows)) == [(p, "project-level", None) for p in ("p1", "p2", "p3")]
+
+
+def test_category_scores_list_all_five(spark, found):
+    units = spark.createDataFrame([("p1",), ("p3",)], "project string")
+    got = {}
+    for r in a.category_scores(found, units=units).collect():
+        got.setdefault(r["project"], {})[r["category"]] = (r["findings"], r["score"], r["grade"])
+    assert set(got["p1"]) == {*a.CATEGORY_LABELS.values(), "overall"} and got["p1"]["overall"][0] > 0
+    assert got["p3"] == {label: (0, 100, None) for label in a.CATEGORY_LABELS.values()} | {"overall": (0, 100, "A+")}
+
+
+def test_roots_are_what_paths_share(spark):
+    rows = [("a", "/r/a/src/x.ts", "x"), ("a", "/r/a/src/y/z.ts", "x"), ("b", "/r/b/one.ts", "x"), ("c", "top.ts", "x"), ("c", "src/x.ts", "x"),
+            ("d", "/r/d/.snyk", "x"), ("d", "/r/d/src/x.ts", "x"), ("e", "/r/e/sub/.snyk", "x"), ("e", "/r/e/a.ts", "x")]
+    c = spark.createDataFrame(rows, FILES)
+    assert {r["project"]: r["root"] for r in fl.project_roots(c).collect()} == {
+        "a": "/r/a/src", "b": "/r/b", "c": "", "d": "/r/d", "e": "/r/e"}
+    assert sorted(r["project"] for r in fl.missing_vulnerability_scan(c).collect()) == ["a", "b", "c", "e"]
+
+
 def test_scan_keeps_findings_of_both_projects(found):
     counts = {r["project"]: r["count"] for r in found.groupBy("project").count().collect()}
     assert counts["p1"] == counts["p2"] > 0 and "p3" not in counts

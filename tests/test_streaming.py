@@ -83,3 +83,34 @@ def test_debounce_stream_with_watermark(spark, tmp_path):
         w.write_findings(w.debounce(stream, "project", "ts"), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("scan_at").collect()
     assert [(r.changes, (r.scan_at - t).total_seconds()) for r in got] == [(3, 1.9), (1, 4.0), (1, 61.0)]
+
+
+def _turns(spark, tmp_path, rows, schema, make):
+    """Runs ``make(stream)`` once for each list of rows and returns the rows of state after each batch."""
+    w.on_disk_state(spark)
+    states = []
+    for n, part in enumerate(rows):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/turn={n}"))
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        states.append(w.write_findings(make(source), str(tmp_path / "out"), str(tmp_path / "cp")))
+    return states
+
+
+def test_notified_keys_are_forgotten_after_the_horizon(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    days = [[("p", f"k{n % 3}", 0, t0 + dt.timedelta(days=n)), ("p", f"day{n}", 0, t0 + dt.timedelta(days=n, hours=1))] * 2 for n in range(12)]
+    states = _turns(spark, tmp_path, days, "project string, key string, rank int, ts timestamp",
+                    lambda s: w.notify_once(s, ts="ts", horizon="2 days"))
+    told = sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.key.startswith("day"))
+    assert told == sorted(f"day{n}" for n in range(12))
+    assert max(s[-1] for s in states) <= 10 and states[-1][-1] < 15  # 15 keys came in all
+
+
+def test_debounce_over_turns_keeps_open_bursts_only(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    at = [[0, 0.5, 40], [40.4, 41.1, 90], [200], [500]]
+    rows = [[("p", t0 + dt.timedelta(seconds=x)) for x in part] for part in at]
+    states = _turns(spark, tmp_path, rows, "project string, ts timestamp", lambda s: w.debounce(s, "project", "ts"))
+    got = {(round((r.last_change - t0).total_seconds(), 1), r.changes) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(0.5, 2), (41.1, 3), (90.0, 1), (200.0, 1)}
+    assert all(s[-1] <= 2 for s in states)
