@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import oracle as o
-from checks.corpus import _q, code_corpus, corpus, corpus_sql, read, text_corpus, text_corpus_sql
+from checks.corpus import _q, code_corpus, code_corpus_sql, corpus, corpus_sql, read, text_corpus, text_corpus_sql
 from checks.lifecycle import FOUND, found
 from checks.registry import query
 from scanweave.functions import text as tx
@@ -13,6 +13,7 @@ from scanweave.operators import aggregate as a
 from scanweave.operators import detect as d
 from scanweave.operators import fixes as fx
 from scanweave.operators import redact as rd
+from scanweave.sources.folders import stored
 
 
 def _scrub_sql(source: str) -> str:
@@ -184,6 +185,16 @@ def trail(spark, sf):
     return fx.trail_hash(e, ["file"], "at")
 
 
+@query("f06_project_trail", f"{_EVIDENCE} SELECT f.project, sha256(string_agg(e.finding_id || '|' || e.hash_before || '|' || "
+       "e.hash_after || '|1998-01-01', chr(10) ORDER BY e.file, e.step)) AS trail_hash, count(*) AS steps, count(DISTINCT e.file) AS "
+       f"files FROM e JOIN (SELECT DISTINCT project, file FROM ({code_corpus_sql()})) f ON f.file = e.file GROUP BY f.project")
+def project_trail(spark, sf):
+    """A trail over all files of a project."""
+    e = stored(fx.evidence(code_corpus(spark, sf), fx.fix_steps(found(spark, sf))).withColumn("at", F.lit("1998-01-01")), "evidence")
+    counts = e.groupBy("project").agg(F.count("*").alias("steps"), F.count_distinct("file").alias("files"))
+    return fx.trail_hash(e, ["project"], "at").join(counts, "project")
+
+
 @query("a18_fix_report", f"{_FIXED} SELECT file, count(*) FILTER (WHERE fixed) AS fixed, count(*) FILTER (WHERE NOT fixed) AS "
        f"skipped FROM ({_STEPS}) GROUP BY file")
 def fix_report(spark, sf):

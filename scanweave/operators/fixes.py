@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scanweave.functions.regex import to_java
 from scanweave.functions.sql import js_trim, like, lit
@@ -184,37 +189,131 @@ def apply_fixes(corpus: DataFrame, steps: DataFrame) -> DataFrame:
     return f.withColumn("fixed_content", F.expr(new)).drop("_finals")
 
 
+_SNAPSHOT = "array<struct<line_number:int,content:string,is_match:boolean>>"
+_EVIDENCE = (
+    "project string, file string, step int, line int, finding_id string, fix_type string, title string, reference string, "
+    f"hash_before string, hash_after string, before {_SNAPSHOT}, after {_SNAPSHOT}")
+_LINES = pa.list_(pa.struct([("line_number", pa.int32()), ("content", pa.string()), ("is_match", pa.bool_())]))
+_ARROW = pa.schema(
+    [("project", pa.string()), ("file", pa.string()), ("step", pa.int32()), ("line", pa.int32())]
+    + [(c, pa.string()) for c in ("finding_id", "fix_type", "title", "reference", "hash_before", "hash_after")]
+    + [("before", _LINES), ("after", _LINES)])
+
+
+def _snapshot(lines, at: int, around: int) -> list[dict]:
+    """Lines around the one numbered ``at`` from 0; ``lines`` gives a line by its place, and its length."""
+    first, last = max(at - around, 0), min(at + around, len(lines) - 1)
+    return [{"line_number": i + 1, "content": lines[i], "is_match": i == at} for i in range(first, last + 1)]
+
+
+class _After:
+    """A file's lines after a step: the original ones above it, its own text, and the fixed ones below."""
+
+    def __init__(self, lines, fixed, at, text):
+        self.lines, self.fixed, self.at, self.text = lines, fixed, at, text
+
+    def __len__(self):
+        return len(self.lines)
+
+    def __getitem__(self, i):
+        return self.lines[i] if i < self.at else self.text if i == self.at else self.fixed[i]
+
+
+def _evidence_rows(around: int):
+    """Rows (project, file, content, steps from the last line up) to one row for each step.
+
+    The original text is hashed once, up to its end, and the state at each line with a step is kept; a step's hash goes on from there
+    with its line and the fixed text below, which lies as bytes in one place. So a step costs what follows it.
+    """
+    def of_file(project, file, content, steps):
+        lines = content.split("\n")
+        fixed = list(lines)
+        for s in steps:  # from the last line up, a line's own fixes in their order
+            fixed[s["line"] - 1] = s["after"]
+        below = "\n".join(fixed).encode()
+        ends = list(itertools.accumulate((len(x.encode()) + 1 for x in fixed), initial=0))  # where line i begins
+        states, state, at = {}, hashlib.sha256(), 0
+        for line in sorted({s["line"] for s in steps}):
+            for x in lines[at:line - 1]:
+                state.update(x.encode() + b"\n")
+            at = line - 1
+            states[line] = state.copy()
+        whole = hashlib.sha256(content.encode()).hexdigest()
+        view = memoryview(below)
+        for n, s in enumerate(steps):
+            state = states[s["line"]].copy()
+            state.update(s["after"].encode())
+            if s["line"] < len(lines):
+                state.update(b"\n")
+                state.update(view[ends[s["line"]]:])
+            place = s["line"] - 1
+            yield {"project": project, "file": file, "step": n, "line": s["line"], **{c: s[c] for c in (
+                "finding_id", "fix_type", "title", "reference")}, "hash_before": whole, "hash_after": state.hexdigest(),
+                "before": _snapshot(lines, place, around), "after": _snapshot(_After(lines, fixed, place, s["after"]), place, around)}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for project, file, content, steps in zip(*(batch.column(i) for i in range(4)), strict=True):
+                for row in of_file(project.as_py(), file.as_py(), content.as_py(), steps.as_py()):
+                    rows.append(row)
+                    if len(rows) == 1000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return run
+
+
 def evidence(corpus: DataFrame, steps: DataFrame, around: int = 3) -> DataFrame:
     """One row per applied step: hashes of the file before and after it and both snapshots.
 
     After a step, lines below it carry all their fixes and lines above it are still original.
     """
-    applied = steps.filter("fixed")
     order = F.struct((-F.col("line")).alias("up"), "k", "line", "finding_id", "fix_type", "title", "reference", "after")
-    by_file = applied.groupBy("project", "file").agg(F.sort_array(F.collect_list(order)).alias("steps"))
-    f = corpus.join(by_file, ["project", "file"]).join(_finals(applied), ["project", "file"])
-    text = ("array_join(concat(slice(b.ls, 1, s.line - 1), array(s.after), slice(b.fl, s.line + 1, size(b.ls) - s.line)), '\\n')")
-
-    def snapshot(lines):
-        first = f"greatest(s.line - 1 - {around}, 0)"
-        cut = f"slice({lines}, {first} + 1, least(s.line - 1 + {around}, size({lines}) - 1) - {first} + 1)"
-        return (f"transform({cut}, (x, k) -> named_struct('line_number', {first} + k + 1, 'content', x, "
-                f"'is_match', {first} + k + 1 = s.line))")
-
-    row = (f"transform(steps, (s, n) -> transform(array({text}), t -> named_struct('step', n, 'line', s.line, 'finding_id', "
-           "s.finding_id, 'fix_type', s.fix_type, 'title', s.title, 'reference', s.reference, 'hash_before', "
-           f"sha2(content, 256), 'hash_after', sha2(t, 256), 'before', {snapshot('b.ls')}, "
-           f"'after', {snapshot(chr(115) + 'plit(t, ' + chr(39) + chr(92) + 'n' + chr(39) + ', -1)')}))[0])")
-    first = "transform(array(split(content, '\\n', -1)), ls -> named_struct('ls', ls, 'fl', " + _fixed_lines("ls", "_finals") + "))"
-    row = f"flatten(transform({first}, b -> {row}))"
-    return f.select("project", "file", F.explode(F.expr(row)).alias("e")).select("project", "file", "e.*")
+    by_file = steps.filter("fixed").groupBy("project", "file").agg(F.sort_array(F.collect_list(order)).alias("steps"))
+    f = corpus.select("project", "file", "content").join(by_file, ["project", "file"]).select("project", "file", "content", "steps")
+    return f.mapInArrow(_evidence_rows(around), _EVIDENCE)
+
+
+def _trail(keys: int):
+    """Rows (keys, file, step, text) in order to one row a trail; a digest's state goes on over rows and batches."""
+    def ended(rows, like):
+        fields = [like.field(i) for i in range(keys)] + [pa.field("trail_hash", pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields, strict=True)], schema=pa.schema(fields))
+
+    def run(batches):
+        last, state, like = None, None, None
+        for batch in batches:
+            out, like = [], batch.schema
+            for *key, text in zip(*(batch.column(i).to_pylist() for i in (*range(keys), keys + 2)), strict=True):
+                if state is not None and key == last:
+                    state.update(b"\n")
+                else:
+                    if state is not None:
+                        out.append((*last, state.hexdigest()))
+                    last, state = key, hashlib.sha256()
+                state.update(text.encode())
+            if out:
+                yield ended(out, like)
+        if state is not None:
+            yield ended([(*last, state.hexdigest())], like)
+
+    return run
 
 
 def trail_hash(evidence_rows: DataFrame, by, ts: str) -> DataFrame:
-    """One hash per trail over its ordered evidence lines."""
-    item = F.struct("file", "step", F.concat_ws("|", "finding_id", "hash_before", "hash_after", ts).alias("row"))
-    g = evidence_rows.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return g.select(*by, F.sha2(F.array_join("items.row", "\n"), 256).alias("trail_hash"))
+    """One hash per trail over its evidence lines, ordered by file and step.
+
+    A trail's lines are sorted and go through one digest as they come; no list of them is built, so a trail of any length takes the
+    memory of a batch.
+    """
+    line = F.concat_ws("|", "finding_id", "hash_before", "hash_after", F.col(ts).cast("string")).alias("row")
+    rows = evidence_rows.select(*by, F.col("file").alias("file__"), F.col("step").alias("step__"), line)
+    out = T.StructType([*rows.select(*by).schema.fields, T.StructField("trail_hash", T.StringType())])
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "file__", "step__")
+    return dealt.mapInArrow(_trail(len(by)), out)
 
 
 def fix_report(steps: DataFrame) -> DataFrame:
