@@ -225,7 +225,7 @@ def rule_table(spark, rules) -> DataFrame:
     """The attributes of ``(pack, rule)`` pairs as a table; a few hundred rows at most."""
     rows = [
         (r.no, p.name, p.no, r.id, p.finding_id, p.context if p.context is not None else -1, r.category, r.severity,
-         SEVERITY_RANK[r.severity], r.title, r.reference, r.fix_type, r.confidence, r.adjust_confidence, p.advice)
+         SEVERITY_RANK[r.severity], r.title, r.reference, r.fix_type, r.confidence, r.adjust_confidence, r.advice or p.advice)
         for p, r in rules
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)

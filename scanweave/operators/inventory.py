@@ -8,63 +8,62 @@ from pyspark.sql import functions as F
 from scanweave.functions.sql import lit
 
 # Package to category and provider, in lookup order.
-PACKAGE_TABLE = """
-next|framework|Next.js Framework
-react|framework|React Library
-vue|framework|Vue.js Framework
-nuxt|framework|Nuxt Framework
-svelte|framework|Svelte Framework
-express|framework|Express.js Framework
-fastify|framework|Fastify Framework
-hono|framework|Hono Framework
-elysia|framework|Elysia Framework
-nestjs|framework|NestJS Framework
-@prisma/client|database|Prisma ORM
-prisma|database|Prisma ORM
-mongoose|database|Mongoose ODM (MongoDB)
-drizzle-orm|database|Drizzle ORM
-typeorm|database|TypeORM
-sequelize|database|Sequelize ORM
-knex|database|Knex.js Query Builder
-pg|database|PostgreSQL Driver
-mysql2|database|MySQL Driver
-mongodb|database|MongoDB Driver
-redis|database|Redis Client
-next-auth|auth|NextAuth.js
-@auth/core|auth|Auth.js
-passport|auth|Passport.js
-jsonwebtoken|auth|JWT (JSON Web Tokens)
-bcrypt|auth|bcrypt Password Hashing
-argon2|auth|Argon2 Password Hashing
-@clerk/nextjs|auth|Clerk Authentication
-@supabase/auth-helpers|auth|Supabase Auth
-lucia|auth|Lucia Auth
-@supabase/supabase-js|cloud|Supabase BaaS
-@aws-sdk|cloud|AWS SDK
-aws-sdk|cloud|AWS SDK
-@google-cloud|cloud|Google Cloud SDK
-@azure|cloud|Azure SDK
-firebase|cloud|Firebase
-firebase-admin|cloud|Firebase Admin
-@vercel/analytics|cloud|Vercel Analytics
-@vercel/edge|cloud|Vercel Edge Functions
-stripe|payment|Stripe Payments
-@stripe/stripe-js|payment|Stripe.js
-paypal|payment|PayPal SDK
-@sendgrid/mail|communication|SendGrid Email
-nodemailer|communication|Nodemailer Email
-twilio|communication|Twilio SMS/Voice
-@twilio/conversations|communication|Twilio Conversations
-resend|communication|Resend Email
-axios|utility|Axios HTTP Client
-lodash|utility|Lodash Utility Library
-date-fns|utility|date-fns Date Utility
-dayjs|utility|Day.js Date Library
-zod|utility|Zod Validation
-joi|utility|Joi Validation
-yup|utility|Yup Validation
-""".strip().split("\n")
-PACKAGES = [tuple(row.split("|")) for row in PACKAGE_TABLE]
+PACKAGES = [
+    ("next", "framework", "Next.js Framework"),
+    ("react", "framework", "React Library"),
+    ("vue", "framework", "Vue.js Framework"),
+    ("nuxt", "framework", "Nuxt Framework"),
+    ("svelte", "framework", "Svelte Framework"),
+    ("express", "framework", "Express.js Framework"),
+    ("fastify", "framework", "Fastify Framework"),
+    ("hono", "framework", "Hono Framework"),
+    ("elysia", "framework", "Elysia Framework"),
+    ("nestjs", "framework", "NestJS Framework"),
+    ("@prisma/client", "database", "Prisma ORM"),
+    ("prisma", "database", "Prisma ORM"),
+    ("mongoose", "database", "Mongoose ODM (MongoDB)"),
+    ("drizzle-orm", "database", "Drizzle ORM"),
+    ("typeorm", "database", "TypeORM"),
+    ("sequelize", "database", "Sequelize ORM"),
+    ("knex", "database", "Knex.js Query Builder"),
+    ("pg", "database", "PostgreSQL Driver"),
+    ("mysql2", "database", "MySQL Driver"),
+    ("mongodb", "database", "MongoDB Driver"),
+    ("redis", "database", "Redis Client"),
+    ("next-auth", "auth", "NextAuth.js"),
+    ("@auth/core", "auth", "Auth.js"),
+    ("passport", "auth", "Passport.js"),
+    ("jsonwebtoken", "auth", "JWT (JSON Web Tokens)"),
+    ("bcrypt", "auth", "bcrypt Password Hashing"),
+    ("argon2", "auth", "Argon2 Password Hashing"),
+    ("@clerk/nextjs", "auth", "Clerk Authentication"),
+    ("@supabase/auth-helpers", "auth", "Supabase Auth"),
+    ("lucia", "auth", "Lucia Auth"),
+    ("@supabase/supabase-js", "cloud", "Supabase BaaS"),
+    ("@aws-sdk", "cloud", "AWS SDK"),
+    ("aws-sdk", "cloud", "AWS SDK"),
+    ("@google-cloud", "cloud", "Google Cloud SDK"),
+    ("@azure", "cloud", "Azure SDK"),
+    ("firebase", "cloud", "Firebase"),
+    ("firebase-admin", "cloud", "Firebase Admin"),
+    ("@vercel/analytics", "cloud", "Vercel Analytics"),
+    ("@vercel/edge", "cloud", "Vercel Edge Functions"),
+    ("stripe", "payment", "Stripe Payments"),
+    ("@stripe/stripe-js", "payment", "Stripe.js"),
+    ("paypal", "payment", "PayPal SDK"),
+    ("@sendgrid/mail", "communication", "SendGrid Email"),
+    ("nodemailer", "communication", "Nodemailer Email"),
+    ("twilio", "communication", "Twilio SMS/Voice"),
+    ("@twilio/conversations", "communication", "Twilio Conversations"),
+    ("resend", "communication", "Resend Email"),
+    ("axios", "utility", "Axios HTTP Client"),
+    ("lodash", "utility", "Lodash Utility Library"),
+    ("date-fns", "utility", "date-fns Date Utility"),
+    ("dayjs", "utility", "Day.js Date Library"),
+    ("zod", "utility", "Zod Validation"),
+    ("joi", "utility", "Joi Validation"),
+    ("yup", "utility", "Yup Validation"),
+]
 DEV_TOOLS = ["typescript", "eslint", "prettier", "vitest", "jest"]
 DEV_PREFIXES = ["@types/", "eslint-", "@testing-library/"]
 

@@ -39,15 +39,60 @@ IMPORT_LINE = (
 )
 
 # Hosts that may be linked over plain http.
-SAFE_HTTP_DOMAINS = """
-www.w3.org w3.org xmlns.com purl.org ns.adobe.com cdnjs.cloudflare.com unpkg.com jsdelivr.net cdn.jsdelivr.net
-googleapis.com fonts.googleapis.com ajax.googleapis.com gstatic.com fonts.gstatic.com cloudflare.com bootstrapcdn.com
-maxcdn.bootstrapcdn.com stackpath.bootstrapcdn.com code.jquery.com cdn.tailwindcss.com schema.org ogp.me rdfs.org
-hl7.org www.hl7.org fhir.org terminology.hl7.org loinc.org snomed.info icd.who.int unitsofmeasure.org nucc.org ada.org
-x12.org opensource.org creativecommons.org spdx.org json-schema.org yaml.org xml.org maven.apache.org www.apache.org
-registry.npmjs.org pypi.org rubygems.org crates.io pkg.go.dev mvnrepository.com example.com example.org localhost
-127.0.0.1
-""".split()
+SAFE_HTTP_DOMAINS = [
+    "www.w3.org",
+    "w3.org",
+    "xmlns.com",
+    "purl.org",
+    "ns.adobe.com",
+    "cdnjs.cloudflare.com",
+    "unpkg.com",
+    "jsdelivr.net",
+    "cdn.jsdelivr.net",
+    "googleapis.com",
+    "fonts.googleapis.com",
+    "ajax.googleapis.com",
+    "gstatic.com",
+    "fonts.gstatic.com",
+    "cloudflare.com",
+    "bootstrapcdn.com",
+    "maxcdn.bootstrapcdn.com",
+    "stackpath.bootstrapcdn.com",
+    "code.jquery.com",
+    "cdn.tailwindcss.com",
+    "schema.org",
+    "ogp.me",
+    "rdfs.org",
+    "hl7.org",
+    "www.hl7.org",
+    "fhir.org",
+    "terminology.hl7.org",
+    "loinc.org",
+    "snomed.info",
+    "icd.who.int",
+    "unitsofmeasure.org",
+    "nucc.org",
+    "ada.org",
+    "x12.org",
+    "opensource.org",
+    "creativecommons.org",
+    "spdx.org",
+    "json-schema.org",
+    "yaml.org",
+    "xml.org",
+    "maven.apache.org",
+    "www.apache.org",
+    "registry.npmjs.org",
+    "pypi.org",
+    "rubygems.org",
+    "crates.io",
+    "pkg.go.dev",
+    "mvnrepository.com",
+    "example.com",
+    "example.org",
+    "localhost",
+    "127.0.0.1",
+]
 SAFE_HTTP = "|".join(re.escape(d) for d in SAFE_HTTP_DOMAINS)
 REDUCED_PATH = (
     r"(?i)\.(?:test|spec)\.[^.]+$|__tests__|__mocks__|/fixtures/|/examples/|/docs/|/migrations?/|/seeds?/"

@@ -63,6 +63,7 @@ class Rule:
     include: tuple = ()
     exclude: tuple = ()
     adjust_confidence: bool = True
+    advice: str | None = None
 
 
 @dataclass(frozen=True)

@@ -30,8 +30,9 @@ def load_rules(rows: DataFrame) -> DataFrame:
     return last.withColumn("flags", F.regexp_replace(flags, f"[^{KNOWN_FLAGS}]", ""))
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    return load_rules(spark.read.schema(RULE_ROWS).json(path))
+def read_rules(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rules of JSON files and folders of such files; the paths must exist."""
+    return load_rules(spark.read.schema(RULE_ROWS).json(list(paths)))
 
 
 @F.pandas_udf(T.StringType())
@@ -98,10 +99,16 @@ def compile_rules(rows, first_no: int = 10_000):
             title=row["name"], reference=row.get("reference") or "", patterns=(_flagged(row["pattern"], flags),),
             forbid=(Condition(LINE, (_flagged(never, flags),)),) if never else (), include=tuple(row.get("include") or ()),
             exclude=tuple(row.get("exclude") or ()), confidence=row.get("confidence"),
-            adjust_confidence=row.get("adjust_confidence") is not False)))
+            adjust_confidence=row.get("adjust_confidence") is not False, advice=row.get("recommendation"))))
     return out
 
 
+def checked_rules(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule rows without a fault, errors): one bad rule of a file doesn't keep the others from running."""
+    errors = rule_errors(rows)
+    return rows.join(errors.select("load_order").distinct(), "load_order", "left_anti").select(rows.columns), errors
+
+
 # Rules of the model-backed pack and of the audit pack, catalog rows only; the owning category of a pack.
 AI_RULES = [
     ("HIPAA-PHI-003", "phi-exposure"), ("HIPAA-SEC-001", "encryption"), ("HIPAA-ACCESS-001", "access-control"),

@@ -9,7 +9,7 @@ from scanweave.operators import detect as d
 from scanweave.operators import files as fl
 from scanweave.rules import catalog as cat
 from scanweave.rules.model import CATEGORIES
-from scanweave.sources.rules import catalog_table, compile_rules, compiles, load_rules, rule_errors, RULE_ROWS
+from scanweave.sources.rules import catalog_table, checked_rules, compile_rules, compiles, load_rules, rule_errors, RULE_ROWS
 
 # rule, file, content, line of the finding or None
 CASES = [
@@ -169,7 +169,9 @@ def test_custom_rules(spark):
     c = spark.createDataFrame([("p", "/p/a.py", "print(1)\nPRINT(2) # safe"), ("p", "/p/a.js", "print(1)")],
                               "project string, file string, content string")
     got = d.detect_rules(c, compile_rules(loaded)).collect()
-    assert [(r.finding_id, r.line, r.confidence) for r in got] == [("custom-no-print-/p/a.py-0", 1, "low")]
+    assert [(r.finding_id, r.line, r.confidence, r.recommendation) for r in got] == [("custom-no-print-/p/a.py-0", 1, "low", "r")]
+    good, errors = checked_rules(table)
+    assert sorted(r.load_order for r in good.collect()) == [1, 2] and errors.count() == 4
 
 
 def test_rules_are_validated_by_the_engine_that_runs_them(spark):
