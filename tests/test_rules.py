@@ -207,3 +207,19 @@ def test_whole_scan_unites_all_kinds(spark):
         ("p", "/p/SKILL.md", 3, "skill-system-modification", "access-control"),
         ("p", "/p/a.ts", 4, "custom-no-todo-/p/a.ts-3", "encryption")}
     assert not any(r[0] == "q" for r in got)
+
+
+def test_lines_of_all_keywords_against_plain_search(spark):
+    import random
+
+    from scanweave.functions.keywords import lines_with
+
+    draw = random.Random(6)
+    words = {0: ["ab", "abc", "bc"], 1: ["c"], 2: ["a.b", "$("], -1: ["zz", "bca"], 7: ["never"]}
+    texts = ["".join(draw.choice("aAbBcCzZ.$(\nÄİ") for _ in range(draw.randrange(60))) for _ in range(80)] + [None, "", "\n\n", "ABC"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").repartition(3)
+    got = {r["n"]: r["m"] for r in rows.withColumn("m", lines_with(words)("t")).collect()}
+    for n, text in enumerate(texts):
+        lines = (text or "").split("\n")
+        want = {k: [i for i, x in enumerate(lines) if any(w in x.lower() for w in some)] for k, some in words.items()}
+        assert got[n] == {k: v for k, v in want.items() if v}
