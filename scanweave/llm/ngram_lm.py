@@ -38,24 +38,33 @@ def held_out() -> Column:
 
 
 class Tokens:
-    """Texts as arrays of word hashes, each text with its end, with a bounded memory of words."""
+    """Texts as arrays of numbers that stand for words in this task, each text with its end; ``hashes`` has each number's hash.
+
+    Memory is bounded: a caller asks ``full`` before it reads, and calls ``forget`` when it has used what it kept by number.
+    """
 
     def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.hashes = np.array([END], np.int64)  # number 0
+
+    def full(self) -> bool:
+        return len(self.known) > KEPT_WORDS
 
     def read(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all tokens, and the number of tokens of each text."""
-        parts, sizes = [], []
+        """Numbers of all tokens, and how many tokens each text has."""
+        parts, sizes, known, new = [], [], self.known, []
         for text in texts:
             words = text.lower().split()  # bytes: A-Z only, and blank and tab to carriage return only
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            known = self.known
             for w in set(words).difference(known):
-                known[w] = (xxhash.xxh3_64_intdigest(w) >> 1) or 1
+                known[w] = len(self.hashes) + len(new)
+                new.append((xxhash.xxh3_64_intdigest(w) >> 1) or 1)
             parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            parts.append(np.array([END]))
+            parts.append(np.array([0]))
             sizes.append(len(words) + 1)
+        self.hashes = np.concatenate([self.hashes, np.array(new, np.int64)])
         return np.concatenate(parts) if parts else np.empty(0, np.int64), np.array(sizes, np.int64)
 
 
@@ -75,22 +84,23 @@ def _groups(batch, at: int):
 
 
 def _count_words(batches):
-    tokens, kept, n = Tokens(), [], 0
+    tokens, count = Tokens(), np.zeros(1, np.int64)
 
     def flush():
-        word, count = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-        total = np.bincount(count, np.concatenate([c for _, c in kept]), len(word)).astype(np.int64)
-        for a in range(0, len(word), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(word[a:a + 50_000]), pa.array(total[a:a + 50_000])], names=["word", "n"])
+        for a in range(0, len(count), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.hashes[a:a + 50_000]), pa.array(count[a:a + 50_000])], names=["word", "n"])
 
     for batch in batches:
         for _, run in _groups(batch, 0):
-            kept.append(np.unique(tokens.read(run)[0], return_counts=True))
-            n += len(kept[-1][0])
-            if n > TOKENS_AT_ONCE:
+            if tokens.full():
                 yield from flush()
-                kept, n = [], 0
-    if kept:
+                tokens.forget()
+                count = np.zeros(1, np.int64)
+            numbers, _ = tokens.read(run)
+            found = np.bincount(numbers, minlength=len(tokens.hashes))
+            found[:len(count)] += count
+            count = found
+    if count[0]:
         yield from flush()
 
 
@@ -194,26 +204,32 @@ class Words:
 
 
 class WordMemory:
-    """Numbers of hashes, remembered from batch to batch."""
-
-    def __init__(self, words: Words):
-        self.words = words
-        self.hashes, self.numbers = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def look(self, hashes: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(hashes, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        known = self.hashes[place] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        out = np.empty(len(distinct), np.int64)
-        out[known] = self.numbers[place[known]]
-        out[~known] = self.words.numbers(distinct[~known])
-        if len(self.hashes) + (~known).sum() > 2 * KEPT_WORDS:
-            self.hashes, self.numbers = distinct, out
-        else:
-            both = np.concatenate([self.hashes, distinct[~known]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.numbers = both[order], np.concatenate([self.numbers, out[~known]])[order]
-        return out[back]
+    """What the words of a task's texts are to the model, by their number in the task: their number in the model (-1: unknown), and
+    with ``unigram`` how often they came and their own probability."""
+
+    def __init__(self, words: Words, unigram=None):
+        self.tokens, self.words, self.unigram = Tokens(), words, unigram
+        self._forget()
+
+    def _forget(self) -> None:
+        self.tokens.forget()
+        self.numbers, self.counts, self.base = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def read(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """As ``Tokens.read``; the arrays then cover all numbers that it returns."""
+        if self.tokens.full():
+            self._forget()
+        read = self.tokens.read(texts)
+        new = self.tokens.hashes[len(self.numbers):]
+        if len(new):
+            order, numbers = np.argsort(new, kind="stable"), np.full(len(new), -1, np.int64)
+            if self.words.size:
+                numbers[order] = self.words.numbers(new[order])
+            self.numbers = np.concatenate([self.numbers, numbers])
+            if self.unigram:
+                counts = self.words.counts(numbers) if self.words.size else np.zeros(len(new), np.int64)
+                self.counts, self.base = np.concatenate([self.counts, counts]), np.concatenate([self.base, self.unigram(counts)])
+        return read
 
 
 def _contexts(numbers: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
@@ -227,7 +243,7 @@ def _contexts(numbers: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
 def _count_pairs(words: Words, edges: np.ndarray):
     """Counts of pairs, sorted and cut by file: rows (file, payload)."""
     def run(batches):
-        tokens, memory, end = Tokens(), WordMemory(words), int(words.numbers(np.array([END]))[0])
+        memory, end = WordMemory(words), int(words.numbers(np.array([END]))[0])
         kept, n = [], 0
 
         def flush():
@@ -240,8 +256,8 @@ def _count_pairs(words: Words, edges: np.ndarray):
 
         for batch in batches:
             for _, run_ in _groups(batch, 0):
-                hashes, sizes = tokens.read(run_)
-                numbers = memory.look(hashes)
+                tokens, sizes = memory.read(run_)
+                numbers = memory.numbers[tokens]
                 pairs = _contexts(numbers, sizes, end).astype(np.uint64) * np.uint64(words.size) + numbers.astype(np.uint64)
                 kept.append(np.unique(pairs, return_counts=True))
                 n += len(kept[-1][0])
@@ -418,16 +434,13 @@ def train(docs: DataFrame) -> Model:
 
 
 def _score(model: Model):
-    tokens, memory, words = Tokens(), WordMemory(model.words), model.words
+    memory, words = WordMemory(model.words, model.unigram), model.words
     end = int(words.numbers(np.array([END]))[0]) if words.size else -1
 
     def step(batch):
         for start, run in _groups(batch, 2):
-            hashes, sizes = tokens.read(run)
-            numbers = memory.look(hashes) if words.size else np.full(len(hashes), -1)
-            distinct, back = np.unique(numbers, return_inverse=True)
-            counts = words.counts(distinct)[back] if words.size else np.zeros(len(numbers), np.int64)
-            base = model.unigram(counts)
+            tokens, sizes = memory.read(run)
+            numbers, counts, base = memory.numbers[tokens], memory.counts[tokens], memory.base[tokens]
             context = _contexts(numbers, sizes, end)
             score = base.copy()
             both = np.flatnonzero((context >= 0) & (numbers >= 0))
