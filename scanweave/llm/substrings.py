@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from scanweave.llm.common import arrow_function, ordered, running, stored
 
 #: Words in a window and in a seed; windows in a piece, words in a shard and in the pieces that one task streams through it,
-#: words that a task remembers.
-WINDOW, SEED, PIECE_WINDOWS, SHARD_WORDS, STREAM_WORDS, KEPT_WORDS = 35, 8, 2048, 32_768, 1_000_000, 300_000
+#: words that a task remembers and that it hashes at a time (or those of one text).
+WINDOW, SEED, PIECE_WINDOWS, SHARD_WORDS, STREAM_WORDS, KEPT_WORDS, WORDS_AT_ONCE = 35, 8, 2048, 32_768, 1_000_000, 300_000, 200_000
 #: Odd multipliers of the rolling hashes of seeds and of the two of windows.
 _SEED_BY, _FIRST_BY, _SECOND_BY = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Bits of a place, more than a window has words.
+_PLACE = np.uint64(1023)
 
 
 class _Powers:
@@ -74,11 +76,17 @@ class Hashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def seeds(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hash of every sequence of ``SEED`` words, and for each window the place of its smallest, the first of equals."""
+        """The hash of every sequence of ``SEED`` words, and for each window the place of its smallest. Of equal sequences in a window
+        any may be chosen: they are one seed."""
         grams = self.seed.rolling(words, SEED)
-        inside = WINDOW - SEED + 1
-        at = np.lib.stride_tricks.sliding_window_view(grams, inside).argmin(axis=1)
-        return grams, at + np.arange(len(at))
+        # The low bits of a hash give way to its place: minima of pairs, then of pairs of those, keep both.
+        place = np.arange(len(grams), dtype=np.uint64) & _PLACE
+        least, width, inside = (grams & ~_PLACE) | place, 1, WINDOW - SEED + 1
+        while width < inside:
+            step = min(width, inside - width)
+            least, width = np.minimum(least[:-step], least[step:]), width + step
+        first = np.arange(len(least), dtype=np.uint64)
+        return grams, (first + (((least & _PLACE) - first) & _PLACE)).astype(np.int64)
 
 
 def _split(text) -> list[bytes]:
@@ -93,19 +101,47 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
 
 
+def _runs(texts):
+    """Texts in runs of bounded size: the first one's place, the words of all, and where each text begins in them."""
+    first, words, begins = 0, [], [0]
+    for i, text in enumerate(texts):
+        words += _split(text)
+        begins.append(len(words))
+        if len(words) > WORDS_AT_ONCE:
+            yield first, words, np.array(begins)
+            first, words, begins = i + 1, [], [0]
+    if len(begins) > 1:
+        yield first, words, np.array(begins)
+
+
+def _inside(begins: np.ndarray, windows: int) -> np.ndarray:
+    """Which of the windows over the words of several texts lie in one text."""
+    inside = np.ones(windows, bool)
+    for b in begins[1:-1].tolist():
+        inside[max(0, b - WINDOW + 1):b] = False
+    return inside
+
+
 def _find_seeds():
     hashes = Hashes()
 
     def step(batch):
-        seeds = []
-        for text in batch.column(1).cast(pa.binary()):
-            words = _split(text)
-            if len(words) < WINDOW:
-                seeds.append([])
-                continue
-            grams, at = hashes.seeds(hashes.words(words))
-            seeds.append(grams[at[_starts(at)]].view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(seeds, _SEEDS.field(1).type)], schema=_SEEDS)
+        seeds, sizes = [], []
+        for _, words, begins in _runs(batch.column(1).cast(pa.binary())):
+            n = np.zeros(len(begins) - 1, np.int64)
+            if len(words) >= WINDOW:
+                grams, at = hashes.seeds(hashes.words(words))
+                windows = np.flatnonzero(_inside(begins, len(at)))
+                text = np.searchsorted(begins, windows, "right") - 1
+                chosen = _starts(at[windows]) if len(windows) else windows
+                # A text's first window begins a run of its own, for its place is beyond those of the text before.
+                seeds.append(grams[at[windows[chosen]]].view(np.int64))
+                n = np.bincount(text[chosen], minlength=len(n))
+            sizes.append(n)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        values = np.concatenate(seeds) if seeds else np.empty(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), lists], schema=_SEEDS)
 
     return step
 
@@ -121,44 +157,52 @@ _PIECES = pa.schema([("digest", pa.binary()), ("copies", pa.int64()), ("start",
 
 
 def _cut_pieces():
-    """Pieces of the texts: neighbouring windows whose seeds are among the row's repeated ones, in whole groups. A group is known
+    """Pieces of the texts: neighbouring windows whose seeds are among the rows' repeated ones, in whole groups. A group is known
     by its seed, the hashes of its first and last window, which overlap, and the number of its windows."""
     hashes = Hashes()
 
-    def pieces(words, repeated):
-        hashed = hashes.words(words)
-        grams, at = hashes.seeds(hashed)
-        begins = _starts(at)
-        ends = np.append(begins[1:], len(at))
-        seeds = grams[at[begins]].view(np.int64)
-        hit = np.isin(seeds, repeated)
-        if not hit.any():
-            return
-        windows = hashes.first.rolling(hashed, WINDOW).view(np.int64)
-        held: list[tuple] = []
-        for k in np.flatnonzero(hit):
-            a, b = int(begins[k]), int(ends[k])
-            if held and (a != held[-1][1] or b - held[0][0] > PIECE_WINDOWS):
-                yield held
-                held = []
-            held.append((a, b, int(seeds[k]), int(windows[a]), int(windows[b - 1])))
-        yield held
+    def cut(groups_from, groups_to):
+        """Places where pieces begin in a sequence of groups: after a break or where a piece is full."""
+        begins, start, end = [], 0, -1
+        for k, (a, b) in enumerate(zip(groups_from, groups_to, strict=True)):
+            if a != end or b - start > PIECE_WINDOWS:
+                begins.append(k)
+                start = a
+            end = b
+        return begins
 
     def step(batch):
-        rows, size = [], 0
-        texts, repeated = batch.column(2).cast(pa.binary()), batch.column(3)
-        for i, text in enumerate(texts):
-            digest, copies, words = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), _split(text)
-            for held in pieces(words, repeated[i].values.to_numpy()):
-                start, end = held[0][0], held[-1][1]
-                groups = [(seed, head, tail, a - start, b - a) for a, b, seed, head, tail in held]
-                rows.append((digest, copies, start, b" ".join(words[start:end + WINDOW - 1]).decode(), groups))
-                size += end - start
-                if size > 500_000:
-                    yield _rows(rows, _PIECES)
-                    rows, size = [], 0
-        if rows:
-            yield _rows(rows, _PIECES)
+        digests, copies = batch.column(0), batch.column(1)
+        hits = batch.column(3)
+        for first, words, begins in _runs(batch.column(2).cast(pa.binary())):
+            if len(words) < WINDOW:
+                continue
+            hashed = hashes.words(words)
+            grams, at = hashes.seeds(hashed)
+            inside = _inside(begins, len(at))
+            # Groups: runs of windows of one text with one seed. Whether a seed repeats doesn't hang on the text.
+            text = np.searchsorted(begins, np.arange(len(at)), "right") - 1
+            starts = _starts(np.where(inside, at, -1 - text))
+            ends = np.append(starts[1:], len(at))
+            seeds = grams[at[starts]].view(np.int64)
+            repeated = hits.slice(first, len(begins) - 1).flatten().to_numpy()
+            kept = np.flatnonzero(inside[starts] & np.isin(seeds, repeated))
+            if not len(kept):
+                continue
+            starts, ends, seeds = starts[kept], ends[kept], seeds[kept]
+            windows = hashes.first.rolling(hashed, WINDOW).view(np.int64)
+            opens = np.array(cut(starts.tolist(), ends.tolist()))
+            closes = np.append(opens[1:], len(starts))
+            of, a, b = text[starts[opens]], starts[opens], ends[closes - 1]
+            groups = pa.StructArray.from_arrays([
+                pa.array(seeds), pa.array(windows[starts]), pa.array(windows[ends - 1]),
+                pa.array((starts - np.repeat(a, closes - opens)).astype(np.int32)), pa.array((ends - starts).astype(np.int32))],
+                ["seed", "head", "tail", "at", "size"])
+            texts = [b" ".join(words[i:j + WINDOW - 1]).decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            rows = pa.array(of + first)
+            yield pa.RecordBatch.from_arrays([
+                digests.take(rows).cast(pa.binary()), copies.take(rows), pa.array(a - begins[of]), pa.array(texts, pa.string()),
+                pa.ListArray.from_arrays(pa.array(np.append(opens, len(starts)), pa.int32()), groups).cast(_GROUPS)], schema=_PIECES)
 
     return step
 
@@ -171,24 +215,21 @@ def _window_rows():
     hashes = Hashes()
 
     def step(batch):
-        out, size = [], 0
-        for piece, text, groups in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-            hashed = hashes.words(_split(text))
-            first, second = hashes.first.rolling(hashed, WINDOW), hashes.second.rolling(hashed, WINDOW)
-            at, n, weight = (np.array([g[c] for g in groups]) for c in ("at", "size", "weight"))
-            pos = np.concatenate([np.arange(a, a + b) for a, b in zip(at, n, strict=True)])
-            out.append((first[pos].view(np.int64), second[pos].view(np.int64), np.full(len(pos), piece), pos, np.repeat(at, n), np.repeat(weight, n)))
-            size += len(pos)
-            if size > 500_000:
-                yield joined(out)
-                out, size = [], 0
-        if out:
-            yield joined(out)
-
-    def joined(out):
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), types, strict=True)],
-                                          names=["first", "second", "piece", "pos", "at", "weight"])
+        piece, lists = batch.column(0).to_numpy(), batch.column(2)
+        for first, words, begins in _runs(batch.column(1).cast(pa.binary())):
+            hashed = hashes.words(words)
+            some = lists.slice(first, len(begins) - 1)
+            at, n, weight = (some.flatten().field(k).to_numpy() for k in range(3))
+            owner = np.repeat(np.arange(len(begins) - 1), some.value_lengths().to_numpy())
+            before = np.cumsum(n) - n
+            pos = np.arange(int(n.sum())) + np.repeat(at - before, n)
+            row = np.repeat(owner, n)
+            window = begins[row] + pos
+            yield pa.RecordBatch.from_arrays([
+                pa.array(hashes.first.rolling(hashed, WINDOW)[window].view(np.int64)),
+                pa.array(hashes.second.rolling(hashed, WINDOW)[window].view(np.int64)), pa.array(piece[first + row]),
+                pa.array(pos.astype(np.int32)), pa.array(np.repeat(at, n)), pa.array(np.repeat(weight, n))],
+                names=["first", "second", "piece", "pos", "at", "weight"])
 
     return step
 
@@ -210,53 +251,46 @@ class SuffixAutomaton:
                 words.setdefault(w, len(words))
         end = len(words)
         nxt: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
+        link, length = [-1], [0]
         for p in passages:
-            # All passages start in the root, so none goes over into another.
-            last = 0
-            for w in p:
-                last = cls._extend(nxt, link, length, last, words[w])
+            last = 0  # all passages start in the root, so none goes over into another
+            for c in map(words.__getitem__, p):
+                row = nxt[last]
+                if c not in row:
+                    # A new state; its suffixes get it as their next until one has a next already.
+                    new = len(nxt)
+                    nxt.append({})
+                    link.append(0)
+                    length.append(length[last] + 1)
+                    at = last
+                    while at != -1 and c not in nxt[at]:
+                        nxt[at][c] = new
+                        at = link[at]
+                    if at != -1:
+                        link[new] = cls._next(nxt, link, length, at, c)
+                    last = new
+                else:
+                    last = cls._next(nxt, link, length, last, c)  # of an earlier passage
         base = end + 1
         go = {s * base + w: t for s, row in enumerate(nxt) for w, t in row.items()}
         return cls(words, link, length, go)
 
     @staticmethod
-    def _extend(nxt, link, length, last, c):
-        """The state of the passage so far and one more word; states that an earlier passage made are used again."""
-        q = nxt[last].get(c)
-        if q is not None and length[q] == length[last] + 1:
+    def _next(nxt, link, length, at, c):
+        """The state after ``at`` and the word ``c`` whose longest substring is that of ``at`` and the word: split off where the
+        present one stands for longer ones too."""
+        q = nxt[at][c]
+        if length[q] == length[at] + 1:
             return q
-        new = -1
-        if q is None:
-            new = len(nxt)
-            nxt.append({})
-            link.append(-1)
-            length.append(length[last] + 1)
-            p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = new
-                p = link[p]
-            if p == -1:
-                link[new] = 0
-                return new
-            q = nxt[p][c]
-            if length[q] == length[p] + 1:
-                link[new] = q
-                return new
-        else:
-            p = last
         clone = len(nxt)
         nxt.append(dict(nxt[q]))
         link.append(link[q])
-        length.append(length[p] + 1)
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
-            p = link[p]
+        length.append(length[at] + 1)
+        while at != -1 and nxt[at].get(c) == q:
+            nxt[at][c] = clone
+            at = link[at]
         link[q] = clone
-        if new == -1:
-            return clone
-        link[new] = clone
-        return new
+        return clone
 
     def to_bytes(self) -> bytes:
         n = len(self.go)
@@ -345,21 +379,20 @@ def _stream(batches):
             yield _rows(rows, _COVERED)
 
 
-def _remove():
-    schema = pa.schema([("digest", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+def _remove(batch):
+    rows = []
+    columns = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist()
+    for doc, text, spans in zip(*columns, strict=True):
+        words, kept, at = _split(text), [], 0
+        for s in spans or ():
+            kept += words[at:s["a"]]
+            at = max(at, s["b"])
+        kept += words[at:]
+        rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode()))
+    yield _rows(rows, _LEFT)
 
-    def step(batch):
-        out = []
-        for digest, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
-            words, kept, at = _split(text), [], 0
-            for s in spans or ():
-                kept += words[at:s["a"]]
-                at = max(at, s["b"])
-            kept += words[at:]
-            out.append((digest, len(words), len(words) - len(kept), b" ".join(kept).decode()))
-        yield _rows(out, schema)
 
-    return step
+_LEFT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -374,7 +407,7 @@ def _pieces(rows: DataFrame) -> DataFrame:
     seeds = seeds.groupBy("digest").agg(F.count("*").alias("copies"), F.first("seeds").alias("seeds"))
     seeds = stored(seeds.filter(F.size("seeds") > 0).withColumn("text_no", F.monotonically_increasing_id()), "seeds")
     each = seeds.select("text_no", "copies", F.explode("seeds").alias("seed"))
-    repeated = each.groupBy("seed").agg(F.sum("copies").alias("n")).filter("n > 1").select("seed")
+    repeated = stored(each.groupBy("seed").agg(F.sum("copies").alias("n")).filter("n > 1").select("seed"), "repeated-seeds")
     hits = each.select("text_no", "seed").join(repeated, "seed").groupBy("text_no").agg(F.collect_set("seed").alias("hits"))
     hits = seeds.select("text_no", "digest", "copies").join(hits, "text_no").select("digest", "copies", "hits")
     texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
@@ -390,7 +423,8 @@ def _routes(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.min(F.struct("piece", "at")).alias("place")
     different = groups.groupBy(*key).agg(F.sum("copies").alias("n"), place)
     different = stored(different.select(*key, F.least("n", F.lit(2)).cast("int").alias("weight"), "place.*"), "groups")
-    several = different.groupBy("seed").agg(F.count("*").alias("d")).filter("d > 1").select("seed", F.lit(True).alias("several"))
+    several = stored(different.groupBy("seed").agg(F.count("*").alias("d")).filter("d > 1").select("seed", F.lit(True).alias("several")),
+                     "several-groups")
     marked = stored(different.join(several, "seed", "left"), "marked-groups")
     apart = marked.filter("several").groupBy("piece").agg(F.collect_list(F.struct("at", "size", "weight")).alias("some"))
     windows = stored(pieces.select("piece", "words").join(apart, "piece").select("piece", "words", "some").mapInArrow(
@@ -436,16 +470,6 @@ def covered_spans(rows: DataFrame) -> DataFrame:
     return found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
-def _deduplicated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, digest), and each different text (digest, n_words, n_removed, text that is left)."""
-    rows = _texts(docs)
-    spans = stored(covered_spans(rows), "spans")
-    texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    left = texts.join(spans, "digest", "left").select("digest", "text", "spans").mapInArrow(
-        arrow_function(_remove), "digest binary, n_words long, n_removed long, text string")
-    return rows.select("doc_id", "digest"), left
-
-
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the words that are left, joined by one blank; one row per row of ``docs``.
 
@@ -454,15 +478,15 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     occurrence goes too. Null counts as empty; texts under 35 words lose nothing. Repeated rows are copies of each other, whatever
     their doc_id. Other columns play no part. An empty table gives an empty one.
     """
-    rows, left = _deduplicated(docs)
-    return rows.join(left, "digest").select("doc_id", "n_words", "n_removed", "text")
+    rows = _texts(docs)
+    spans = stored(covered_spans(rows), "spans")
+    left = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans, "digest", "left").select("doc_id", "text", "spans")
+    return left.mapInArrow(lambda batches: (out for b in batches for out in _remove(b)), "doc_id long, n_words long, n_removed long, text string")
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
-    """The result with the remaining text as its digest, taken before texts meet their rows."""
-    rows, left = _deduplicated(docs)
-    left = left.select("digest", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
-    return rows.join(left, "digest").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    """The result with the remaining text as its digest."""
+    return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = r"""
