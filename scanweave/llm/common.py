@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import inspect
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanweave.sources.tables import stored
+from scanweave.sources.tables import stored, work_folder
 
 #: Bytes that end a word: blank, and tab to carriage return. Every other byte belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "one_of_each", "ordered", "running", "stored", "hashed_sample", "sampled_texts", "arrow_function"]
+__all__ = ["WORD", "lower_ascii", "whole_text", "row_key", "Scratch", "one_of_each", "ordered", "running", "stored", "hashed_sample", "sampled_texts", "arrow_function"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -31,6 +31,26 @@ def row_key(*digests: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), *digests)
 
 
+class Scratch:
+    """Written tables that go together once all that was made of them is written too."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_folder(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        self.paths = []
+
+
 def one_of_each(df: DataFrame, key: str) -> DataFrame:
     """One row for each value of ``key``, without it: the smallest by all its columns, so the same one however the table is split."""
     columns = [c for c in df.columns if c != key]

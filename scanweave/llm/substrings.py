@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanweave.llm.common import arrow_function, ordered, running, stored
+from scanweave.llm.common import Scratch, arrow_function, ordered, running, stored
 
 #: Words in a window and in a seed; windows in a piece, words in a shard and in the pieces that one task streams through it,
 #: words that a task remembers and that it hashes at a time (or those of one text).
@@ -401,36 +401,39 @@ def _texts(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
+def _pieces(rows: DataFrame, kept: Scratch) -> DataFrame:
     """digest, copies, start, words and groups of all windows whose seed occurs twice, as a written table with a number a row."""
+    scratch = Scratch(rows.sparkSession)
     seeds = rows.select("digest", "text").mapInArrow(arrow_function(_find_seeds), "digest binary, seeds array<long>")
     seeds = seeds.groupBy("digest").agg(F.count("*").alias("copies"), F.first("seeds").alias("seeds"))
-    seeds = stored(seeds.filter(F.size("seeds") > 0).withColumn("text_no", F.monotonically_increasing_id()), "seeds")
+    seeds = scratch.stored(seeds.filter(F.size("seeds") > 0).withColumn("text_no", F.monotonically_increasing_id()), "seeds")
     each = seeds.select("text_no", "copies", F.explode("seeds").alias("seed"))
-    repeated = stored(each.groupBy("seed").agg(F.sum("copies").alias("n")).filter("n > 1").select("seed"), "repeated-seeds")
+    repeated = scratch.stored(each.groupBy("seed").agg(F.sum("copies").alias("n")).filter("n > 1").select("seed"), "repeated-seeds")
     hits = each.select("text_no", "seed").join(repeated, "seed").groupBy("text_no").agg(F.collect_set("seed").alias("hits"))
     hits = seeds.select("text_no", "digest", "copies").join(hits, "text_no").select("digest", "copies", "hits")
     texts = rows.groupBy("digest").agg(F.first("text").alias("text"))
     cut = texts.join(hits, "digest").select("digest", "copies", "text", "hits").mapInArrow(
         arrow_function(_cut_pieces), f"digest binary, copies long, start long, words string, groups array<struct<{_GROUP}>>")
-    return stored(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    pieces = kept.stored(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    scratch.drop()
+    return pieces
 
 
-def _routes(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _routes(pieces: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Reference passages (shard, words, places) and which pieces have windows in which shards (shard, piece)."""
     key = ["seed", "head", "tail", "size"]
     groups = pieces.select("piece", "copies", F.explode("groups").alias("g")).select("piece", "copies", "g.*")
     place = F.min(F.struct("piece", "at")).alias("place")
     different = groups.groupBy(*key).agg(F.sum("copies").alias("n"), place)
-    different = stored(different.select(*key, F.least("n", F.lit(2)).cast("int").alias("weight"), "place.*"), "groups")
-    several = stored(different.groupBy("seed").agg(F.count("*").alias("d")).filter("d > 1").select("seed", F.lit(True).alias("several")),
+    different = scratch.stored(different.select(*key, F.least("n", F.lit(2)).cast("int").alias("weight"), "place.*"), "groups")
+    several = scratch.stored(different.groupBy("seed").agg(F.count("*").alias("d")).filter("d > 1").select("seed", F.lit(True).alias("several")),
                      "several-groups")
-    marked = stored(different.join(several, "seed", "left"), "marked-groups")
+    marked = scratch.stored(different.join(several, "seed", "left"), "marked-groups")
     apart = marked.filter("several").groupBy("piece").agg(F.collect_list(F.struct("at", "size", "weight")).alias("some"))
-    windows = stored(pieces.select("piece", "words").join(apart, "piece").select("piece", "words", "some").mapInArrow(
+    windows = scratch.stored(pieces.select("piece", "words").join(apart, "piece").select("piece", "words", "some").mapInArrow(
         arrow_function(_window_rows), _WINDOWS), "windows")
     seen = windows.groupBy("first", "second").agg(F.min(F.struct("piece", "pos")).alias("place"), F.sum("weight").alias("n"))
-    seen = stored(seen.filter("n > 1").select("first", "second", "place.*"), "repeated-windows")
+    seen = scratch.stored(seen.filter("n > 1").select("first", "second", "place.*"), "repeated-windows")
     alike = marked.filter("several IS NULL AND weight = 2").select("piece", "at", F.col("at").alias("pos"), "size")
     ranges = alike.select("piece", "pos", "size").unionByName(seen.select("piece", "pos", F.lit(1).alias("size")))
     # No more words than the ranges have one by one, nor than lie between the first and the last.
@@ -438,7 +441,7 @@ def _routes(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = ranges.groupBy("piece").agg(
         F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("places"), words.cast("long").alias("n"), F.lit(0).alias("all"))
     placed = running(ordered(held, ["all"], ["piece"], "reference"), ["all"], ["piece"], F.col("n"), "before")
-    shards = stored(placed.select("piece", "places", F.floor(F.col("before") / SHARD_WORDS).cast("long").alias("shard")), "shards")
+    shards = scratch.stored(placed.select("piece", "places", F.floor(F.col("before") / SHARD_WORDS).cast("long").alias("shard")), "shards")
     passages = shards.join(pieces.select("piece", "words"), "piece").select("shard", "words", "places")
     home = shards.select("piece", "shard")
     where = seen.join(home, "piece").select("first", "second", "shard")
@@ -450,24 +453,29 @@ def _routes(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def covered_spans(rows: DataFrame) -> DataFrame:
-    """digest and covered spans (a, b) in words, sorted, of the texts among rows (digest, text) that have any."""
-    pieces = _pieces(rows)
-    passages, routes = _routes(pieces)
+    """digest and covered spans (a, b) in words, sorted, of the texts among rows (digest, text) that have any, as a written table."""
+    kept, scratch = Scratch(rows.sparkSession), Scratch(rows.sparkSession)
+    pieces = _pieces(rows, kept)
+    passages, routes = _routes(pieces, scratch)
     dealt = passages.repartition("shard").sortWithinPartitions("shard")
-    automata = stored(dealt.mapInArrow(_build, "shard long, automaton binary"), "automata")
+    automata = kept.stored(dealt.mapInArrow(_build, "shard long, automaton binary"), "automata")
+    routes = kept.stored(routes, "routes")
+    scratch.drop()
     size = F.aggregate("groups", F.lit(0), lambda n, g: n + g["size"]).alias("size")
-    routed = stored(routes.join(pieces.select("piece", "digest", "start", "words", size), "piece"), "routed")
-    load = routed.groupBy("shard").agg(F.greatest(F.ceil(F.sum("size") / STREAM_WORDS), F.lit(1)).cast("long").alias("tasks"))
-    load = stored(load, "load")
+    load = routes.join(pieces.select("piece", size), "piece").groupBy("shard").agg(
+        F.greatest(F.ceil(F.sum("size") / STREAM_WORDS), F.lit(1)).cast("long").alias("tasks"))
+    load = kept.stored(load, "load")
     automata = automata.join(load, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), "automaton",
         F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("string").alias("words"))
-    pieced = routed.join(load, "shard").select(
-        "shard", F.pmod(F.xxhash64("piece"), F.col("tasks")).alias("task"), F.lit(None).cast("binary").alias("automaton"),
-        "digest", "start", "words")
+    dealt = routes.join(load, "shard").select("shard", "piece", F.pmod(F.xxhash64("piece"), F.col("tasks")).alias("task"))
+    pieced = dealt.join(pieces.select("piece", "digest", "start", "words"), "piece").select(
+        "shard", "task", F.lit(None).cast("binary").alias("automaton"), "digest", "start", "words")
     both = automata.unionByName(pieced).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("automaton").isNull())
     found = both.select("automaton", "digest", "start", "words").mapInArrow(_stream, "digest binary, a long, b long")
-    return found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = stored(found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans")), "spans")
+    kept.drop()
+    return spans
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -479,7 +487,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     their doc_id. Other columns play no part. An empty table gives an empty one.
     """
     rows = _texts(docs)
-    spans = stored(covered_spans(rows), "spans")
+    spans = covered_spans(rows)
     left = rows.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans, "digest", "left").select("doc_id", "text", "spans")
     return left.mapInArrow(lambda batches: (out for b in batches for out in _remove(b)), "doc_id long, n_words long, n_removed long, text string")
 
