@@ -26,8 +26,8 @@ from scanweave.llm.common import arrow_function, stored, whole_text
 from scanweave.llm.elias_fano import EliasFano, Folder, from_bytes, to_bytes
 from scanweave.sources.tables import work_folder
 
-#: Words and pairs in a file, words that a task remembers, tokens that it handles at a time, steps of a factor of ten.
-FILE_WORDS, FILE_PAIRS, KEPT_WORDS, TOKENS_AT_ONCE, STEPS = 1 << 20, 1 << 21, 300_000, 1_000_000, 4096
+#: Words and pairs in a file, words and pairs that a task remembers, tokens that it handles at a time, steps of a factor of ten.
+FILE_WORDS, FILE_PAIRS, KEPT_WORDS, KEPT_PAIRS, TOKENS_AT_ONCE, STEPS = 1 << 20, 1 << 21, 300_000, 2_000_000, 1_000_000, 4096
 #: The end of a text, which is also the context of its first word.
 END = 0
 
@@ -433,8 +433,34 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
+class PairMemory:
+    """What the model says of pairs, remembered from batch to batch."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.pair, self.p, self.back = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+
+    def look(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``Model.pairs`` of sorted distinct pairs."""
+        p, back, known = np.empty(len(pair)), np.empty(len(pair)), np.zeros(len(pair), bool)
+        if len(self.pair):
+            place = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            known = self.pair[place] == pair
+            p[known], back[known] = self.p[place[known]], self.back[place[known]]
+        new = pair[~known]
+        p[~known], back[~known] = found = self.model.pairs(new)
+        if len(self.pair) + len(new) > KEPT_PAIRS:
+            self.pair, self.p, self.back = pair, p, back
+        else:
+            both = np.concatenate([self.pair, new])
+            order = np.argsort(both, kind="stable")
+            self.pair = both[order]
+            self.p, self.back = (np.concatenate([a, b])[order] for a, b in zip((self.p, self.back), found, strict=True))
+        return p, back
+
+
 def _score(model: Model):
-    memory, words = WordMemory(model.words, model.unigram), model.words
+    memory, pairs, words = WordMemory(model.words, model.unigram), PairMemory(model), model.words
     end = int(words.numbers(np.array([END]))[0]) if words.size else -1
 
     def step(batch):
@@ -446,7 +472,7 @@ def _score(model: Model):
             both = np.flatnonzero((context >= 0) & (numbers >= 0))
             if len(both):
                 pair, where = np.unique(context[both].astype(np.uint64) * np.uint64(words.size) + numbers[both].astype(np.uint64), return_inverse=True)
-                p, weight = model.pairs(pair)
+                p, weight = pairs.look(pair)
                 score[both] = np.where(np.isnan(p[where]), weight[where] + base[both], p[where])
             odd = np.flatnonzero((context >= 0) & (numbers < 0))
             if len(odd):  # an unknown word after a known one costs the context's back-off weight too
