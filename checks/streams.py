@@ -33,8 +33,9 @@ o.FROM["docs"] = lambda: _DOCS
        "BY severity")
 def watch_scan(spark, sf):
     path = work_folder(spark, "watch")
-    w.write_findings(w.scan_stream(_documents_stream(spark, sf), LINE_PACKS), f"{path}/out", f"{path}/checkpoint")
-    return w.severity_report(spark.read.parquet(f"{path}/out"))
+    findings = w.scan_stream(_documents_stream(spark, sf), LINE_PACKS)
+    w.write_findings(findings, f"{path}/out", f"{path}/checkpoint")
+    return w.severity_report(spark.read.schema(findings.schema).parquet(f"{path}/out"))
 
 
 _EXTRA = "const password = \"hunter2hunter2\";"

@@ -27,10 +27,12 @@ DEBOUNCE = "1 second"
 
 
 def read_stream(spark: SparkSession, folder: str, schema, name: str = "*.parquet", files_per_batch: int | None = None):
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    """A stream of what fits ``name`` in a folder: files, or tables that are folders of files."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    # In braces a plain name is a pattern too: a source takes one that leads to a file, but no file by itself.
+    return reader.parquet(f"{folder.rstrip('/')}/{{{name}}}")
 
 
 #: State on local disk with its changes in the checkpoint, so its size isn't bound by the executors' heap.

@@ -15,6 +15,16 @@ def test_streamed_findings_equal_batch(spark, sf, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_tables_of_one_or_many_files_stream(spark, tmp_path):
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "in" / "many.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "in" / "one.parquet")
+    for name, n in (("many.parquet", 7), ("one.parquet", 5)):
+        out = str(tmp_path / f"out-{name}")
+        w.write_findings(w.read_stream(spark, str(tmp_path / "in"), "id long", name), out, str(tmp_path / f"cp-{name}"))
+        assert spark.read.schema("id long").parquet(out).count() == n
+
+
 def test_alert_batches_replay_and_resolve(spark, tmp_path):
     schema = "project string, file string, content string"
     handle = w.alert_batches(str(tmp_path / "log"), str(tmp_path / "alerts"), ["security"], every=2)
