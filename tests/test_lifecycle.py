@@ -273,3 +273,21 @@ def test_block_comments_of_a_file_with_many(spark):
     start = time.time()
     got = {r.line: r.in_block for r in d.detect(c, ["security"]).select("line", "in_block").collect()}
     assert len(got) == 50_001 and all(got.values()) and time.time() - start < 60
+
+
+def test_processed_findings_are_written_without_their_texts(spark, sf):
+    from checks.lifecycle import processed
+
+    columns = processed(spark, sf).columns
+    assert not {"code", "prev", "ctx"} & set(columns) and {"title", "acknowledged", "suppressed", "is_baseline"} <= set(columns)
+
+
+def test_documents_take_a_part_of_their_length(spark, tmp_path):
+    from scanweave.sources.tables import write_documents
+
+    documents = spark.range(200).selectExpr("id", "concat(id, repeat('{\"severity\":\"high\"}', 200)) AS document")
+    write_documents(documents, str(tmp_path / "out"))
+    written = sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*"))
+    back = spark.read.text(str(tmp_path / "out"))
+    assert written < documents.selectExpr("sum(length(document))").first()[0] / 10
+    assert sorted(r.value for r in back.collect()) == sorted(r.document for r in documents.collect())
