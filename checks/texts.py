@@ -122,7 +122,7 @@ KINDS = ["http-url", "hardcoded-password", "hardcoded-secret", "api-key-exposed"
     f"SELECT file, i + 1 AS line, '{k}' AS fix_type, {_fix_sql('text', k)} AS fixed FROM lines" for k in KINDS)
     + ") SELECT fix_type, file, line, sha256(fixed) AS fixed_hash FROM u WHERE fixed IS NOT NULL")
 def strategies(spark, sf):
-    lines = d.explode_lines(corpus(spark, sf)).withColumn("fix_type", F.explode(F.array(*[F.lit(k) for k in KINDS])))
+    lines = fx.possible_fixes(d.explode_lines(corpus(spark, sf)), KINDS)
     return fx.fix_cases(lines).filter("fixed IS NOT NULL").select(
         "fix_type", "file", "line", F.sha2("fixed", 256).alias("fixed_hash"))
 

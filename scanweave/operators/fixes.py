@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scanweave.functions.regex import to_java
-from scanweave.functions.sql import js_trim, like, lit
+from scanweave.functions.sql import has_any, js_trim, like, lit
 from scanweave.operators.history import review_deadline
 from scanweave.operators.lifecycle import SEQ
 
@@ -32,6 +32,16 @@ BACKUP_WRITE = r"""(?i)^\s*(?:fs\.)?writeFile\s*\(\s*(['"`][^'"`]*backup[^'"`]*[
 BACKUP_NAME = r"(?i)^\s*.*backup.*=.*\.(?:sql|csv|json|txt)"
 
 
+# What every line has that a fix type can change, in lower case: one of each group.
+MARKS = {
+    "sql-injection-template": [["("], ["`"], ["${"]], "sql-injection-concat": [["("], ['"'], ["+"]],
+    "hardcoded-password": [["password", "pwd"]], "hardcoded-secret": [["secret"]], "api-key-exposed": [["api"], ["key"]],
+    "phi-console-log": [["console."]], "http-url": [["http://"]], "innerhtml-unsanitized": [[".innerhtml"]],
+    "phi-localstorage": [["localstorage."]], "phi-url-param": [["fetch", "axios.get", "http.get"]],
+    "phi-log-unredacted": [["logger."]], "cookie-insecure": [["cookie"]], "backup-unencrypted": [["backup"]],
+}
+
+
 def _get(text: str, pattern: str, group: int) -> str:
     return f"regexp_extract({text}, {lit(to_java(pattern))}, {group})"
 
@@ -49,6 +59,11 @@ def _env(text: str, default: str) -> str:
     return f"coalesce(upper(regexp_replace({split}, {lit(to_java(chr(91) + '-' + chr(92) + 's]+'))}, '_')), '{default}')"
 
 
+def has_all(text: str, *parts: str) -> str:
+    """Whether all of ``parts``, of which every match has some, are in the text: tried before patterns that may start at any word."""
+    return " AND ".join(f"contains({text}, {lit(p)})" for p in parts)
+
+
 def _indent(text: str) -> str:
     return _get(text, r"^(\s*)", 1)
 
@@ -86,11 +101,11 @@ def strategies(t: str) -> dict:
     ind = _indent(t)
     return {
         "sql-injection-template": (
-            f"CASE WHEN {like(t, TEMPLATE_CALL)} THEN "
+            f"CASE WHEN {has_all(t, '(', '`', '${')} AND {like(t, TEMPLATE_CALL)} THEN "
             + _swap(t, TEMPLATE_REGION, f"concat({_get(t, TEMPLATE_CALL, 1)}, '(\\'', {template_sql}, '\\', [', "
                     f"{template_vars}, '])')") + " END"),
         "sql-injection-concat": (
-            f"CASE WHEN {like(t, CONCAT_CALL)} THEN "
+            f"CASE WHEN {has_all(t, '(', chr(34), '+')} AND {like(t, CONCAT_CALL)} THEN "
             + _swap(t, CONCAT_CALL, f"concat({_get(t, CONCAT_CALL, 1)}, '(\\'', {before}, '?', {after}, '\\', [', "
                     f"{_get(t, CONCAT_CALL, 3)}, '])')") + " END"),
         "hardcoded-password": secret("password|pwd", "PASSWORD"),
@@ -143,6 +158,14 @@ def fix_line(text: str, fix_type: str) -> str:
     return f"CASE {fix_type} {cases} END"
 
 
+def possible_fixes(lines: DataFrame, kinds) -> DataFrame:
+    """Rows of ``text`` once for each fix type of ``kinds`` whose marks it has, as ``fix_type``; other types can't change it."""
+    having = ", ".join(
+        f"CASE WHEN {' AND '.join(has_any('low__', some) for some in MARKS.get(k, [])) or 'true'} THEN {lit(k)} END" for k in kinds)
+    low = lines.withColumn("low__", F.lower("text"))
+    return low.select(*lines.columns, F.explode(F.expr(f"array_compact(array({having}))")).alias("fix_type"))
+
+
 def fix_cases(cases: DataFrame) -> DataFrame:
     """``fixed`` for rows of ``text, fix_type``; null where the strategy does not apply."""
     return cases.withColumn("fixed", F.expr(fix_line("text", "fix_type")))
