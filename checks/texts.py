@@ -205,7 +205,7 @@ def fix_report(spark, sf):
        "'in_progress' ELSE 'pending_review' END AS status, strftime(CAST(scan_ts AS DATE) + CASE severity WHEN 'critical' THEN 7 WHEN "
        "'high' THEN 14 WHEN 'medium' THEN 30 ELSE 60 END, '%Y-%m-%d') AS deadline FROM findings WHERE fix_type IS NULL")
 def reviews(spark, sf):
-    r = fx.manual_reviews(found(spark, sf))
+    r = stored(fx.manual_reviews(found(spark, sf)), "reviews")
     keys = ["file", "line", "finding_id"]
     first = r.filter("line % 5 < 2").select(*keys, F.lit("in_progress").alias("status"), F.expr(
         "CAST(updated_at AS TIMESTAMP) + INTERVAL 1 DAY").alias("updated_at"))
