@@ -190,7 +190,8 @@ def trail(spark, sf):
        f"files FROM e JOIN (SELECT DISTINCT project, file FROM ({code_corpus_sql()})) f ON f.file = e.file GROUP BY f.project")
 def project_trail(spark, sf):
     """A trail over all files of a project."""
-    e = stored(fx.evidence(code_corpus(spark, sf), fx.fix_steps(found(spark, sf))).withColumn("at", F.lit("1998-01-01")), "evidence")
+    e = fx.evidence(code_corpus(spark, sf), fx.fix_steps(found(spark, sf))).withColumn("at", F.lit("1998-01-01"))
+    e = stored(e.drop("line", "fix_type", "title", "reference", "before", "after"), "evidence")
     counts = e.groupBy("project").agg(F.count("*").alias("steps"), F.count_distinct("file").alias("files"))
     return fx.trail_hash(e, ["project"], "at").join(counts, "project")
 
