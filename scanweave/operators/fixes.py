@@ -223,68 +223,83 @@ _ARROW = pa.schema(
     + [("before", _LINES), ("after", _LINES)])
 
 
-def _snapshot(lines, at: int, around: int) -> list[dict]:
-    """Lines around the one numbered ``at`` from 0; ``lines`` gives a line by its place, and its length."""
-    first, last = max(at - around, 0), min(at + around, len(lines) - 1)
-    return [{"line_number": i + 1, "content": lines[i], "is_match": i == at} for i in range(first, last + 1)]
+class _Snapshots:
+    """A column of snapshots, kept as flat lists that Arrow takes without a look at every line."""
 
+    def __init__(self):
+        self.ends, self.numbers, self.contents, self.matches = [0], [], [], []
 
-class _After:
-    """A file's lines after a step: the original ones above it, its own text, and the fixed ones below."""
+    def add(self, above, own: str, below, at: int, around: int) -> None:
+        """The line numbered ``at`` from 0, its text ``own``, and lines around it, out of all lines ``above`` and ``below``."""
+        first, last = max(at - around, 0), min(at + around + 1, len(below))
+        self.numbers += range(first + 1, last + 1)
+        self.contents += [*above[first:at], own, *below[at + 1:last]]
+        self.matches += [i == at for i in range(first, last)]
+        self.ends.append(len(self.numbers))
 
-    def __init__(self, lines, fixed, at, text):
-        self.lines, self.fixed, self.at, self.text = lines, fixed, at, text
+    def array(self) -> pa.Array:
+        flat = [pa.array(x, f.type) for x, f in zip((self.numbers, self.contents, self.matches), _LINES.value_type, strict=True)]
+        rows = pa.StructArray.from_arrays(flat, fields=list(_LINES.value_type))
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), rows, type=_LINES)
 
-    def __len__(self):
-        return len(self.lines)
 
-    def __getitem__(self, i):
-        return self.lines[i] if i < self.at else self.text if i == self.at else self.fixed[i]
+_STEP = ("line", "finding_id", "fix_type", "title", "reference", "after")
 
 
 def _evidence_rows(around: int):
     """Rows (project, file, content, steps from the last line up) to one row for each step.
 
     The original text is hashed once, up to its end, and the state at each line with a step is kept; a step's hash goes on from there
-    with its line and the fixed text below, which lies as bytes in one place. So a step costs what follows it.
+    with its line and the fixed text below, which lies as bytes in one place. So a step costs what follows it. Rows are made by column,
+    and a batch has about a thousand of them.
     """
-    def of_file(project, file, content, steps):
+    def of_file(content, steps):
+        """For each step its hashes, the original lines and the fixed ones; steps are (line, text after)."""
         lines = content.split("\n")
         fixed = list(lines)
-        for s in steps:  # from the last line up, a line's own fixes in their order
-            fixed[s["line"] - 1] = s["after"]
+        for line, after in steps:  # from the last line up, a line's own fixes in their order
+            fixed[line - 1] = after
         below = "\n".join(fixed).encode()
         ends = list(itertools.accumulate((len(x.encode()) + 1 for x in fixed), initial=0))  # where line i begins
         states, state, at = {}, hashlib.sha256(), 0
-        for line in sorted({s["line"] for s in steps}):
-            for x in lines[at:line - 1]:
-                state.update(x.encode() + b"\n")
+        for line in sorted({line for line, _ in steps}):
+            state.update("\n".join([*lines[at:line - 1], ""]).encode())
             at = line - 1
             states[line] = state.copy()
         whole = hashlib.sha256(content.encode()).hexdigest()
         view = memoryview(below)
-        for n, s in enumerate(steps):
-            state = states[s["line"]].copy()
-            state.update(s["after"].encode())
-            if s["line"] < len(lines):
+        for line, after in steps:
+            state = states[line].copy()
+            state.update(after.encode())
+            if line < len(lines):
                 state.update(b"\n")
-                state.update(view[ends[s["line"]]:])
-            place = s["line"] - 1
-            yield {"project": project, "file": file, "step": n, "line": s["line"], **{c: s[c] for c in (
-                "finding_id", "fix_type", "title", "reference")}, "hash_before": whole, "hash_after": state.hexdigest(),
-                "before": _snapshot(lines, place, around), "after": _snapshot(_After(lines, fixed, place, s["after"]), place, around)}
+                state.update(view[ends[line]:])
+            yield whole, state.hexdigest(), lines, fixed
+
+    def batch_of(rows, before, after):
+        flat = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW, strict=False)]
+        return pa.RecordBatch.from_arrays([*flat, before.array(), after.array()], schema=_ARROW)
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for project, file, content, steps in zip(*(batch.column(i) for i in range(4)), strict=True):
-                for row in of_file(project.as_py(), file.as_py(), content.as_py(), steps.as_py()):
-                    rows.append(row)
+            rows, before, after = [], _Snapshots(), _Snapshots()
+            listed = batch.column(3)
+            # Offsets count from the beginning of the values, also where the batch is a part of a larger one.
+            steps = list(zip(*(listed.values.field(c).to_pylist() for c in _STEP), strict=True))
+            ends = listed.offsets.to_pylist()
+            for i, (project, file, content) in enumerate(zip(*(batch.column(k) for k in range(3)), strict=True)):
+                project, file, own = project.as_py(), file.as_py(), steps[ends[i]:ends[i + 1]]
+                states = of_file(content.as_py(), [(s[0], s[-1]) for s in own])
+                for n, (s, (was, now, lines, fixed)) in enumerate(zip(own, states, strict=True)):
+                    rows.append((project, file, n, *s[:-1], was, now))
+                    at = s[0] - 1
+                    before.add(lines, lines[at], lines, at, around)
+                    after.add(lines, s[-1], fixed, at, around)  # lines above it are still original
                     if len(rows) == 1000:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
+                        yield batch_of(rows, before, after)
+                        rows, before, after = [], _Snapshots(), _Snapshots()
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                yield batch_of(rows, before, after)
 
     return run
 
