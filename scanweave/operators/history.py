@@ -31,11 +31,12 @@ def history_entries(findings: DataFrame, scan=("project", "scan_id", "scan_ts"),
     too. Without it, only scans with findings have one, and ``files`` counts files with findings.
     """
     names = [c.alias(f"active_{n}") for c, n in zip(severity_counts(active(), SEVERITY_NAMES), SEVERITY_NAMES)]
-    g = compliance_score(findings, scan, [
-        *names, F.array_sort(F.collect_set(F.when(active(), F.col("rule_id")))).alias("failed_rules"),
-        F.count_distinct("file").alias("files")], scans)
+    extra = [*names, F.array_sort(F.collect_set(F.when(active(), F.col("rule_id")))).alias("failed_rules")]
     if scans is not None and "files" in scans.columns:
-        g = g.drop("files").join(scans.select(*scan, "files"), list(scan))
+        # One join gives a scan its counts and its files.
+        g = compliance_score(findings, scan, extra, scans, ("files",))
+    else:
+        g = compliance_score(findings, scan, [*extra, F.count_distinct("file").alias("files")], scans)
     return g.select(*scan, "score", *[F.col(f"active_{n}").alias(n) for n in SEVERITY_NAMES], "failed_rules", "files")
 
 
